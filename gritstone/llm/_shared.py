@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,3 +75,11 @@ def small_batches(spark: SparkSession, rows: int = 2000):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > 16 << 20:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+def worker_state(key, make):
+    """What a Python worker keeps from task to task; functions travel by value, so their globals don't last."""
+    kept = sys.modules.setdefault("gritstone_worker_state", types.ModuleType("gritstone_worker_state")).__dict__.setdefault("kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

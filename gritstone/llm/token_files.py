@@ -7,8 +7,8 @@ of a file is found without reading the others and without copying. ``docs-N.arro
 and number of ids within the file. Both are written under a temporary name and renamed, so a task that runs again
 leaves the same files.
 
-Words between ASCII white space are encoded once per worker and kept in a table of bounded size: the tokenizer drops
-white space and never joins across it, so a text's ids are its words' ids.
+Words between ASCII white space are encoded once per worker and kept in a table of bounded size: a tokenizer that
+drops white space never joins across it, so a text's ids are its words' ids.
 
 Cases: a null text is empty and has the end id alone; rows with a null doc_id come first; rows that share a doc_id are
 written each, by text; an empty table gives no files and no rows. Extra columns are ignored.
@@ -16,8 +16,10 @@ written each, by text; an empty table gives no files and no rows. Extra columns
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,33 +28,79 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, small_batches, table
+from ._shared import Scratch, small_batches, table, worker_state
 
 SEQUENCE = 2048
 BATCH = 64
 END_ID = 2
-CACHED_WORDS = 400_000
+#: Words, and units of words, that a worker keeps: two generations of this many.
+CACHED_WORDS = 200_000
+
+
+class _Cache(dict):
+    """Values of keys by a function, in two generations of bounded size."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
 
 
 class WordEncoder:
-    """Ids of texts as bytes, by a bounded table of words."""
+    """Ids of UTF-8 texts as bytes.
+
+    With a tokenizer that folds case by NFC and Lowercase and keeps only the matches of a pattern free of white space,
+    words are encoded apart and kept. Words of Latin letters below U+0180, where NFC changes nothing, are cut by the
+    same pattern and given to the BPE model unit by unit; other words go through the whole tokenizer, and any other
+    tokenizer gets whole texts.
+    """
 
     def __init__(self, path: str, dtype: str):
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.known = Tokenizer.from_file(path), dtype, {}
+        self.tokenizer, self.dtype, self.code = Tokenizer.from_file(path), dtype, {"<u2": "H", "<u4": "I"}[dtype]
+        self.model = self.tokenizer.model
+        spec = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        cut = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and cut.get("type") == "Split" and cut["behavior"] == "Removed" and cut["invert"] and not any(a["lstrip"] or a["rstrip"] for a in spec["added_tokens"])
+        if self.by_word:
+            self.units_of = regex.compile(cut["pattern"]["Regex"]).findall
+            self.by_word = all(a["content"].startswith("<|") for a in spec["added_tokens"])
+            plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+            rest = [b for b in range(256) if b not in set(plain)]
+            self.letters = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}  # the byte-level alphabet
+            self.units = _Cache(self._unit, CACHED_WORDS)
+            self.words = _Cache(self._word, CACHED_WORDS)
+
+    def _ids(self, ids) -> bytes:
+        return np.array(ids, dtype=self.dtype).tobytes()
+
+    def _unit(self, unit: str) -> bytes:
+        letters = unit if unit.isascii() and unit.isprintable() else unit.encode().decode("latin1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8")
+        if b"<|" not in word and (len(text) == len(word) or (max(text) < "\u0180" and "\u0130" not in text)):
+            units = self.units_of(text.lower())
+            return self.units[units[0]] if len(units) == 1 else b"".join(map(self.units.__getitem__, units))
+        return self._ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __call__(self, text: bytes) -> bytes:
-        words = text.split()
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > CACHED_WORDS:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)):
-                known[w] = np.array(e.ids, dtype=self.dtype).tobytes()
-        return b"".join(map(known.__getitem__, words))
+        if self.by_word:
+            return b"".join(map(self.words.__getitem__, text.split()))
+        return self._ids(self.tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids)
 
 
 def _open(uri: str):
@@ -106,7 +154,7 @@ def write(docs: DataFrame, uri: str, tokenizer: str, end_id: int = END_ID, lengt
         ids, starts, sizes, at = [], [], [], 0
         for batch in batches:
             if encoder is None:
-                encoder = WordEncoder(tokenizer, dtype)
+                encoder = worker_state((tokenizer, dtype), lambda: WordEncoder(tokenizer, dtype))
                 system, root = _open(uri)
                 system.create_dir(root)
                 names = {kind: (f"{root}/.{kind}-{part:05d}-{uuid.uuid4().hex}", f"{root}/{kind}-{part:05d}.arrow") for kind in ("ids", "docs")}
