@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, token_files
+from . import chat, decontaminate, language_id, mixing, near_duplicates, quality, repeats, secrets, token_files
 
 QUERIES = {
+    "op1_quality_ftrl": quality.op1,
+    "op2_golden_ratio_mix": mixing.op2,
+    "op3_secret_scan": secrets.op3,
+    "op4_prob_minhash": near_duplicates.op4,
+    "op5_repeated_passages": repeats.op5,
     "op7_winnow_decontamination": decontaminate.op7,
+    "op8_chat_format": chat.op8,
     "op9_arrow_token_files": token_files.op9,
     "op10_language_id": language_id.op10,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_golden_ratio_mix": mixing.ORACLE,
+    "op8_chat_format": chat.ORACLE,
+}
