@@ -85,10 +85,10 @@ class Words:
 
 
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string column; null counts as empty."""
+    """Bytes and offsets of a string or binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "").cast(pa.large_binary())
     n = len(column)
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)

@@ -173,3 +173,25 @@ def brute(words: list[str], items: list[tuple[str, list[str]]]) -> tuple[set[int
 
 def digest(ids) -> str:
     return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, COALESCE(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents
+), b AS (
+  SELECT COALESCE(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), lengths AS (
+  SELECT DISTINCT least(13, len(ws)) AS n FROM b WHERE len(ws) > 0
+), items AS (
+  SELECT DISTINCT item, n, array_to_string(ws[i:i + n - 1], ' ') AS k FROM (SELECT *, least(13, len(ws)) AS n FROM b WHERE len(ws) > 0), unnest(range(1, len(ws) - n + 2)) t(i)
+), hits AS (
+  SELECT doc_id, i, n, item FROM (SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS k FROM d, lengths, unnest(range(1, len(ws) - n + 2)) t(i)) JOIN items USING (n, k)
+), spots AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(i, i + n)) t(p) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, COALESCE(n_hit, 0)::BIGINT AS n_hit, COALESCE(n_items, 0)::BIGINT AS n_items,
+  sha256(COALESCE(items, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AND 20 * COALESCE(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN spots USING (doc_id) LEFT JOIN named USING (doc_id)
+"""

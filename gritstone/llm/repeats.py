@@ -149,3 +149,23 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+ORACLE = r"""
+WITH w AS (
+  SELECT doc_id, COALESCE(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS k FROM w, unnest(range(1, len(ws) - 48)) t(i)
+), hit AS (
+  SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY k) AS least FROM win) WHERE least < doc_id
+), words AS (
+  SELECT w.doc_id, p, ws[p] AS word FROM w, unnest(range(1, len(ws) + 1)) t(p)
+), judged AS (
+  SELECT words.doc_id, p, word, COALESCE(max(hit.i) OVER (PARTITION BY words.doc_id ORDER BY p) >= p - 49, false) AS gone
+  FROM words LEFT JOIN hit ON words.doc_id = hit.doc_id AND words.p = hit.i
+)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, COALESCE(j.gone, 0)::BIGINT AS n_removed, sha256(COALESCE(j.kept, '')) AS kept_sha256
+FROM w LEFT JOIN (
+  SELECT doc_id, count(*) FILTER (gone) AS gone, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM judged GROUP BY doc_id
+) j ON w.doc_id = j.doc_id
+"""
