@@ -1,5 +1,10 @@
 """All queries of the engine, with DuckDB SQL beside each where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = "knn_jaccard_rerank"
+from __future__ import annotations
+
+from . import evaluation
+from ._bind import ORACLES, QUERIES
+
+MODULES = (evaluation,)
+FLAGSHIP = "metrics_by_lang"
+__all__ = ["FLAGSHIP", "MODULES", "ORACLES", "QUERIES"]
