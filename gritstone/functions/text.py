@@ -87,9 +87,14 @@ def tokens(text, pattern: str = METRIC_TOKEN) -> Column:
 
 def shingles(toks, k: int, sep: str = " ") -> Column:
     """Distinct k-grams of an array of tokens; none if it has fewer."""
-    toks = _c(toks)
-    grams = F.transform(F.sequence(F.lit(1), F.size(toks) - (k - 1)), lambda i: F.array_join(F.slice(toks, i, k), sep))
-    return F.when(F.size(toks) >= k, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    empty = F.array().cast("array<string>")
+
+    def of(t):
+        grams = F.transform(F.sequence(F.lit(1), F.size(t) - (k - 1)), lambda i: F.array_join(F.slice(t, i, k), sep))
+        return F.when(F.size(t) >= k, F.array_distinct(grams)).otherwise(empty)
+
+    # Bound by a lambda, the tokens are made once and not for each gram.
+    return F.element_at(F.transform(F.array(_c(toks)), of), 1)
 
 
 def jaccard(a, b) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation
+from . import evaluation, texts
 from ._bind import ORACLES, QUERIES
 
-MODULES = (evaluation,)
+MODULES = (evaluation, texts)
 FLAGSHIP = "metrics_by_lang"
 __all__ = ["FLAGSHIP", "MODULES", "ORACLES", "QUERIES"]
