@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, texts
+from . import evaluation, retrieval, texts
 from ._bind import ORACLES, QUERIES
 
-MODULES = (evaluation, texts)
-FLAGSHIP = "metrics_by_lang"
+MODULES = (evaluation, retrieval, texts)
+FLAGSHIP = "knn_jaccard_rerank"
 __all__ = ["FLAGSHIP", "MODULES", "ORACLES", "QUERIES"]
