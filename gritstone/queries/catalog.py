@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, retrieval, tables, texts
+from . import analysis, evaluation, retrieval, tables, texts
 from ._bind import ORACLES, QUERIES
 
-MODULES = (evaluation, retrieval, tables, texts)
+MODULES = (evaluation, retrieval, tables, texts, analysis)
 FLAGSHIP = "knn_jaccard_rerank"
 __all__ = ["FLAGSHIP", "MODULES", "ORACLES", "QUERIES"]
