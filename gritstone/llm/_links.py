@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ._shared import Scratch
 
+#: Documents in a block of the last turn.
+BLOCK = 128
+
 
 def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
     """(v, root) for every end of a link (a, b); root is the least id of v's component.
@@ -33,15 +36,18 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
             return roots
 
 
-def classes_of(scratch: Scratch, heads: DataFrame, verify: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def classes_of(scratch: Scratch, heads: DataFrame, verify: Callable[[DataFrame, str], DataFrame], compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(v, root): classes of ids whose links are among pairs that share a bucket.
 
-    heads: (v, bands array<long>). verify(pairs(a, b), tag) keeps the pairs that are links.
+    heads: (v, bands array<long>). verify(pairs(a, b), tag) keeps the pairs that are links. compare(blocks) gives the
+    links (a, b) within blocks: rows (family, i, j, outer, v, root), where each outer id of a block is to be compared
+    with each that isn't outer and has another root.
 
-    No bucket is expanded into all its pairs: each is first a star around its least id. A bucket whose ids are then in
-    one component holds no link that could change the result. In the others the least id outside the star's component
-    makes a second star; what is left after that is compared across components only: every pair of a bucket is either
-    compared or within one component, so no component is missed.
+    No bucket is expanded into its pairs. Each is first a star around its least id; buckets whose ids are then in one
+    component hold no link that could change the result. In the others one id outside the star's component, drawn by
+    hash, makes a second star. What is then still outside its star's component is compared with all of its family, the
+    buckets of that component, in blocks of bounded size that give back links only. So every pair of a bucket is
+    compared or within one component, and no component is missed.
     """
     spread = heads.select(F.explode("bands").alias("bucket"), "v")
     stars = spread.groupBy("bucket").agg(F.min("v").alias("hub"), F.max("v").alias("top"), F.count("*").alias("n")).filter("hub < top")
@@ -49,22 +55,31 @@ def classes_of(scratch: Scratch, heads: DataFrame, verify: Callable[[DataFrame,
     checked = scratch.save(members.filter("v > hub").select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct(), "pairs1")
     links = verify(checked, "1")
     roots = components(scratch, links, "roots1")
-    for turn in (2, 3):
+
+    def split_buckets(tag: str) -> DataFrame:
         named = members.filter("n > 2").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
         named = named.join(roots.select(F.col("v").alias("hub"), F.col("root").alias("main")), "hub", "left").withColumn("main", F.coalesce("main", "hub"))
-        named = scratch.save(named.select("bucket", "v", "hub", "n", "root", "main"), f"named{turn}")
-        outside = named.filter("root <> main")
-        if turn == 2:
-            picked = outside.groupBy("bucket").agg(F.min_by(F.struct("v", "root"), "v").alias("x")).select("bucket", F.col("x.v").alias("p"), F.col("x.root").alias("p_root"))
-        else:
-            picked = outside.select("bucket", F.col("v").alias("p"), F.col("root").alias("p_root"))
-        pairs = named.join(picked, "bucket").filter("root <> p_root").select(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b")).distinct()
-        pairs = scratch.save(pairs.join(checked, ["a", "b"], "left_anti"), f"pairs{turn}")
-        if not pairs.limit(1).count():
-            break
-        more = verify(pairs, str(turn))
-        checked = checked.union(pairs)
-        if more.limit(1).count():
-            links = links.union(more)
-            roots = components(scratch, links, f"roots{turn}")
-    return roots
+        named = scratch.save(named.select("bucket", "v", "root", "main"), f"named{tag}")
+        mixed = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
+        return named.join(mixed, "bucket")
+
+    named = split_buckets("2")
+    picked = named.filter("root <> main").groupBy("bucket").agg(F.min_by(F.struct("v", "root"), F.xxhash64("v")).alias("x")).select("bucket", F.col("x.v").alias("p"), F.col("x.root").alias("p_root"))
+    pairs = named.join(picked, "bucket").filter("root <> p_root").select(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b")).distinct()
+    pairs = scratch.save(pairs.join(checked, ["a", "b"], "left_anti"), "pairs2")
+    if not pairs.limit(1).count():
+        return roots
+    links = scratch.save(links.union(verify(pairs, "2")), "links")
+    roots = components(scratch, links, "roots2")
+
+    family = scratch.save(split_buckets("3").select(F.col("main").alias("family"), "v", "root").distinct(), "family")
+    outer = F.col("root") != F.col("family")
+    sizes = family.groupBy("family").agg(F.count("*").alias("n"), F.count_if(outer).alias("m")).filter("m > 0 and n > 2")
+    sizes = sizes.select("family", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int").alias("rows"), F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("columns"))
+    placed = family.join(sizes, "family").withColumn("h", F.xxhash64("v"))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = placed.filter(outer).withColumn("i", F.pmod("h", F.col("rows")).cast("int")).withColumn("j", all_of("columns")).withColumn("outer", F.lit(True))
+    right = placed.withColumn("j", F.pmod("h", F.col("columns")).cast("int")).withColumn("i", all_of("rows")).withColumn("outer", F.lit(False))
+    blocks = left.select("family", "i", "j", "outer", "v", "root").unionByName(right.select("family", "i", "j", "outer", "v", "root"))
+    more = scratch.save(compare(blocks), "more")
+    return components(scratch, links.union(more), "roots3") if more.limit(1).count() else roots

@@ -83,3 +83,8 @@ def worker_state(key, make):
     if key not in kept:
         kept[key] = make()
     return kept[key]
+
+
+def release_worker_state() -> None:
+    """Frees what an earlier operator kept in this worker."""
+    sys.modules.setdefault("gritstone_worker_state", types.ModuleType("gritstone_worker_state")).__dict__.setdefault("kept", {}).clear()

@@ -11,7 +11,7 @@ U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _STEP = 0xD6E8FEB86659FD93
 #: Bytes worked on at once; a longer text is taken alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def byte_values() -> np.ndarray:

@@ -212,7 +212,26 @@ def recordings(media: DataFrame, key: str, value: str) -> DataFrame:
         both = both.join(side.select(F.col("v").alias("b"), F.col("prints").alias("prints_b")), "b").select("a", "b", "prints_a", "prints_b")
         return scratch.save(both.mapInArrow(_aligned, f"a {kind}, b {kind}"), f"links{tag}")
 
-    roots = classes_of(scratch, own.select("v", "bands"), verify)
+    def compare(blocks: DataFrame) -> DataFrame:
+        rows = blocks.join(own.select("v", "prints", "bands"), "v").select("family", "i", "j", "outer", "v", "root", "prints", "bands")
+
+        def links(group: pa.Table) -> pa.Table:
+            ids, roots, outer = (group[c].to_pylist() for c in ("v", "root", "outer"))
+            prints = [np.frombuffer(x, "<u4") for x in group["prints"].to_pylist()]
+            keys = [set(x) for x in group["bands"].to_pylist()]
+            found = []
+            for x in (k for k, o in enumerate(outer) if o):
+                for y in (k for k, o in enumerate(outer) if not o):
+                    if roots[x] != roots[y] and not keys[x].isdisjoint(keys[y]):
+                        a, b = (x, y) if ids[x] < ids[y] else (y, x)
+                        if aligned(prints[a], prints[b]):
+                            found.append((ids[a], ids[b]))
+            kinds = group.schema.field("v").type
+            return pa.table({"a": pa.array([a for a, _ in found], kinds), "b": pa.array([b for _, b in found], kinds)})
+
+        return rows.groupBy("family", "i", "j").applyInArrow(links, f"a {kind}, b {kind}")
+
+    roots = classes_of(scratch, own.select("v", "bands"), verify, compare)
     named = heads.distinct().join(roots.withColumnRenamed("v", "head"), "head", "left").select("v", F.coalesce("root", "head").alias("class_id"))
     named = named.groupBy("v").agg(F.min("class_id").alias("class_id"))
     out = found.select("v", "n_prints", "prints_crc32").join(named, "v", "left")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._shared import Scratch, small_batches, table
+from ._shared import release_worker_state, Scratch, small_batches, table
 
 WINDOW = 13
 GRAM = 7
@@ -121,6 +121,7 @@ def hits(docs: DataFrame, bench: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(Block([(r.id, r.text) for r in part.collect()]))
 
         def mark(batches, shared=shared):
+            release_worker_state()
             for batch in batches:
                 block, n = shared.value, batch.num_columns
                 counts, spots, ids = [], batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist()

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._shared import HELD_OUT, fold, small_batches, table
+from ._shared import fold, HELD_OUT, release_worker_state, small_batches, table
 
 BUCKETS = 1 << 16
 ORDERS = (2, 3)
@@ -78,6 +78,7 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
     small_batches(spark)
 
     def count(batches):
+        release_worker_state()
         total = np.zeros((len(languages), BUCKETS), dtype=np.int64)
         for batch in batches:
             of = np.array([index[x] for x in batch.column(0).to_pylist()], dtype=np.int64)
@@ -120,6 +121,7 @@ def identify(docs: DataFrame, model, text: str = "text", key: str = "doc_id") ->
     shared = spark.sparkContext.broadcast(model)
 
     def score(batches):
+        release_worker_state()
         for batch in batches:
             names, scores = score_texts(batch.column(2), *shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
@@ -137,6 +139,7 @@ def keep_identified(docs: DataFrame, model, least: float = 0.3) -> DataFrame:
     at = docs.columns.index("text")
 
     def keep(batches):
+        release_worker_state()
         for batch in batches:
             names, scores = score_texts(batch.column(at), *shared.value)
             yield batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(names, scores)], pa.bool_()))

@@ -5,7 +5,7 @@ one shingle), weighted by 1 + ln(count). A shingle's arrivals are a Poisson proc
 its hash; each arrival falls into one of the signature's components, which keeps the earliest. A shingle stops as soon as its
 next arrival is later than every component's: two signatures then agree in a component with the probability Jaccard
 similarity of the weighted sets. Components are banded; ids that share a band are compared, first by their signatures
-and then exactly by the Jaccard similarity of their shingle sets.
+and then exactly by the Jaccard similarity of their shingle sets (see _links for how no bucket becomes all its pairs).
 
 Texts of equal words are one class head from the start, so copies are never paired. Classes are the connected
 components of links of ``threshold`` or more; class_id is the least doc_id.
@@ -23,16 +23,16 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 from ._links import classes_of
-from ._shared import Scratch, small_batches, table
+from ._shared import release_worker_state, Scratch, small_batches, table
 
 U = np.uint64
 SHINGLE = 5
 THRESHOLD = 0.8
-#: 25 bands of 4 components: a pair at 0.8 shares none with a probability of 2e-6.
-BANDS, ROWS = 25, 4
+#: 32 bands of 6 components: a pair at 0.8 shares none with a probability of 6e-5, one at 0.85 of 3e-7.
+BANDS, ROWS = 32, 6
 COMPONENTS = BANDS * ROWS
-#: Pairs whose signatures agree in less than this share are no links: more than 6 standard deviations below 0.8.
-SURELY_BELOW = 0.55
+#: Pairs whose signatures agree in less than this share are no links: 5 standard deviations below 0.8.
+SURELY_BELOW = 0.655
 
 
 def shingles(words: W.Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +100,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def sign(batches):
+        release_worker_state()
         for batch in batches:
             data, offsets = W.utf8(batch.column(1))
             for a, b in W.pieces(offsets):
@@ -146,6 +147,43 @@ def jaccard_of_pairs(left, right) -> np.ndarray:
     return out
 
 
+def near_in_block(group: pa.Table, threshold: float):
+    """Ends (least first) of links between outer and other ids of a block with different roots.
+
+    Shingles of one text of the block alone can't be common, so only the others become columns of 0/1 matrices, whose
+    products are the intersections.
+    """
+    data, offsets = W.utf8(group["text"])
+    hashes, owners = [], []
+    for a, b in W.pieces(offsets):
+        own, of, _ = weighted(*shingles(W.split(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], W.plain_table())))
+        hashes.append(own)
+        owners.append(of + a)
+    hashes, owners = np.concatenate(hashes), np.concatenate(owners)
+    sizes = np.bincount(owners, minlength=len(group))
+    _, column, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+    common = np.flatnonzero(counts[column] > 1)
+    outer = group["outer"].to_numpy()
+    roots, ids = group["root"].to_numpy(), group["v"].to_numpy()
+    x, y = np.flatnonzero(outer), np.flatnonzero(~outer)
+    both = np.zeros((len(x), len(y)), np.float32)
+    place = np.full(len(group), -1)
+    place[x], place[y] = np.arange(len(x)), np.arange(len(y))
+    order = common[np.argsort(column[common], kind="stable")]
+    dense = np.unique(column[order], return_inverse=True)[1] if len(order) else np.zeros(0, np.int64)
+    for at in range(0, int(dense.max()) + 1 if len(dense) else 0, 8192):
+        part = order[(dense >= at) & (dense < at + 8192)]
+        where = dense[(dense >= at) & (dense < at + 8192)] - at
+        left, right = np.zeros((len(x), 8192), np.float32), np.zeros((len(y), 8192), np.float32)
+        side = outer[owners[part]]
+        left[place[owners[part]][side], where[side]] = 1
+        right[place[owners[part]][~side], where[~side]] = 1
+        both += left @ right.T
+    near = both >= threshold * (sizes[x][:, None] + sizes[y][None, :] - both)
+    i, j = np.nonzero(near & (roots[x][:, None] != roots[y][None, :]) & (both > 0))
+    return np.minimum(ids[x[i]], ids[y[j]]), np.maximum(ids[x[i]], ids[y[j]])
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and class_id of every row."""
     spark = docs.sparkSession
@@ -157,25 +195,40 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     heads = scratch.save(worded.select("v", "key_a", "key_b", "n").join(copies, ["key_a", "key_b", "n"]).select("v", "head"), "heads")
     own = scratch.save(signed.join(heads.filter("v = head").select("v").distinct(), "v", "left_semi").select("v", "bands", "sketch"), "own")
 
+    # Joins by merging, whatever the sizes: what is moved then grows evenly with the input.
+    several = own.select(F.explode("bands").alias("bucket"), "v")
+    several = several.groupBy("bucket").agg(F.min("v").alias("least"), F.max("v").alias("most")).filter("least < most").select("bucket").join(several, "bucket").select(F.col("v").alias("doc_id")).distinct()
+    texts = scratch.save(docs.hint("merge").join(several, "doc_id", "left_semi"), "texts")
+
     def verify(pairs: DataFrame, tag: str) -> DataFrame:
-        sketch = own.select("v", "sketch")
+        sketch = own.select("v", "sketch").hint("merge")
         both = pairs.join(sketch.select(F.col("v").alias("a"), F.col("sketch").alias("sketch_a")), "a")
         both = both.join(sketch.select(F.col("v").alias("b"), F.col("sketch").alias("sketch_b")), "b").select("a", "b", "sketch_a", "sketch_b")
         kind = dict(pairs.dtypes)["a"]
         near = scratch.save(both.mapInArrow(_agree, f"a {kind}, b {kind}"), f"near{tag}")
-        ends = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-        texts = scratch.save(docs.join(ends, "doc_id", "left_semi"), f"texts{tag}")
-        full = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        full = full.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+        text = texts.hint("merge")
+        full = near.join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+        full = full.join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
         def exact(batches):
+            release_worker_state()
             for batch in batches:
                 same = jaccard_of_pairs(batch.column(2), batch.column(3)) >= threshold
                 yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(same))
 
         return scratch.save(full.mapInArrow(exact, f"a {kind}, b {kind}"), f"links{tag}")
 
-    roots = classes_of(scratch, own.select("v", "bands"), verify)
+    def compare(blocks: DataFrame) -> DataFrame:
+        kind = dict(blocks.dtypes)["v"]
+        rows = blocks.join(texts.hint("merge").select(F.col("doc_id").alias("v"), "text"), "v").select("family", "i", "j", "outer", "v", "root", "text")
+
+        def links(group: pa.Table) -> pa.Table:
+            a, b = near_in_block(group, threshold)
+            return pa.table({"a": a, "b": b})
+
+        return rows.groupBy("family", "i", "j").applyInArrow(links, f"a {kind}, b {kind}")
+
+    roots = classes_of(scratch, own.select("v", "bands"), verify, compare)
     heads_in = heads.distinct().join(roots.withColumnRenamed("v", "head"), "head", "left").select("v", F.coalesce("root", "head").alias("class_id"))
     least = heads_in.groupBy("v").agg(F.min("class_id").alias("class_id"))
     out = docs.select("doc_id").join(least.withColumnRenamed("v", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
@@ -189,7 +242,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class: that of the least doc_id."""
     dropped = near_duplicates(docs).filter("class_id < doc_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    return docs.hint("merge").join(dropped, "doc_id", "left_anti").select(docs.columns)
 
 
 ORACLE = r"""
