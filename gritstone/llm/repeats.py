@@ -12,7 +12,7 @@ hashes of their path labels:
 
 So groups of suffixes are lengthened only where they branch, no group is gathered in one task (least ids are combined
 before shuffles, and joins back are equi-joins that adaptive execution splits), and texts are shuffled once, into a
-table bucketed by doc_id that the later steps join without a shuffle.
+table bucketed by row that the later steps join without a shuffle.
 
 Cases: null and wordless texts have no words; texts under 50 words lose none; windows within one document don't count;
 rows with a null doc_id are kept whole and cover nothing; rows that share a doc_id don't cover each other; an empty
@@ -70,8 +70,8 @@ def _anchors(batches):
     for batch in batches:
         for a, b, words in _split(batch.column(1)):
             gram, context, of, lo, hi = anchors_of(words)
-            ids = batch.column(0).slice(a, b - a).take(pa.array(of))
-            yield pa.RecordBatch.from_arrays([pa.array(W.signed(gram)), pa.array(W.signed(context)), ids, pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["gram", "context", "doc_id", "lo", "hi"])
+            ids, rows = (batch.column(k).slice(a, b - a).take(pa.array(of)) for k in (0, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(W.signed(gram)), pa.array(W.signed(context)), ids, rows, pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["gram", "context", "doc_id", "rid", "lo", "hi"])
 
 
 def _marks(spans, first: np.ndarray, n: int) -> np.ndarray:
@@ -89,10 +89,10 @@ def _windows(batches):
     for batch in batches:
         for a, b, words in _split(batch.column(1)):
             n = len(words.hashes)
-            at = np.flatnonzero(_marks(batch.column(2).slice(a, b - a), words.first, n))
+            at = np.flatnonzero(_marks(batch.column(3).slice(a, b - a), words.first, n))
             of = words.text_of()[at]
-            ids = batch.column(0).slice(a, b - a).take(pa.array(of))
-            yield pa.RecordBatch.from_arrays([pa.array(W.signed(W.grams(words.hashes, WINDOW)[at])), ids, pa.array((at - words.first[:-1][of]).astype(np.int32))], ["w", "doc_id", "lo"])
+            ids, rows = (batch.column(k).slice(a, b - a).take(pa.array(of)) for k in (0, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(W.signed(W.grams(words.hashes, WINDOW)[at])), ids, rows, pa.array((at - words.first[:-1][of]).astype(np.int32))], ["w", "doc_id", "rid", "lo"])
 
 
 def _cut(batches):
@@ -111,22 +111,23 @@ def _cut(batches):
 
 
 def covered(scratch: Scratch, texts: DataFrame) -> DataFrame:
-    """doc_id and spans, the word ranges [lo, hi) that windows of smaller documents cover. texts: doc_id, text."""
-    spark, kind = texts.sparkSession, dict(texts.dtypes)["doc_id"]
-    present = texts.filter(F.col("doc_id").isNotNull())
-    anchors = scratch.save(present.mapInArrow(_anchors, f"gram long, context long, doc_id {kind}, lo int, hi int"), "anchors")
+    """rid and spans, the word ranges [lo, hi) that windows of smaller documents cover. texts: doc_id, text, rid."""
+    kind = dict(texts.dtypes)["doc_id"]
+    present = texts.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", "rid")
+    anchors = scratch.save(present.mapInArrow(_anchors, f"gram long, context long, doc_id {kind}, rid long, lo int, hi int"), "anchors")
     shared = anchors.groupBy("gram").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("gram")
     shared = scratch.save(anchors.join(shared, "gram"), "shared")
     contexts = scratch.save(shared.groupBy("gram", "context").agg(F.min("doc_id").alias("least")), "contexts")
     branches = contexts.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram", F.lit(True).alias("branches"))
     contexts = contexts.join(branches, "gram", "left")
-    judged = scratch.save(shared.join(contexts, ["gram", "context"]).select("doc_id", "lo", "hi", (F.col("least") < F.col("doc_id")).alias("whole"), "branches").filter("whole or branches"), "judged")
-    inside = judged.filter("whole").select("doc_id", "lo", (F.col("hi") + WINDOW).alias("hi"))
-    ends = judged.filter("not whole").groupBy("doc_id").agg(F.collect_list(F.struct("lo", (F.col("hi") + 1).alias("hi"))).alias("spans"))
-    windows = scratch.save(texts.join(ends.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "spans").mapInArrow(_windows, f"w long, doc_id {kind}, lo int"), "windows")
+    judged = scratch.save(shared.join(contexts, ["gram", "context"]).select("rid", "lo", "hi", (F.col("least") < F.col("doc_id")).alias("whole"), "branches").filter("whole or branches"), "judged")
+    inside = judged.filter("whole").select("rid", "lo", (F.col("hi") + WINDOW).alias("hi"))
+    ends = judged.filter("not whole").groupBy("rid").agg(F.collect_list(F.struct("lo", (F.col("hi") + 1).alias("hi"))).alias("spans"))
+    windows = texts.join(ends.hint("shuffle_hash"), "rid").select("doc_id", "text", "rid", "spans")
+    windows = scratch.save(windows.mapInArrow(_windows, f"w long, doc_id {kind}, rid long, lo int"), "windows")
     seen = windows.groupBy("w").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("w", "least")
-    outside = windows.join(seen, "w").filter("least < doc_id").select("doc_id", "lo", (F.col("lo") + WINDOW).alias("hi"))
-    return inside.union(outside).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    outside = windows.join(seen, "w").filter("least < doc_id").select("rid", "lo", (F.col("lo") + WINDOW).alias("hi"))
+    return inside.union(outside).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -135,12 +136,12 @@ def dedup(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     scratch = Scratch(spark, "repeats")
     name, buckets = f"gritstone_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", "text").repartition(buckets, "doc_id")
-    rows.write.option("path", scratch.path("texts")).option("compression", "zstd").bucketBy(buckets, "doc_id").saveAsTable(name)
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("rid")).repartition(buckets, "rid")
+    rows.write.option("path", scratch.path("texts")).option("compression", "zstd").bucketBy(buckets, "rid").saveAsTable(name)
     texts = spark.table(name)
     try:
         spans = covered(scratch, texts)
-        out = texts.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans")
+        out = texts.join(spans.hint("shuffle_hash"), "rid", "left").select("doc_id", "text", "spans")
         kind = dict(texts.dtypes)["doc_id"]
         return scratch.finish(out.mapInArrow(_cut, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string"))
     finally:
