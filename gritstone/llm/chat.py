@@ -53,7 +53,7 @@ def reconstruct(events: DataFrame) -> DataFrame:
     by = Win.partitionBy("conv_id", "turn").orderBy("seq", "event", "text")
     starts = F.col("event").isin("open", "edit", "regenerate")
     rows = events.select("conv_id", "turn", "seq", "event", "role", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("part", F.row_number().over(by)).withColumn("restart", F.max(F.when(starts, F.struct("seq", "event", "text")["seq"])).over(Win.partitionBy("conv_id", "turn")))
+    rows = rows.withColumn("part", F.row_number().over(by)).withColumn("restart", F.max(F.when(starts, F.col("seq"))).over(Win.partitionBy("conv_id", "turn")))
     rows = rows.filter(F.col("restart").isNull() | (F.col("seq") >= F.col("restart")) | F.col("role").isNotNull())
     live = F.col("restart").isNull() | (F.col("seq") > F.col("restart")) | ((F.col("seq") == F.col("restart")) & starts)
     return rows.groupBy("conv_id", "turn").agg(

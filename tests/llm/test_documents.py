@@ -86,10 +86,8 @@ def test_blocks_find_all_links():
 
 
 def test_decontamination(spark, docs, rows, hard, empty):
-    body = [w for r in rows if r[0] == 20 or r[0] == 40 for w in decontaminate_words(r[1])]
     some = [r for r in rows if len(words(r[1])) >= 80][0]
     items = [(1, " ".join(words(some[1])[5:25])), (2, "never seen words at all in any of these documents which are all made up here"), (10, words(some[1])[0].upper()), (3, None), (4, "")]
-    del body
     bench = spark.createDataFrame(items, "item_id long, text string")
     plain = [(str(k), decontaminate_words(t)) for k, t in items]
 
