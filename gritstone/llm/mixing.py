@@ -133,9 +133,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its first word: 0, 1 or 2 times, whole."""
-    times = mix(docs.select("doc_id", "text", "source")).groupBy("doc_id").agg(F.max("_begins").alias("_times")).filter("_times > 0")
+    times = mix(docs.select("doc_id", "text", "source")).groupBy(F.col("doc_id").alias("_id")).agg(F.max("_begins").alias("_times")).filter("_times > 0")
     copies = F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int")))
-    return docs.join(times, "doc_id").withColumn("_copy", copies).select(docs.columns)
+    return docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", copies).select(docs.columns)
 
 
 ORACLE = f"""

@@ -295,3 +295,9 @@ def test_pipeline(spark, docs, empty, tmp_path):
         spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve thirteen")], "item_id long, text string").write.parquet(str(root / "benchmark.parquet"))
         out = corpus_pipeline.run(spark, str(root))
         assert out.columns[:4] == ["doc_id", "start", "n_tokens", "ids_crc32"] and (out.count() > 20) == (name == "some")
+
+
+def test_mixing_stage_keeps_columns_and_null_ids(spark, hard):
+    out = mixing.stage(spark, hard, "")
+    assert out.columns == hard.columns and 0 < out.count() <= 2 * hard.count()
+    assert out.filter("doc_id is null").count() <= 2
