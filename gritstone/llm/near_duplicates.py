@@ -1,10 +1,11 @@
 """Near-duplicate classes by ProbMinHash, banding and verification.
 
 Each document is the set of its 5-word shingles (words between ASCII white space, unchanged; a text of 1 to 4 words is
-one shingle), weighted by 1 + ln(count). A shingle's arrivals are a Poisson process with its weight as rate, drawn from
-its hash; each arrival falls into one of the signature's components, which keeps the earliest. A shingle stops as soon as its
-next arrival is later than every component's: two signatures then agree in a component with the probability Jaccard
-similarity of the weighted sets. Components are banded; ids that share a band are compared, first by their signatures
+one shingle), all of weight 1 however often they occur: links are judged by sets, so candidates must be too. A shingle's
+arrivals are a Poisson process with its weight as rate, drawn from its hash; each arrival falls into one of the signature's
+components, which keeps the earliest. A shingle stops as soon as its next arrival is later than every component's: two
+signatures then agree in a component with the probability Jaccard similarity, which for equal weights is the Jaccard
+similarity of the sets. Components are banded; ids that share a band are compared, first by their signatures
 and then exactly by the Jaccard similarity of their shingle sets (see _links for how no bucket becomes all its pairs).
 
 Texts of equal words are one class head from the start, so copies are never paired. Classes are the connected
@@ -28,11 +29,11 @@ from ._shared import release_worker_state, Scratch, small_batches, table
 U = np.uint64
 SHINGLE = 5
 THRESHOLD = 0.8
-#: 32 bands of 6 components: a pair at 0.8 shares none with a probability of 6e-5, one at 0.85 of 3e-7.
-BANDS, ROWS = 32, 6
+#: 40 bands of 5 components: a pair at 0.8 shares none with a probability of 1.3e-7, one at 0.85 of 7e-11.
+BANDS, ROWS = 40, 5
 COMPONENTS = BANDS * ROWS
-#: Pairs whose signatures agree in less than this share are no links: 5 standard deviations below 0.8.
-SURELY_BELOW = 0.655
+#: Pairs whose signatures agree in less than this share are no links: 7 standard deviations below 0.8 (3e-11).
+SURELY_BELOW = 0.6
 
 
 def shingles(words: W.Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -105,8 +106,8 @@ def signatures(docs: DataFrame) -> DataFrame:
             data, offsets = W.utf8(batch.column(1))
             for a, b in W.pieces(offsets):
                 words = W.split(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], W.plain_table())
-                hashes, owners, counts = weighted(*shingles(words))
-                ident = prob_minhash(hashes, owners, 1 + np.log(counts), b - a)
+                hashes, owners, _ = weighted(*shingles(words))
+                ident = prob_minhash(hashes, owners, np.ones(len(hashes)), b - a)
                 n = np.diff(words.first)
                 keys = W.signed(band_keys(ident))[n > 0]
                 ends = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))])

@@ -63,6 +63,18 @@ def test_near_duplicates(docs, rows, hard, empty):
     assert near_duplicates.near_duplicates(empty).count() == 0
 
 
+def test_near_copies_with_other_repeat_counts(spark):
+    texts = []
+    for k in range(16):
+        head, block = ([f"{part}{k}w{i}" for i in range(100)] for part in "hb")
+        texts += [head + block * (100 if k % 2 else 30), head + block]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    want = {i: min(j for j in range(len(sets)) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])) for i in range(len(sets))}
+    assert want == {i: i - i % 2 for i in range(32)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(docs).collect()} == want
+
+
 def test_prob_minhash_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     hashes = rng.integers(0, 2**63, 90).astype(np.uint64)
