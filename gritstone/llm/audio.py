@@ -12,13 +12,15 @@ components of links, named by the least id.
 
 The query takes the UTF-8 bytes of documents as its recordings, since the tables have no sound: every byte is a sample.
 
-Cases: null, empty and too short recordings (under 1216 samples) have no integers and are classes of their own; a WAV
+Cases: too short recordings (under 1216 samples) have no integers, and are in one class if their samples are equal, empty
+ones too; nulls are classes of their own; a WAV
 header that can't be read makes its bytes raw samples; rows with a null id have a null class; rows that share an id are
 one node; an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 
@@ -129,20 +131,30 @@ def prints_of(samples: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return packed, begin
 
 
-def fingerprints(column) -> list[np.ndarray]:
-    """Packed integers of each value of an Arrow column of bytes."""
+def fingerprints(column) -> tuple[list[np.ndarray], list[bytes]]:
+    """Packed integers of each value of an Arrow column of bytes, and what equal recordings have in common.
+
+    That is a hash of the integers, or of the samples where there are none.
+    """
     values, offsets = W.utf8(column)
     out: list[np.ndarray] = []
+    same: list[bytes] = []
     for a, b in W.pieces(offsets):
         own, places = values[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         heads = [own[p : p + 4].tobytes() == b"RIFF" for p in places[:-1]]
+        raw = [True] * len(heads)
         if any(heads):
             parts = [wav(own[p:q].tobytes()) if h else None for h, p, q in zip(heads, places, places[1:])]
+            raw = [x is None for x in parts]
             parts = [own[p:q].astype(np.float32) if x is None else x for x, p, q in zip(parts, places, places[1:])]
             own, places = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
         packed, begin = prints_of(own, places)
-        out += np.split(packed, begin[1:-1])
-    return out
+        prints = np.split(packed, begin[1:-1])
+        out += prints
+        for x, head, p, q in zip(prints, raw, places, places[1:]):
+            whole = b"p" + x.astype("<u4").tobytes() if len(x) else b"s" + (own[p:q].astype("<f4") - (128 if head else 0)).tobytes()
+            same.append(hashlib.sha256(whole).digest())
+    return out, same
 
 
 def run_keys(prints: np.ndarray) -> np.ndarray:
@@ -176,13 +188,14 @@ def aligned(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _print(batches):
     for batch in batches:
-        prints = fingerprints(batch.column(1))
+        prints, same = fingerprints(batch.column(1))
+        same = [x if valid else None for x, valid in zip(same, batch.column(1).is_valid().to_pylist())]
         keys = [run_keys(p) for p in prints]
         ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
         whole = [x.astype("<u4").tobytes() for x in prints]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(x) for x in prints], pa.int64()), pa.array([zlib.crc32(x) for x in whole], pa.int64()), pa.array(whole, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(W.signed(np.concatenate([*keys, np.zeros(0, U)]))))],
-            ["v", "n_prints", "prints_crc32", "prints", "bands"],
+            [batch.column(0), pa.array([len(x) for x in prints], pa.int64()), pa.array([zlib.crc32(x) for x in whole], pa.int64()), pa.array(whole, pa.binary()), pa.array(same, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(W.signed(np.concatenate([*keys, np.zeros(0, U)]))))],
+            ["v", "n_prints", "prints_crc32", "prints", "same", "bands"],
         )
 
 
@@ -200,10 +213,10 @@ def recordings(media: DataFrame, key: str, value: str) -> DataFrame:
     scratch = Scratch(spark, "audio")
     kind = dict(media.dtypes)[key]
     rows = media.select(F.col(key).alias("v"), F.col(value).cast("binary").alias("media"))
-    found = scratch.save(rows.mapInArrow(_print, f"v {kind}, n_prints long, prints_crc32 long, prints binary, bands array<long>"), "prints")
-    sounding = found.filter("v is not null and n_prints > 0").select("v", F.sha2("prints", 256).alias("sha"))
-    heads = sounding.groupBy("sha").agg(F.min("v").alias("head"))
-    heads = scratch.save(sounding.join(heads, "sha").select("v", "head"), "heads")
+    found = scratch.save(rows.mapInArrow(_print, f"v {kind}, n_prints long, prints_crc32 long, prints binary, same binary, bands array<long>"), "prints")
+    valued = found.filter("v is not null and same is not null").select("v", "same")
+    heads = valued.groupBy("same").agg(F.min("v").alias("head"))
+    heads = scratch.save(valued.join(heads, "same").select("v", "head"), "heads")
     own = scratch.save(found.join(heads.filter("v = head").select("v").distinct(), "v", "left_semi").select("v", "prints", "bands"), "own")
 
     def verify(pairs: DataFrame, tag: str) -> DataFrame:

@@ -297,6 +297,16 @@ def test_audio(spark, docs, rows, hard, empty):
     assert audio.recordings(hard, "doc_id", "text").count() == hard.count() and audio.recordings(empty, "doc_id", "text").count() == 0
 
 
+def test_short_copies_share_a_class(spark):
+    rng = np.random.default_rng(6)
+    short, one_less = rng.integers(0, 256, 1000).astype(np.uint8).tobytes(), rng.integers(0, 256, 1215).astype(np.uint8).tobytes()
+    head = b"RIFF" + (36 + 1000).to_bytes(4, "little") + b"WAVEfmt " + (16).to_bytes(4, "little") + b"\x01\x00\x01\x00" + (8000).to_bytes(4, "little") * 2 + b"\x01\x00\x08\x00data" + (1000).to_bytes(4, "little")
+    clips = [(1, short), (2, one_less), (3, short), (4, one_less), (5, short[:-1]), (6, b"x"), (7, b"x"), (8, b""), (9, b""), (10, None), (11, None), (12, head + short), (None, short), (3, short)]
+    got = audio.recordings(spark.createDataFrame(clips, "id long, media binary"), "id", "media").collect()
+    want = {1: 1, 2: 2, 3: 1, 4: 2, 5: 5, 6: 6, 7: 6, 8: 8, 9: 8, 10: 10, 11: 11, 12: 1, None: None}
+    assert len(got) == len(clips) and {r.id: r.class_id for r in got} == want and all(r.n_prints == 0 for r in got)
+
+
 def test_pipeline(spark, docs, empty, tmp_path):
     import corpus_pipeline
 
