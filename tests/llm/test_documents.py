@@ -297,6 +297,37 @@ def test_audio(spark, docs, rows, hard, empty):
     assert audio.recordings(hard, "doc_id", "text").count() == hard.count() and audio.recordings(empty, "doc_id", "text").count() == 0
 
 
+def bit_errors(rng, prints, share):
+    return prints ^ ((rng.random((len(prints), 32)) < share) << np.arange(32)).sum(axis=1).astype(np.uint32)
+
+
+def test_audio_with_bit_errors(spark):
+    rng = np.random.default_rng(3)
+    tune = (128 + 50 * np.sin(2 * np.pi * np.repeat(rng.choice([220, 262, 330, 392, 440, 523], 60), 400) * np.arange(24_000) / 8000)).astype(np.uint8)
+    noisy = np.clip(tune.astype(int) + rng.integers(-2, 3, len(tune)), 0, 255).astype(np.uint8)
+    louder = np.clip(tune.astype(int) + rng.integers(-6, 7, len(tune)), 0, 255).astype(np.uint8)
+    clips = [(1, tune.tobytes()), (9, noisy.tobytes()), (10, louder.tobytes()[64 * 20 + 13 :]), (11, rng.integers(0, 256, 24_000).astype(np.uint8).tobytes())]
+    prints = dict(zip((1, 9, 10, 11), (audio.prints_of(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0] for _, x in clips)))
+    assert all(0 < audio.align(prints[1], prints[k])[2] <= 0.15 for k in (9, 10)) and audio.align(prints[1], prints[11])[2] > 0.15
+    got = {r.id: r.class_id for r in audio.recordings(spark.createDataFrame(clips, "id long, media binary"), "id", "media").collect()}
+    assert got == {1: 1, 9: 1, 10: 1, 11: 11}
+
+
+def test_audio_candidates_against_brute_force():
+    rng = np.random.default_rng(4)
+    for share, least in ((0.05, 0.99), (0.1, 0.95), (0.14, 0.6)):
+        linked = found = 0
+        for _ in range(100):
+            a = rng.integers(0, 2**32, 90, dtype=np.uint32)
+            b = bit_errors(rng, a[20:], share)
+            brute = min(np.bitwise_count(a[max(0, k) : 70 + k] ^ b[max(0, -k) : 90 - k]).mean() / 32 for k in range(-35, 56))
+            shift, n, errors = audio.align(a, b)
+            assert errors == pytest.approx(brute) and (shift, n) == (20, 70)
+            linked += brute <= 0.15
+            found += brute <= 0.15 and len(np.intersect1d(audio.run_keys(a), audio.run_keys(b))) > 0
+        assert linked > 70 and found >= least * linked
+
+
 def test_short_copies_share_a_class(spark):
     rng = np.random.default_rng(6)
     short, one_less = rng.integers(0, 256, 1000).astype(np.uint8).tobytes(), rng.integers(0, 256, 1215).astype(np.uint8).tobytes()
@@ -307,6 +338,20 @@ def test_short_copies_share_a_class(spark):
     assert len(got) == len(clips) and {r.id: r.class_id for r in got} == want and all(r.n_prints == 0 for r in got)
 
 
+def test_sharing_within_a_block():
+    keys = [np.array(x, np.uint64) for x in ([1, 2], [2, 3], [4], [], [3, 4, 9])]
+    outer = np.array([True, False, True, False, False])
+    assert list(zip(*audio.sharing(keys, outer))) == [(0, 1), (2, 4)]
+
+
+@pytest.mark.parametrize("n,m", [(5, 9), (9, 4), (600, 700)])
+def test_errors_at_every_offset(n, m):
+    rng = np.random.default_rng(5)
+    a, b = (rng.integers(0, 2**32, k, dtype=np.uint32) for k in (n, m))
+    want = [np.bitwise_count(a[max(0, k) : min(n, m + k)] ^ b[max(0, -k) : min(m, n - k)]).sum() for k in range(1 - m, n)]
+    assert audio.errors_by_shift(a, b).tolist() == want
+
+
 def test_pipeline(spark, docs, empty, tmp_path):
     import corpus_pipeline
 
