@@ -60,7 +60,7 @@ def auroc_by_lang(spark, d):
     "auprc_by_lang",
     f"""WITH {REC}, g AS (SELECT dataset, round(s, 2) AS s, sum(y) AS pos, count(*) AS n FROM rec GROUP BY 1, 2),
 w AS (SELECT *, sum(pos) OVER o AS tp, sum(n) OVER o AS k FROM g WINDOW o AS (PARTITION BY dataset ORDER BY s DESC))
-SELECT dataset, round(sum(pos * (tp / k::DOUBLE)) / sum(pos), 9) AS auprc FROM w GROUP BY dataset""",
+SELECT dataset, CASE WHEN sum(pos) BETWEEN 1 AND sum(n) - 1 THEN round(sum(pos * (tp / k::DOUBLE)) / sum(pos), 9) END AS auprc FROM w GROUP BY dataset""",
 )
 def auprc_by_lang(spark, d):
     return _r(S.auprc(records(spark, d).withColumn("s", F.round("s", 2)), "y", "s", ["dataset"]))
@@ -80,7 +80,7 @@ _TAU = f"""grid AS (SELECT unnest(range(1, 100)) / 100.0::DOUBLE AS t),
 tc AS (SELECT {{by}}t, count(*) FILTER (y = 1 AND s >= t - 1e-12) AS tp, count(*) FILTER (y = 0 AND s >= t - 1e-12) AS fp, count(*) FILTER (y = 1 AND s < t - 1e-12) AS fn, count(*) FILTER (y = 0 AND s < t - 1e-12) AS tn FROM {{src}}, grid GROUP BY {{by}}t),
 tm AS (SELECT *, {_MCC} AS mcc FROM tc),
 tb AS (SELECT *, max(mcc) OVER ({{part}}) AS best FROM tm),
-tau AS (SELECT {{by}}t AS tau, mcc FROM tb WHERE mcc >= best - 1e-9 QUALIFY row_number() OVER ({{part}} ORDER BY round(abs(t - 0.5), 9), t) = 1)"""
+tau AS (SELECT {{by}}CASE WHEN best IS NULL THEN 0.5 ELSE t END AS tau, mcc FROM tb WHERE best IS NULL OR mcc >= best - 1e-9 QUALIFY row_number() OVER ({{part}} ORDER BY round(abs(t - 0.5), 9), t) = 1)"""
 
 
 @query("threshold_search", f"WITH {REC}, {_TAU.format(by='dataset, ', src='rec', part='PARTITION BY dataset')} SELECT dataset, tau, round(mcc, 9) AS mcc FROM tau")
