@@ -10,68 +10,86 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from gritstone.functions import evidence as E
+from gritstone.functions import signature as G
 from gritstone.functions import text as T
 from gritstone.operators import ml, prompts, resample
 from gritstone.operators import retrieval as R
 from gritstone.plans import diagnostic
 from gritstone.streaming import runs
 
-from ._bind import h8, h8_sql, query, read, records
-
-_CODES = (
-    "int f(char *buf, int len) {\n  if (len < 10) memcpy(dst, buf, len);\n  return -1;\n}",
-    "void g(struct s *p) {\n#ifdef FEATURE\n  free(p->a);\n#else\n  memcpy(d, s, n);\n#endif\n  fprintf(stderr, \"x\");\n}",
-    "void h(void) {\n#if 0\n  strcpy(a, b);\n#endif\n  if (!p) goto out;\n  g_free(p);\n  helper(p);\n}",
-    "int k(int n) { int a[8]; a[n] = n++; printf(\"%d\", n); return 0; }",
-)
-
-
-def _codes(spark, d):
-    """Documents stand in for functions: each gets one of four C texts and its own id."""
-    code = F.element_at(F.array(*[F.lit(c) for c in _CODES]), (F.pmod(h8("doc_id", "code"), F.lit(4)) + 1).cast("int"))
-    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), code.alias("code"))
+from ._bind import query, read, records
+from ._code import CALLS, JUDGED, codes, conditions
 
 
 @query("call_evidence")
 def call_evidence(spark, d):
-    rows = _codes(spark, d).withColumn("e", F.explode(E.evidence_of("code")))
-    return rows.select("id", "e.api", "e.family", "e.status", "e.state", "e.role", "e.start", "e.end", "e.line", "e.expression")
+    rows = codes(spark, d).withColumn("e", F.explode(E.evidence_of("code")))
+    return rows.select("id", "e.api", "e.family", "e.status", "e.reason", "e.state", "e.role", "e.start", "e.end", "e.line", "e.expression")
 
 
 @query("evidence_text")
 def evidence_text(spark, d):
-    return _codes(spark, d).select("id", E.evidence_text(E.evidence_of("code")).alias("text"))
+    return codes(spark, d).select("id", E.evidence_text(E.evidence_of("code")).alias("text"))
 
 
-@query("unknown_call_inventory")
+@query("unknown_call_inventory", f"WITH {CALLS} SELECT api, count(*) AS sites, count(DISTINCT id) AS queries, array_to_string(list_sort(list(DISTINCT id)), ',') AS query_ids FROM calls WHERE status = 'unknown' GROUP BY api")
 def unknown_call_inventory(spark, d):
-    rows = call_evidence(spark, d).filter("status = 'unknown'")
-    return rows.groupBy("api").agg(F.count("*").alias("sites"), F.countDistinct("id").alias("queries"))
+    rows = call_evidence(spark, d).filter("status = 'unknown'").groupBy("api", "id").agg(F.count("*").alias("n"))
+    ids = F.array_join(F.array_sort(F.collect_list("id")).cast("array<string>"), ",")
+    return rows.groupBy("api").agg(F.sum("n").alias("sites"), F.count("*").alias("queries"), ids.alias("query_ids"))
 
 
-@query("evidence_roles")
+@query("evidence_roles", f"WITH {CALLS} SELECT status, state, role, count(*) AS n FROM calls GROUP BY ALL")
 def evidence_roles(spark, d):
     return call_evidence(spark, d).groupBy("status", "state", "role").agg(F.count("*").alias("n"))
 
 
-@query("preprocessor_conditions", f"SELECT doc_id, [false, true, NULL, NULL, true, NULL][1 + {h8_sql('doc_id', 'cond')} % 6] AS active FROM documents")
+@query("evidence_diagnostics")
+def evidence_diagnostics(spark, d):
+    """Names that never close and problems of directives, of texts cut at two thirds."""
+    cut = F.expr("substring(code, 1, cast(2 * char_length(code) / 3 as int))")
+    rows = codes(spark, d).select("id", F.explode(E.diagnostics_of(cut)).alias("p"))
+    return rows.select("id", "p.start", "p.reason", "p.name")
+
+
+@query("preprocessor_conditions", f"WITH {JUDGED} SELECT id, count(*) FILTER (value) AS n_true, count(*) FILTER (NOT value) AS n_false, count(*) FILTER (value IS NULL) AS n_unknown FROM judged GROUP BY id")
 def preprocessor_conditions(spark, d):
-    said = F.element_at(F.array(*[F.lit(x) for x in ("0 && X", "1 || X", "defined(A)", "1 + 1", "!0x0", "!(A && 1)")]), (F.pmod(h8("doc_id", "cond"), F.lit(6)) + 1).cast("int"))
-    return read(spark, d, "documents").select("doc_id", E.condition_of(said).alias("active"))
+    rows = conditions(spark, d).select("id", E.condition_of("text").alias("value"))
+    return rows.groupBy("id").agg(F.count_if("value").alias("n_true"), F.count_if(~F.col("value")).alias("n_false"), F.count_if(F.col("value").isNull()).alias("n_unknown"))
+
+
+@query("extractor_comparison", f"WITH {CALLS} SELECT count(*) FILTER (status = 'recognized') AS kept, count(*) FILTER (status = 'excluded_inactive' AND api = 'strcpy') AS removed, count(*) FILTER (status = 'recognized' AND state = 'conditional') AS conditional, 0::BIGINT AS excluded_syntax, count(*) FILTER (role = 'buffer_formatting') AS formatting FROM calls")
+def extractor_comparison(spark, d):
+    """Call sites that region-aware scanning keeps and removes beside plain scanning, and roles it adds."""
+    rows = call_evidence(spark, d)
+    known, dead = F.col("status") == "recognized", (F.col("status") == "excluded_inactive") & F.col("family").isin("buffer_write")
+    return rows.agg(F.count_if(known).alias("kept"), F.count_if(dead).alias("removed"), F.count_if(known & (F.col("state") == "conditional")).alias("conditional"), F.count_if(F.col("status") == "excluded_syntax").alias("excluded_syntax"), F.count_if(F.col("role") == "buffer_formatting").alias("formatting"))
+
+
+@query(
+    "callee_definitions",
+    f"WITH {CALLS}, un AS (SELECT api, count(*) AS sites FROM calls WHERE status = 'unknown' GROUP BY api), def AS (SELECT id, 'helper_' || COALESCE(ws[1], 'v_') AS api FROM ws) SELECT un.api, sites, count(def.id) AS definitions, min(def.id) AS first_id FROM un LEFT JOIN def ON un.api = def.api GROUP BY un.api, sites",
+)
+def callee_definitions(spark, d):
+    """Functions whose header names an unknown call: possible definitions, none resolved."""
+    unknown = call_evidence(spark, d).filter("status = 'unknown'").groupBy("api").agg(F.count("*").alias("sites"))
+    header = F.regexp_extract(F.substring_index("code", "{", 1), r"\b([A-Za-z_]\w*)\s*\([^{};]*\)\s*$", 1)
+    defined = codes(spark, d).groupBy(header.alias("api")).agg(F.count("*").alias("definitions"), F.min("id").alias("first_id"))
+    return unknown.join(defined, "api", "left").select("api", "sites", F.coalesce("definitions", F.lit(0)).alias("definitions"), "first_id")
 
 
 @query("security_signatures")
 def security_signatures(spark, d):
-    rows = _codes(spark, d).withColumn("s", E.signature_of("code"))
+    rows = codes(spark, d).withColumn("s", G.signature_of("code"))
     joined = lambda c: F.array_join(F.col(f"s.{c}"), ",").alias(c)
     return rows.select("id", "s.func_name", *[joined(c) for c in ("sources", "sink_apis", "sink_categories", "controlled", "guards", "effective_guards", "paths", "clues")])
 
 
 @query("signature_similarity")
 def signature_similarity(spark, d):
-    rows = _codes(spark, d).withColumn("s", E.signature_of("code")).select("id", "s")
+    rows = codes(spark, d).withColumn("s", G.signature_of("code")).select("id", "s")
     both = rows.join(rows.select((F.col("id") - 1).alias("id"), F.col("s").alias("t")), "id")
-    return both.select("id", E.signature_similarity("s", "t").alias("similarity"), E.difference_text(F.col("s"), F.col("t")).alias("difference"))
+    return both.select("id", G.signature_similarity("s", "t").alias("similarity"), G.difference_text(F.col("s"), F.col("t")).alias("difference"))
 
 
 @query("security_rerank")
@@ -79,27 +97,61 @@ def security_rerank(spark, d):
     """Shared pool of the 50 nearest, 0.3 hybrid + 0.7 signature similarity, family-constrained choice."""
     vectors = read(spark, d, "embeddings").select("vec_id", "embedding")
     texts = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(T.words("text")).alias("items"))
-    signed = _codes(spark, d).withColumn("s", E.signature_of("code")).select("id", "s")
+    signed = codes(spark, d).withColumn("s", G.signature_of("code")).select("id", "s")
     rows = R.hybrid(R.knn(vectors.filter("vec_id % 10 = 0"), vectors, 50), texts).drop("rank")
     rows = rows.join(signed.select(F.col("id").alias("query_id"), F.col("s").alias("q")), "query_id").join(signed.select(F.col("id").alias("vec_id"), F.col("s").alias("c")), "vec_id")
-    rows = rows.withColumn("final", F.round(F.lit(0.3) * F.col("score") + F.lit(0.7) * E.signature_similarity("q", "c"), 4))
+    rows = rows.withColumn("final", F.round(F.lit(0.3) * F.col("score") + F.lit(0.7) * G.signature_similarity("q", "c"), 4))
     rows = R.rerank(rows, "final", "l2_rank").withColumn("families", F.col("c.sink_categories")).withColumn("query_families", F.col("q.sink_categories"))
     return R.constrained_first(rows)
 
 
 @query("signature_emptiness")
 def signature_emptiness(spark, d):
-    s = _codes(spark, d).withColumn("s", E.signature_of("code"))
+    s = codes(spark, d).withColumn("s", G.signature_of("code"))
     empty = lambda c: F.avg((F.size(f"s.{c}") == 0).cast("int")).alias(f"empty_{c}")
     return s.agg(empty("sink_apis"), empty("guards"), empty("clues"), F.avg((~F.exists("s.memory", lambda x: x)).cast("int")).alias("empty_memory"))
 
 
+@query("random_pair_similarity")
+def random_pair_similarity(spark, d):
+    """Signature similarity of random pairs: each function with the one at its place in an order by hash."""
+    signed = codes(spark, d).withColumn("s", G.signature_of("code")).select("id", "s")
+    n = signed.count()
+    partner = F.pmod(F.xxhash64("id"), F.lit(max(1, n)))
+    both = signed.withColumn("other", partner).join(signed.select(F.col("id").alias("other"), F.col("s").alias("t")), "other").filter("id <> other")
+    sim = both.select(G.signature_similarity("s", "t").alias("x"))
+    return sim.agg(F.count("*").alias("pairs"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.percentile("x", F.lit(0.5)), 6).alias("median"), F.round(F.avg((F.col("x") >= 0.5).cast("int")), 6).alias("above_half"))
+
+
+@query("older_features")
+def older_features(spark, d):
+    rows = codes(spark, d).select("id", G.older_features("code").alias("f"))
+    joined = lambda c: F.array_join(F.col(f"f.{c}").cast("array<string>"), ",").alias(c)
+    return rows.select("id", joined("apis"), joined("guards"), joined("memory"), F.size("f.inputs").alias("n_inputs"))
+
+
+@query("older_similarity")
+def older_similarity(spark, d):
+    rows = codes(spark, d).select("id", G.older_features("code").alias("f"))
+    both = rows.join(rows.select((F.col("id") - 1).alias("id"), F.col("f").alias("g")), "id")
+    return both.select("id", F.round(G.older_similarity("f", "g"), 6).alias("similarity"))
+
+
 def _specs(spark, d):
-    rows = _codes(spark, d).withColumn("query_code", F.col("code"))
-    node = lambda i: F.struct(F.lit(str(i)).alias("id"), F.lit("Statement").alias("type"), F.substring("code", i * 5 + 1, 30).alias("code"))
-    demo = lambda k, t: F.struct(F.concat(F.lit(f"u{k}-"), F.pmod("id", F.lit(50)).cast("string")).alias("function_uid"), F.lit(_CODES[k]).alias("func"), F.lit(t).alias("target"))
-    edge = F.struct(F.lit("0").alias("start"), F.lit("1").alias("end"), F.lit("REACHES").alias("type"))
-    return rows.select("id", "query_code", F.array(*[node(i) for i in range(3)]).alias("nodes"), F.array(edge).alias("edges"), F.array(demo(0, 1)).alias("demonstrations"), F.array(demo(1, 1), demo(3, 0)).alias("demonstrations_pair"), F.lit("Only the Vulnerable one is unsafe").alias("security_difference"), F.lit("line 2: memcpy").alias("h2_evidence"), demo(2, 0).alias("donor"))
+    """A spec for each function: its statements are nodes, the next four functions its demonstrations and donor."""
+    rows = codes(spark, d)
+    uid, target = F.concat(F.lit("u"), F.col("id").cast("string")), F.pmod("id", F.lit(2)).cast("int")
+    near = rows.select("id", F.struct(uid.alias("function_uid"), F.col("code").alias("func"), target.alias("target")).alias("demo"))
+    near = near.select("id", "demo", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3, 4)])).alias("k")).select((F.col("id") - F.col("k")).alias("id"), "k", "demo")
+    near = near.groupBy("id").agg(*[F.first(F.when(F.col("k") == k, F.col("demo")), ignorenulls=True).alias(f"d{k}") for k in (1, 2, 3, 4)])
+    lines = F.filter(F.split("code", "\n"), lambda x: F.trim(x) != "")
+    kind = lambda x: F.when(x.startswith("#"), "Directive").when(x.contains("if ("), "IfStatement").when(x.rlike(r"\w\("), "CallExpression").otherwise("Statement")
+    nodes = F.transform(lines, lambda x, i: F.struct(i.cast("string").alias("id"), kind(x).alias("type"), x.alias("code")))
+    edges = F.transform(F.sequence(F.lit(1), F.size("nodes") - 1), lambda i: F.struct((i - 1).cast("string").alias("start"), i.cast("string").alias("end"), F.lit("REACHES").alias("type")))
+    rows = rows.withColumn("nodes", nodes).join(near, "id", "left")
+    pair = F.when(F.col("d2").isNotNull() & F.col("d3").isNotNull(), F.array(F.when(F.col("d2.target") == 1, F.col("d2")).otherwise(F.col("d3")), F.when(F.col("d2.target") == 1, F.col("d3")).otherwise(F.col("d2"))))
+    text = F.when(F.col("id") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("Only the Vulnerable one is unsafe at line "), F.size("nodes").cast("string")))
+    return rows.select("id", F.col("code").alias("query_code"), "nodes", edges.alias("edges"), F.array_compact(F.array("d1")).alias("demonstrations"), F.coalesce(pair, F.slice(F.array("d2"), 1, 0)).alias("demonstrations_pair"), text.alias("security_difference"), F.concat(F.lit("Sink memcpy (buffer_write) in "), F.substring_index("code", "(", 1)).alias("h2_evidence"), F.col("d4").alias("donor"))
 
 
 @query("arm_prompts")
@@ -187,7 +239,7 @@ def event_windows(spark, d):
 @query("code_pair_rubric")
 def code_pair_rubric(spark, d):
     """Weighted relevance of neighbours by shared signature features, guards and identifiers."""
-    rows = _codes(spark, d).withColumn("s", E.signature_of("code")).withColumn("ids", F.array_distinct(F.regexp_extract_all("code", F.lit(r"\b([a-zA-Z_]\w*)\b"), 1)))
+    rows = codes(spark, d).withColumn("s", G.signature_of("code")).withColumn("ids", F.array_distinct(F.regexp_extract_all("code", F.lit(r"\b([a-zA-Z_]\w*)\b"), 1)))
     both = rows.join(rows.select((F.col("id") - 1).alias("id"), F.col("s").alias("t"), F.col("ids").alias("jds")), "id")
     feats, guards, names = F.size(F.array_intersect("s.sink_categories", "t.sink_categories")), F.size(F.array_intersect("s.guards", "t.guards")), F.size(F.array_intersect("ids", "jds"))
     hit = lambda x: F.when(x, 1.0).otherwise(0.0)

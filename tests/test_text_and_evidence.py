@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gritstone.functions import evidence as E
+from gritstone.functions import signature as G
 from gritstone.functions import text as T
 from gritstone.operators import overlap as O
 
@@ -65,6 +66,37 @@ def test_unknown_and_unclosed_conditionals_stay_conditional():
     assert [(r["expression"], r["status"]) for r in chain] == [("free(a)", "recognized"), ("free(b)", "excluded_inactive"), ("free(c)", "recognized"), ("free(d)", "excluded_inactive")]
 
 
+@pytest.mark.parametrize(
+    "code,live",
+    [
+        ("void f(void) {\n#if 0\n#ifdef FOO\nfree(a);\n#else\nfree(b);\n#endif\n#endif\nfree(c);\n}", ["free(c)"]),
+        ("void f(void) {\n#if 1\nfree(a);\n#elif FEATURE\nfree(b);\n#else\nfree(c);\n#endif\n}", ["free(a)"]),
+        ('void f(void) { /*\n#if 0\n*/\nchar *s="#if 0";\n#define FAKE(x) free(x)\nfree(p);\n}', ["free(p)"]),
+        ("void f(void) {\n#if 0 \\\n && FLAG\nfree(p);\n#endif\nfree(q);\n}", ["free(q)"]),
+        ("void f(void) {\n#if 0\nnot_c( (((\n#endif\nmemcpy(d,s,n);\n}", ["memcpy(d,s,n)"]),
+        ("#define COPY(x,y,n) \\\n+ memcpy(x,y,n)\nvoid f(void) {}", []),
+        ("void f(void) { free(\n#ifdef A\np\n#else\nq\n#endif\n); }", ["free(\n#ifdef A\np\n#else\nq\n#endif\n)"]),
+        ("void f(void) { memcpy(d, malloc(n), n); custom::free(b); p.read(b); }", ["memcpy(d, malloc(n), n)", "malloc(n)"]),
+        ("void f(void) { (void)memcpy(d,s,n); for (i=0;i<n;i++) tcg_malloc(p); }", ["memcpy(d,s,n)", "tcg_malloc(p)"]),
+        ("void f(void) { extern void free(void *p); } void free(void *p) { }", []),
+    ],
+)
+def test_recognised_calls(code, live):
+    rows = [r for r in E.evidence(code) if r["status"] == "recognized"]
+    assert [r["expression"] for r in rows] == live and all(code[r["start"] : r["end"]] == r["expression"] for r in rows)
+
+
+def test_look_alikes_and_problems():
+    rows = E.evidence("static void RENAME(foo)(uint8_t (*a)[4]) { RENAME(x); }")
+    assert [(r["api"], r["status"], r["exclusion"]) for r in rows] == [("RENAME", "excluded_syntax", "macro_decorated_function_declaration_not_call"), ("uint8_t", "excluded_syntax", "array_pointer_parameter_type_not_call"), ("RENAME", "unknown", None)]
+    for tail, reason in (("#else", "duplicate_else"), ("#elif 1", "elif_after_else")):
+        code = f"void f(void) {{\n#if 1\nfree(p);\n#else\nfree(q);\n{tail}\nfree(r);\n#endif\n}}"
+        assert [(r["expression"], r["state"]) for r in E.evidence(code) if r["status"] == "recognized"] == [("free(p)", "active"), ("free(r)", "conditional")]
+        assert [p["reason"] for p in E.diagnostics(code)] == [reason]
+    assert [p["reason"] for p in E.diagnostics("#endif\n#if 0\nmemcpy(")] == ["unbalanced_call_or_declaration", "orphan_endif", "unclosed_conditional"]
+    assert E.evidence(None) == [] and E.diagnostics("") == []
+
+
 def test_what_is_and_is_not_a_call():
     names = lambda code: [(r["api"], r["status"]) for r in E.evidence(code)]
     assert names('// free(a)\nvoid f(void) { puts("memcpy(x)"); }') == [("puts", "unknown")]
@@ -77,16 +109,16 @@ def test_what_is_and_is_not_a_call():
 
 
 def test_signature_guards_before_sinks():
-    guarded = E.signature("void f(char *dst, int len) { if (len < 10) memcpy(dst, src, len); }")
-    late = E.signature("void f(char *dst, int len) { memcpy(dst, src, len); if (len < 10) return; }")
+    guarded = G.signature("void f(char *dst, int len) { if (len < 10) memcpy(dst, src, len); }")
+    late = G.signature("void f(char *dst, int len) { memcpy(dst, src, len); if (len < 10) return; }")
     assert guarded["controlled"] == ["memcpy"] and "bounds_check" in guarded["effective_guards"]
     assert late["controlled"] == [] and "bounds_check" not in late["effective_guards"] and "unbounded_buffer_copy" in late["clues"]
-    assert E.signature(None)["func_name"] == "unknown_func"
+    assert G.signature(None)["func_name"] == "unknown_func"
 
 
 def test_signature_similarity_prefers_the_same_mechanism(spark):
     rows = [("void f(char *p) { free(p); }", "void g(char *q) { free(q); }", 'void h(int n) { printf("%d", n); }')]
-    r = spark.createDataFrame(rows, "a string, b string, c string").select(*[E.signature_of(c).alias(c) for c in "abc"]).select(E.signature_similarity("a", "b"), E.signature_similarity("a", "c")).first()
+    r = spark.createDataFrame(rows, "a string, b string, c string").select(*[G.signature_of(c).alias(c) for c in "abc"]).select(G.signature_similarity("a", "b"), G.signature_similarity("a", "c")).first()
     assert r[0] > r[1] + 0.2
 
 
