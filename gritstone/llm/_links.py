@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,10 +36,10 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
             return roots
 
 
-def classes_of(scratch: Scratch, heads: DataFrame | list[DataFrame], verify: Callable[[DataFrame, str], DataFrame], compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def classes_of(scratch: Scratch, heads: DataFrame, verify: Callable[[DataFrame, str], DataFrame], compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(v, root): classes of ids whose links are among pairs that share a bucket.
 
-    heads: (v, bands array<long>), or several such frames without common buckets, taken one after the other. verify(pairs(a, b), tag) keeps the pairs that are links. compare(blocks) gives the
+    heads: (v, bands array<long>). verify(pairs(a, b), tag) keeps the pairs that are links. compare(blocks) gives the
     links (a, b) within blocks: rows (family, i, j, outer, v, root), where each outer id of a block is to be compared
     with each that isn't outer and has another root.
 
@@ -50,14 +49,9 @@ def classes_of(scratch: Scratch, heads: DataFrame | list[DataFrame], verify: Cal
     buckets of that component, in blocks of bounded size that give back links only. So every pair of a bucket is
     compared or within one component, and no component is missed.
     """
-    heads, saved = heads if isinstance(heads, list) else [heads], []
-    for k, part in enumerate(heads):
-        spread = part.select(F.explode("bands").alias("bucket"), "v")
-        stars = spread.groupBy("bucket").agg(F.min("v").alias("hub"), F.max("v").alias("top"), F.count("*").alias("n")).filter("hub < top")
-        saved.append(scratch.save(spread.join(stars.drop("top"), "bucket"), f"members{k}"))
-        if len(heads) > 1:
-            scratch.spark._jvm.System.gc()  # lets Spark delete the shuffle files of this part before the next
-    members = reduce(DataFrame.union, saved)
+    spread = heads.select(F.explode("bands").alias("bucket"), "v")
+    stars = spread.groupBy("bucket").agg(F.min("v").alias("hub"), F.max("v").alias("top"), F.count("*").alias("n")).filter("hub < top")
+    members = scratch.save(spread.join(stars.drop("top"), "bucket"), "members")
     checked = scratch.save(members.filter("v > hub").select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct(), "pairs1")
     links = verify(checked, "1")
     roots = components(scratch, links, "roots1")
@@ -71,10 +65,11 @@ def classes_of(scratch: Scratch, heads: DataFrame | list[DataFrame], verify: Cal
 
     named = split_buckets("2")
     picked = named.filter("root <> main").groupBy("bucket").agg(F.min_by(F.struct("v", "root"), F.xxhash64("v")).alias("x")).select("bucket", F.col("x.v").alias("p"), F.col("x.root").alias("p_root"))
-    pairs = named.join(picked, "bucket").filter("root <> p_root").select(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b")).distinct()
-    pairs = scratch.save(pairs.join(checked, ["a", "b"], "left_anti"), "pairs2")
-    if not pairs.limit(1).count():
-        return roots
+    second = named.join(picked, "bucket").filter("root <> p_root").select(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b")).distinct()
+    second = scratch.save(second, "second")
+    if not second.limit(1).count():
+        return roots  # no bucket holds two components
+    pairs = scratch.save(second.join(checked, ["a", "b"], "left_anti"), "pairs2")
     links = scratch.save(links.union(verify(pairs, "2")), "links")
     roots = components(scratch, links, "roots2")
 

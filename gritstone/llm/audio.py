@@ -5,16 +5,20 @@ A media value is a WAV file (PCM of 8 or 16 bits, mixed to mono and brought to 8
 pitch classes and normalised. Sixteen Haar-like filters of areas of an integral image over 16 frames are quantised to 2
 bits each in Gray code, which packs a 32-bit integer for each frame.
 
-Recordings are candidates if 4 integers at steps of 3 agree in the 36 of their bits that one of 16 bands counts, so other
-bits may differ, or if they share a winnowed run of 4 equal integers, the only way for those of under 10. A pair is aligned at the offset with the least share of differing bits (the longest part of equals, then
-the least offset) among those whose part is at least half of the shorter recording and 4 integers, and is linked if at
-most 15 % of the bits differ there; every such offset is counted. Equal fingerprints are one class head from the start; classes are the connected
+Candidates share a key of an anchor. Anchors are places chosen by the sound itself, the largest sums of 32 samples within
+windows, so they stay where they are in it however a recording was cut: frames are laid from the anchor on, and those of
+equal sound are equal. Two integers of an anchor, 8 frames apart, give a key for each of several sets of their bits, so
+bits outside a set may differ. A pair is aligned at the offset with the least share of differing bits (the longest part
+of equals, then the least offset) among those whose part is at least half of the shorter recording and 24 integers, and
+is linked if at most 12 % of the bits differ there; every such offset is counted. Two cuts of one recording that begin
+half a hop apart differ in 9 % of their bits (95 % of pairs: under 11 %). With shorter parts or more errors, pairs that
+agree by chance outnumber the others. Equal fingerprints are one class head from the start; classes are the connected
 components of links, named by the least id.
 
 The query takes the UTF-8 bytes of documents as its recordings, since the tables have no sound: every byte is a sample.
 
-Cases: too short recordings (under 1216 samples) have no integers, and are in one class if their samples are equal, empty
-ones too; nulls are classes of their own; a WAV
+Cases: recordings under 1216 samples have no integers, and are in one class if their samples are equal, empty ones too;
+those of under 24 integers (2688 samples) join a class by equal integers only; nulls are classes of their own; a WAV
 header that can't be read makes its bytes raw samples; rows with a null id have a null class; rows that share an id are
 one node; an empty table gives no rows. Extra columns are ignored.
 """
@@ -36,15 +40,17 @@ from ._shared import Scratch, small_batches, table
 
 U = np.uint64
 RATE, FRAME, HOP = 8000, 256, 64
-#: Frames that a filter's image spans, and integers in a run.
-SPAN, RUN, RUNS_IN_WINDOW = 16, 4, 8
-#: Independent bit errors leave a band's bits of one place equal with 0.85**36 = 0.003 at 15 %, 0.02 at 10 %, 0.16 at 5 %.
-BANDS, BITS, STEP = 16, 36, 3
-#: Bits that are nearly the same in all integers, so a band gains nothing by them.
+#: Frames that a filter's image spans.
+SPAN = 16
+#: Samples of an anchor's window and of the sums compared, and frames between the integers of an anchor's key.
+NEIGHBOURHOOD, SUMMED, APART = 768, 32, 8
+#: Sets of bits, and bits in a set: one is equal with 0.95**36 = 0.16 where 5 % of the bits differ, and there are several anchors.
+BANDS, BITS = 10, 36
+#: Bits that are nearly the same in all integers, so a key gains nothing by them.
 STEADY_BITS = (0, 4, 22, 23)
 #: Products of lengths from which offsets are counted by Fourier transforms.
 LARGE = 1 << 18
-LEAST_OVERLAP, MOST_ERRORS = 0.5, 0.15
+LEAST_OVERLAP, LEAST_INTEGERS, MOST_ERRORS = 0.5, 24, 0.12
 #: Steps between the four levels of a filter's value.
 STEPS = (-0.12, 0.0, 0.12)
 
@@ -93,29 +99,23 @@ def wav(value: bytes) -> np.ndarray | None:
     return out
 
 
-def prints_of(samples: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Packed integers of recordings samples[offsets[i]:offsets[i+1]], and the first integer of each."""
-    lengths = np.diff(offsets)
-    frames = np.where(lengths >= FRAME, (lengths - FRAME) // HOP + 1, 0)
-    ends = np.cumsum(frames)
-    first = ends - frames
-    of = np.repeat(np.arange(len(frames)), frames)
-    counts = np.maximum(frames - SPAN + 1, 0)
-    begin = np.concatenate([[0], np.cumsum(counts)])
-    if not begin[-1]:
-        return np.zeros(0, np.uint32), begin
-    starts = offsets[:-1][of] + (np.arange(len(of)) - first[of]) * HOP
-    window, chroma = np.hanning(FRAME).astype(np.float32), np.zeros((len(of), 12), np.float32)
+def chroma_of(samples: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Normalised power of the 12 pitch classes of the frames that begin at starts."""
+    window, chroma = np.hanning(FRAME).astype(np.float32), np.zeros((len(starts), 12), np.float32)
     to_pitch = pitch_matrix()
-    for a in range(0, len(of), 4096):
-        x = samples[starts[a : a + 4096, None] + np.arange(FRAME)].astype(np.float32)
-        spectrum = np.fft.rfft((x - x.mean(axis=1, keepdims=True)) * window, axis=1)
-        chroma[a : a + 4096] = (spectrum.real**2 + spectrum.imag**2).astype(np.float32) @ to_pitch
+    low, high = np.flatnonzero(to_pitch.any(axis=1))[[0, -1]]  # a mean leaks into bins 0 and 1 only, so it may stay
+    frames = np.lib.stride_tricks.sliding_window_view(samples.astype(np.float32, copy=False), FRAME) if len(starts) else None
+    for a in range(0, len(starts), 2048):
+        spectrum = np.fft.rfft(frames[starts[a : a + 2048]] * window, axis=1)[:, low : high + 1]
+        chroma[a : a + 2048] = (spectrum.real**2 + spectrum.imag**2) @ to_pitch[low : high + 1]
     norm = np.sqrt((chroma**2).sum(axis=1, keepdims=True))
-    chroma = chroma / np.maximum(norm, 1e-3)
-    image = np.zeros((len(of) + 1, 13))
+    return chroma / np.maximum(norm, 1e-3)
+
+
+def integers(chroma: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Packed levels of the filters over the SPAN frames from each place in ``at``."""
+    image = np.zeros((len(chroma) + 1, 13))
     image[1:, 1:] = chroma.cumsum(axis=0, dtype=np.float64).cumsum(axis=1)
-    at = np.flatnonzero(np.arange(len(of)) - first[of] < counts[of])
 
     def area(t0, t1, p0, p1):
         return image[at + t1, p1] - image[at + t0, p1] - image[at + t1, p0] + image[at + t0, p0]
@@ -135,17 +135,79 @@ def prints_of(samples: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
             one = area(0, w, y + h // 4, y + h - h // 4)
         level = np.searchsorted(STEPS, np.log((1 + one) / (1 + whole - one)))
         packed = (packed << np.uint32(2)) | np.array([0, 1, 3, 2], np.uint32)[level]
-    return packed, begin
+    return packed
+
+
+def prints_of(samples: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed integers of recordings samples[offsets[i]:offsets[i+1]], and the first integer of each."""
+    lengths = np.diff(offsets)
+    frames = np.where(lengths >= FRAME, (lengths - FRAME) // HOP + 1, 0)
+    first = np.cumsum(frames) - frames
+    of = np.repeat(np.arange(len(frames)), frames)
+    counts = np.maximum(frames - SPAN + 1, 0)
+    begin = np.concatenate([[0], np.cumsum(counts)])
+    if not begin[-1]:
+        return np.zeros(0, np.uint32), begin
+    place = np.arange(len(of)) - first[of]
+    return integers(chroma_of(samples, offsets[:-1][of] + place * HOP), np.flatnonzero(place < counts[of])), begin
+
+
+def anchors(samples: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Recordings and places of anchors: largest sums of samples in each window of places from which a key's frames fit.
+
+    A recording with fewer places than a window has one anchor, the largest of all. Places on a plateau are left out.
+    """
+    need = FRAME + HOP * (APART + SPAN - 1)
+    sums = np.concatenate([[0.0], np.cumsum(samples, dtype=np.float64)])
+    loud = sums[SUMMED:] - sums[:-SUMMED]
+    room = np.diff(offsets) - need + 1
+    windows = np.maximum(room - NEIGHBOURHOOD + 1, 0)
+    begin = np.repeat(offsets[:-1] + windows - np.cumsum(windows), windows) + np.arange(windows.sum())
+    at = np.unique(W.sliding_argmin(-loud, NEIGHBOURHOOD)[begin]) if len(begin) else np.zeros(0, np.int64)
+    few = np.flatnonzero((room > 0) & (room < NEIGHBOURHOOD))
+    at = np.concatenate([at, np.array([offsets[i] + loud[offsets[i] : offsets[i] + room[i]].argmax() for i in few], np.int64)])
+    before, after = loud[np.maximum(at - 1, 0)], loud[np.minimum(at + 1, len(loud) - 1)]
+    at = at[(loud[at] != before) | (loud[at] != after)]
+    return np.searchsorted(offsets, at, side="right") - 1, at
+
 
+def band_masks() -> np.ndarray:
+    """(BANDS, 2): the bits of the two integers of an anchor that count in each key."""
+    draw = W.mix(np.arange(1, BANDS * 64 + 1, dtype=U)).reshape(BANDS, 2, 32)
+    draw[:, :, STEADY_BITS] = U(2**64 - 1)
+    chosen = np.zeros((BANDS, 64), np.uint32)
+    np.put_along_axis(chosen, np.argsort(draw.reshape(BANDS, 64), axis=1)[:, :BITS], 1, axis=1)
+    return (chosen.reshape(BANDS, 2, 32) << np.arange(32, dtype=np.uint32)).sum(axis=2, dtype=np.uint32)
+
+
+MASKS = band_masks()
 
-def fingerprints(column) -> tuple[list[np.ndarray], list[bytes]]:
-    """Packed integers of each value of an Arrow column of bytes, and what equal recordings have in common.
 
-    That is a hash of the integers, or of the samples where there are none.
+def keys_of(samples: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Distinct keys of the anchors of each recording."""
+    of, at = anchors(samples, offsets)
+    frames = APART + SPAN
+    first = np.arange(len(at)) * frames
+    chroma = chroma_of(samples, (at[:, None] + np.arange(frames) * HOP).ravel())
+    one, two = (integers(chroma, first + k) for k in (0, APART))
+    keys = [W.mix(W.mix((one & m[0]).astype(U) + U((band + 1) * W._STEP & (1 << 64) - 1)) + (two & m[1]).astype(U)) for band, m in enumerate(MASKS)]
+    keys, of = np.concatenate(keys), np.tile(of, BANDS)
+    order = np.lexsort((keys, of))
+    keys, of = keys[order], of[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])
+    return np.split(keys[new], np.searchsorted(of[new], np.arange(1, len(offsets) - 1)))
+
+
+def fingerprints(column) -> tuple[list[np.ndarray], list[bytes], list[np.ndarray]]:
+    """Of each value of an Arrow column of bytes: packed integers, what equal recordings have in common, and keys.
+
+    What equals share is a hash of the integers, or of the samples where there are none.
     """
     values, offsets = W.utf8(column)
     out: list[np.ndarray] = []
     same: list[bytes] = []
+    keys: list[np.ndarray] = []
     for a, b in W.pieces(offsets):
         own, places = values[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         heads = [own[p : p + 4].tobytes() == b"RIFF" for p in places[:-1]]
@@ -158,39 +220,11 @@ def fingerprints(column) -> tuple[list[np.ndarray], list[bytes]]:
         packed, begin = prints_of(own, places)
         prints = np.split(packed, begin[1:-1])
         out += prints
+        keys += [x if len(y) >= LEAST_INTEGERS else x[:0] for x, y in zip(keys_of(own, places), prints)]
         for x, head, p, q in zip(prints, raw, places, places[1:]):
             whole = b"p" + x.astype("<u4").tobytes() if len(x) else b"s" + (own[p:q].astype("<f4") - (128 if head else 0)).tobytes()
             same.append(hashlib.sha256(whole).digest())
-    return out, same
-
-
-def band_masks() -> np.ndarray:
-    """(BANDS, RUN): the bits of each of RUN integers that count in a band."""
-    draw = W.mix(np.arange(1, BANDS * RUN * 32 + 1, dtype=U)).reshape(BANDS, RUN, 32)
-    draw[:, :, STEADY_BITS] = U(2**64 - 1)
-    order = np.argsort(draw.reshape(BANDS, RUN * 32), axis=1)[:, :BITS]
-    chosen = np.zeros((BANDS, RUN * 32), np.uint32)
-    np.put_along_axis(chosen, order, 1, axis=1)
-    return (chosen.reshape(BANDS, RUN, 32) << np.arange(32, dtype=np.uint32)).sum(axis=2, dtype=np.uint32)
-
-
-MASKS = band_masks()
-
-
-def band_keys(prints: np.ndarray, band: int) -> np.ndarray:
-    """Hashes of the band's bits at every place; for band BANDS the winnowed runs of integers (all of under a window)."""
-    if band == BANDS:
-        runs = W.grams(W.mix(prints.astype(U) + U(1)), RUN)
-        return np.unique(runs[W.sliding_argmin(runs, RUNS_IN_WINDOW)] if len(runs) >= RUNS_IN_WINDOW else runs)
-    n = max(0, len(prints) - (RUN - 1) * STEP)
-    keys = np.full(n, (band + 1) * W._STEP & (1 << 64) - 1, U)
-    for j, mask in enumerate(MASKS[band]):
-        keys = W.mix(keys + (prints[j * STEP : j * STEP + n] & mask).astype(U))
-    return np.unique(keys)
-
-
-def run_keys(prints: np.ndarray) -> np.ndarray:
-    return np.unique(np.concatenate([band_keys(prints, k) for k in range(BANDS + 1)]))
+    return out, same, keys
 
 
 def errors_by_shift(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -216,7 +250,7 @@ def common_part(n: int, m: int) -> np.ndarray:
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float]:
     """Offset of b against a, integers in common at it, and the share of their bits that differ."""
     n = common_part(len(a), len(b))
-    able = np.flatnonzero(n >= max(RUN, LEAST_OVERLAP * min(len(a), len(b)))) if len(a) and len(b) else ()
+    able = np.flatnonzero(n >= max(LEAST_INTEGERS, LEAST_OVERLAP * min(len(a), len(b)))) if len(a) and len(b) else ()
     if not len(able):
         return 0, 0, 1.0
     share = errors_by_shift(a, b)[able] / (32 * n[able])
@@ -248,28 +282,17 @@ def sharing(keys: list[np.ndarray], outer: np.ndarray) -> tuple[list[int], list[
 
 def _print(batches):
     for batch in batches:
-        prints, same = fingerprints(batch.column(1))
+        prints, same, keys = fingerprints(batch.column(1))
         same = [x if valid else None for x, valid in zip(same, batch.column(1).is_valid().to_pylist())]
         whole = [x.astype("<u4").tobytes() for x in prints]
+        ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+        bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(W.signed(np.concatenate([*keys, np.zeros(0, U)]))))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(x) for x in prints], pa.int64()), pa.array([zlib.crc32(x) for x in whole], pa.int64()), pa.array(whole, pa.binary()), pa.array(same, pa.binary())],
-            ["v", "n_prints", "prints_crc32", "prints", "same"],
+            [batch.column(0), pa.array([len(x) for x in prints], pa.int64()), pa.array([zlib.crc32(x) for x in whole], pa.int64()), pa.array(whole, pa.binary()), pa.array(same, pa.binary()), bands],
+            ["v", "n_prints", "prints_crc32", "prints", "same", "bands"],
         )
 
 
-def keyed(own: DataFrame, band: int) -> DataFrame:
-    """v and bands: the keys of one band, made anew for each use, as saved keys of all bands would be many times the input."""
-
-    def keys(batches):
-        for batch in batches:
-            found = [band_keys(np.frombuffer(x.as_buffer(), "<u4"), band) for x in batch.column(1)]
-            ends = np.concatenate([[0], np.cumsum([len(k) for k in found])])
-            bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(W.signed(np.concatenate([*found, np.zeros(0, U)]))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), bands], ["v", "bands"])
-
-    return own.filter("length(prints) > 0").select("v", "prints").mapInArrow(keys, f"v {dict(own.dtypes)['v']}, bands array<long>")
-
-
 def _aligned(batches):
     for batch in batches:
         pairs = zip(batch.column(2), batch.column(3))
@@ -284,11 +307,11 @@ def recordings(media: DataFrame, key: str, value: str) -> DataFrame:
     scratch = Scratch(spark, "audio")
     kind = dict(media.dtypes)[key]
     rows = media.select(F.col(key).alias("v"), F.col(value).cast("binary").alias("media"))
-    found = scratch.save(rows.mapInArrow(_print, f"v {kind}, n_prints long, prints_crc32 long, prints binary, same binary"), "prints")
+    found = scratch.save(rows.mapInArrow(_print, f"v {kind}, n_prints long, prints_crc32 long, prints binary, same binary, bands array<long>"), "prints")
     valued = found.filter("v is not null and same is not null").select("v", "same")
     heads = valued.groupBy("same").agg(F.min("v").alias("head"))
     heads = scratch.save(valued.join(heads, "same").select("v", "head"), "heads")
-    own = scratch.save(found.join(heads.filter("v = head").select("v").distinct(), "v", "left_semi").select("v", "prints"), "own")
+    own = scratch.save(found.join(heads.filter("v = head").select("v").distinct(), "v", "left_semi").filter(F.size("bands") > 0).select("v", "prints", "bands"), "own")
 
     def verify(pairs: DataFrame, tag: str) -> DataFrame:
         side = own.select("v", "prints")
@@ -297,13 +320,13 @@ def recordings(media: DataFrame, key: str, value: str) -> DataFrame:
         return scratch.save(both.mapInArrow(_aligned, f"a {kind}, b {kind}"), f"links{tag}")
 
     def compare(blocks: DataFrame) -> DataFrame:
-        rows = blocks.join(own, "v").select("family", "i", "j", "outer", "v", "root", "prints")
+        rows = blocks.join(own, "v").select("family", "i", "j", "outer", "v", "root", "prints", "bands")
 
         def links(group: pa.Table) -> pa.Table:
             ids, roots, outer = (group[c].to_pylist() for c in ("v", "root", "outer"))
             prints = [np.frombuffer(x, "<u4") for x in group["prints"].to_pylist()]
-            found = []
-            for x, y in zip(*sharing([run_keys(x) for x in prints], np.array(outer))):
+            keys, found = [np.array(x, np.int64).view(U) for x in group["bands"].to_pylist()], []
+            for x, y in zip(*sharing(keys, np.array(outer))):
                 if roots[x] != roots[y]:
                     a, b = (x, y) if ids[x] < ids[y] else (y, x)
                     if aligned(prints[a], prints[b]):
@@ -313,7 +336,7 @@ def recordings(media: DataFrame, key: str, value: str) -> DataFrame:
 
         return rows.groupBy("family", "i", "j").applyInArrow(links, f"a {kind}, b {kind}")
 
-    roots = classes_of(scratch, [keyed(own, k) for k in range(BANDS + 1)], verify, compare)
+    roots = classes_of(scratch, own.select("v", "bands"), verify, compare)
     named = heads.distinct().join(roots.withColumnRenamed("v", "head"), "head", "left").select("v", F.coalesce("root", "head").alias("class_id"))
     named = named.groupBy("v").agg(F.min("class_id").alias("class_id"))
     out = found.select("v", "n_prints", "prints_crc32").join(named, "v", "left")
