@@ -5,15 +5,16 @@ excess is reshared by weight, which is the level at which min(most x size, level
 
 Each source's documents are laid out twice, each time in an order shuffled by hash, and cut into blocks of equal
 numbers of words. A Weyl sequence of the golden ratio, mapped through the cumulative targets, gives each slot of the
-schedule a source; the k-th slot of a source takes its k-th block. What a source's slots lack at the end of the
-schedule, a few blocks at most, is appended, and its last block stops at the target.
+schedule a source; the k-th slot of a source takes its k-th block, the last of which stops at the target. The sequence
+goes on for as many slots again, where a source takes the few blocks that it still lacks; slots of a source that has
+none left stay empty. A document's first_slot is the earliest at which its first word is taken.
 
 Running sums are taken within hash ranges of bounded size and then over the ranges' totals, so no task holds a source.
 Two tables are ordered in one task: the sources (a row each) and, per source, the totals of ranges.
 
 Cases: null and wordless texts have size 0 and are never taken; a null source is a source of its own, last; a null
-doc_id is a key like any other; repeated rows are documents of their own; an empty table gives no rows. Extra columns
-are ignored.
+doc_id is a key like any other; repeated rows are documents of their own, in the stage too; an empty table gives no rows.
+Extra columns are ignored, and kept by the stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -77,8 +78,8 @@ def layout(scratch: Scratch, base: DataFrame, by: DataFrame, rows: int) -> DataF
     return laid.select("source", "rid", "size", (F.col("at") + F.col("ahead")).alias("at"))
 
 
-def schedule(spark: SparkSession, by: DataFrame, block: int, slots: int, sources: int) -> DataFrame:
-    """source, k, slot: the k-th block of each source and its slot. by: source, blocks."""
+def schedule(spark: SparkSession, by: DataFrame, slots: int, sources: int) -> DataFrame:
+    """source, k, slot: the k-th block of each source and its slot. by: source, blocks (slots in all)."""
     order = Win.orderBy(F.col("source").asc_nulls_last())
     by = by.filter("blocks > 0").withColumn("to", F.sum("blocks").over(order)).withColumn("from", F.col("to") - F.col("blocks"))
     cells = 1 << max(4, (4 * sources - 1).bit_length())  # about a source or two in each
@@ -86,56 +87,66 @@ def schedule(spark: SparkSession, by: DataFrame, block: int, slots: int, sources
     by = by.withColumn("from", F.col("from") / scale).withColumn("to", F.col("to") / scale)
     of = by.withColumn("cell", F.explode(F.sequence(F.floor(F.col("from") * cells), F.least(F.floor(F.col("to") * cells), F.lit(cells - 1)))))
     # Slots are drawn modulo the sequence's period, in products below 2**62.
-    slot = spark.range(slots).select(F.col("id").alias("slot"), (F.pmod(F.pmod(F.col("id"), F.lit(PERIOD)) * F.lit(GOLDEN), F.lit(PERIOD)) / F.lit(float(PERIOD))).alias("u"))
+    slot = spark.range(2 * slots).select(F.col("id").alias("slot"), (F.pmod(F.pmod(F.col("id"), F.lit(PERIOD)) * F.lit(GOLDEN), F.lit(PERIOD)) / F.lit(float(PERIOD))).alias("u"))
     slot = slot.withColumn("cell", F.floor(F.col("u") * cells))
-    dealt = slot.join(of, "cell").filter((F.col("u") >= F.col("from")) & (F.col("u") < F.col("to"))).select("slot", "source")
+    dealt = slot.join(of, "cell").filter((F.col("u") >= F.col("from")) & (F.col("u") < F.col("to"))).select("slot", "source", "blocks")
     dealt = dealt.withColumn("range", F.floor(F.col("slot") / RANGE))
     totals = dealt.groupBy("source", "range").agg(F.count("*").alias("total"))
     ahead = Win.partitionBy("source").orderBy("range").rowsBetween(Win.unboundedPreceding, -1)
     totals = totals.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("ahead"), "total")
     rank = F.row_number().over(Win.partitionBy("source", "range").orderBy("slot")) - 1
-    ranked = dealt.withColumn("k", rank).join(totals, _same("source", "s") & (F.col("range") == F.col("r"))).select("source", (F.col("k") + F.col("ahead")).alias("k"), "slot")
+    ranked = dealt.withColumn("k", rank).join(totals, _same("source", "s") & (F.col("range") == F.col("r"))).withColumn("k", F.col("k") + F.col("ahead"))
+    ranked = ranked.filter("k < blocks").select("source", "k", "slot")
+    # A source of less than a block's share may have no slot at all: its blocks come last.
     have = totals.groupBy("s").agg(F.sum("total").alias("have"))
     short = by.join(have, _same("source", "s"), "left").withColumn("have", F.coalesce("have", F.lit(0))).filter("have < blocks")
     tail = short.select("source", F.explode(F.sequence(F.col("have"), F.col("blocks") - 1)).alias("k"))
-    return ranked.unionByName(tail.select("source", "k", (F.lit(slots) + F.col("k")).alias("slot")))
+    return ranked.unionByName(tail.select("source", "k", (F.lit(2 * slots) + F.col("k")).alias("slot")))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, epochs: float = EPOCHS, most: float = MOST, block: int = BLOCK) -> DataFrame:
-    """doc_id, size, source_size, target, taken, and _begins: rounds in which the document's first word is taken."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mix")
-    base = docs.select("doc_id", "source", sizes(docs).alias("size"), F.monotonically_increasing_id().alias("rid"))
-    base = scratch.save(base, "base")
+def plan(scratch: Scratch, base: DataFrame, weights=WEIGHTS, epochs: float = EPOCHS, most: float = MOST, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Sources (goal_source, words, source_size, target, blocks), and of each row taken from: rid, taken, begins (slots, ascending).
+
+    base: rid, doc_id, source, size, saved. begins has a slot for each round in which the row's first word is taken.
+    """
+    spark = base.sparkSession
     by = targets(base, weights, epochs, most).withColumn("words", F.round("target").cast("long")).withColumn("blocks", F.ceil(F.col("words") / F.lit(block)).cast("long"))
     by = scratch.save(by, "sources")
     rows, slots, sources = by.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("blocks"), F.lit(0)), F.count("*")).first()
     goal = by.select(F.col("source").alias("goal_source"), "words", "source_size", "target", "blocks")
-    if slots:
-        laid = layout(scratch, base, by, rows).join(goal.select(F.col("goal_source"), "words"), _same("source", "goal_source")).filter("at < words")
-        parts = laid.withColumn("k", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.least(F.col("at") + F.col("size"), F.col("words")) - 1) / block))))
-        words = F.least(F.col("at") + F.col("size"), (F.col("k") + 1) * block, F.col("words")) - F.greatest(F.col("at"), F.col("k") * block)
-        first = (F.floor(F.col("at") / block) == F.col("k")).cast("long")
-        plan = schedule(spark, by, block, slots, sources).select(F.col("source").alias("slot_source"), F.col("k").alias("slot_k"), "slot")
-        # A null source joins as one: coalesced keys with a flag keep the join an equi-join that can be split.
-        met = parts.join(plan, _same("source", "slot_source") & (F.col("k") == F.col("slot_k")))
-        taken = met.groupBy("rid").agg(F.sum(words).alias("taken"), F.sum(first).alias("begins"))
-    else:
-        taken = spark.range(0).select(F.col("id").alias("rid"), F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("begins"))
+    if not slots:
+        return goal, spark.createDataFrame([], "rid long, taken long, begins array<long>")
+    laid = layout(scratch, base, by, rows).join(goal.select(F.col("goal_source"), "words"), _same("source", "goal_source")).filter("at < words")
+    parts = laid.withColumn("k", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.least(F.col("at") + F.col("size"), F.col("words")) - 1) / block))))
+    words = F.least(F.col("at") + F.col("size"), (F.col("k") + 1) * block, F.col("words")) - F.greatest(F.col("at"), F.col("k") * block)
+    dealt = schedule(spark, by, slots, sources).select(F.col("source").alias("slot_source"), F.col("k").alias("slot_k"), "slot")
+    # A null source joins as one: coalesced keys with a flag keep the join an equi-join that can be split.
+    met = parts.join(dealt, _same("source", "slot_source") & (F.col("k") == F.col("slot_k")))
+    first = F.when(F.floor(F.col("at") / block) == F.col("k"), F.col("slot"))
+    return goal, met.groupBy("rid").agg(F.sum(words).alias("taken"), F.array_sort(F.collect_list(first)).alias("begins"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, epochs: float = EPOCHS, most: float = MOST, block: int = BLOCK) -> DataFrame:
+    """doc_id, size, source_size, target, taken, first_slot of every row."""
+    scratch = Scratch(docs.sparkSession, "mix")
+    base = scratch.save(docs.select("doc_id", "source", sizes(docs).alias("size"), F.monotonically_increasing_id().alias("rid")), "base")
+    goal, taken = plan(scratch, base, weights, epochs, most, block)
     out = base.join(taken, "rid", "left").join(goal, _same("source", "goal_source"), "left")
-    out = out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("begins", F.lit(0)).cast("long").alias("_begins"))
-    return scratch.finish(out)
+    return scratch.finish(out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.get("begins", F.lit(0)).alias("first_slot")))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents", "doc_id", "text", "source")).drop("_begins")
+    return mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its first word: 0, 1 or 2 times, whole."""
-    times = mix(docs.select("doc_id", "text", "source")).groupBy(F.col("doc_id").alias("_id")).agg(F.max("_begins").alias("_times")).filter("_times > 0")
-    copies = F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int")))
-    return docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", copies).select(docs.columns)
+    """Each document, whole, at each slot at which the mix takes its first word (0, 1 or 2 times), in the order of slots."""
+    scratch = Scratch(spark, "mixing")
+    rows = scratch.save(docs.select(F.struct(*docs.columns).alias("row"), sizes(docs).alias("size"), F.monotonically_increasing_id().alias("rid")), "rows")
+    base = rows.select("rid", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), "size")
+    begins = plan(scratch, base)[1].select("rid", F.explode("begins").alias("slot"))
+    mixed = rows.join(begins, "rid").repartitionByRange("slot").sortWithinPartitions("slot")
+    return mixed.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 ORACLE = f"""
@@ -158,9 +169,23 @@ WITH base AS (
 ), laid AS (
   SELECT doc_id, source, size, COALESCE(sum(size) OVER (PARTITION BY source ORDER BY round, h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
   FROM (SELECT *, ('0x' || substr(md5(doc_id || ':' || round), 1, 15))::BIGINT AS h FROM base, (SELECT unnest([0, 1]) AS round))
+), cut AS (
+  SELECT l.*, t.words, t.source_size, t.target FROM laid l JOIN t ON l.source IS NOT DISTINCT FROM t.source
+), blocks AS (
+  SELECT source, ceil(words / {BLOCK}.0::DOUBLE)::BIGINT AS blocks FROM t
+), spans AS (
+  SELECT source, blocks, (sum(blocks) OVER o - blocks) / n::DOUBLE AS lo, sum(blocks) OVER o / n::DOUBLE AS hi, n
+  FROM (SELECT *, sum(blocks) OVER ()::BIGINT AS n FROM blocks WHERE blocks > 0) WINDOW o AS (ORDER BY source NULLS LAST)
+), slots AS (
+  SELECT slot, (slot % {PERIOD} * {GOLDEN}) % {PERIOD} / {PERIOD}.0::DOUBLE AS u FROM (SELECT unnest(range(0, (SELECT 2 * max(n) FROM spans))) AS slot)
+), dealt AS (
+  SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS k FROM slots JOIN spans ON u >= lo AND u < hi
+), firsts AS (
+  SELECT cut.doc_id, COALESCE(min(slot), min(2 * n + at // {BLOCK})) AS first_slot
+  FROM cut JOIN spans ON cut.source IS NOT DISTINCT FROM spans.source LEFT JOIN dealt ON cut.source IS NOT DISTINCT FROM dealt.source AND at // {BLOCK} = k
+  WHERE size > 0 AND at < words GROUP BY cut.doc_id
 ), d AS (
-  SELECT l.doc_id, any_value(l.size) AS size, t.source, t.source_size, t.target, sum(greatest(least(l.at + l.size, t.words) - l.at, 0))::BIGINT AS taken
-  FROM laid l JOIN t ON l.source IS NOT DISTINCT FROM t.source GROUP BY l.doc_id, t.source, t.source_size, t.target
+  SELECT doc_id, any_value(size) AS size, source_size, target, sum(greatest(least(at + size, words) - at, 0))::BIGINT AS taken FROM cut GROUP BY doc_id, source_size, target
 )
-SELECT doc_id, size, source_size, target, taken FROM d
+SELECT d.doc_id, size, source_size, target, taken, first_slot FROM d LEFT JOIN firsts ON d.doc_id IS NOT DISTINCT FROM firsts.doc_id
 """

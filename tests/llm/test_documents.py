@@ -150,14 +150,34 @@ def test_mix(docs, rows, hard, empty):
         taken[source[r.doc_id]] += r.taken
         assert r.target == pytest.approx(target[source[r.doc_id]]) and r.source_size == total[source[r.doc_id]]
     assert all(abs(taken[s] - target[s]) <= 1 for s in order)
-    again = {r.doc_id: r.taken for r in mixing.mix(docs.repartition(5), block=16).collect()}
-    assert again == {r.doc_id: r.taken for r in got}
+    again = {r.doc_id: (r.taken, r.first_slot) for r in mixing.mix(docs.repartition(5), block=16).collect()}
+    assert again == {r.doc_id: (r.taken, r.first_slot) for r in got}
+    # the schedule, slot by slot
+    blocks = {s: -(-round(target[s]) // 16) for s in order}
+    n, edges, at = sum(blocks.values()), [], 0
+    for s in order:
+        edges.append((at, at + blocks[s], s))
+        at += blocks[s]
+    slots = collections.defaultdict(list)
+    for k in range(2 * n):
+        u = k * mixing.GOLDEN % mixing.PERIOD / mixing.PERIOD
+        slots[next(s for lo, hi, s in edges if lo / n <= u < hi / n)].append(k)
+    first = {}
+    for s in order:
+        at = 0
+        laid = sorted((r, int(hashlib.md5(f"{i}:{r}".encode()).hexdigest()[:15], 16), i) for i in size if source[i] == s and size[i] for r in (0, 1))
+        for _, _, i in laid:
+            if at < round(target[s]):
+                k = at // 16
+                first[i] = min(first.get(i, 1 << 60), slots[s][k] if k < len(slots[s]) else 2 * n + k)
+            at += size[i]
+    assert {r.doc_id: r.first_slot for r in got if r.first_slot is not None} == first and len(first) > 20
     assert mixing.mix(hard).count() == hard.count() and mixing.mix(empty).count() == 0
 
 
 def test_schedule_is_even(spark):
     by = spark.createDataFrame([("a", 500), ("b", 300), (None, 200)], "source string, blocks long")
-    plan = mixing.schedule(spark, by, 1, 1000, 3).orderBy("slot").collect()
+    plan = mixing.schedule(spark, by, 1000, 3).orderBy("slot").collect()
     assert collections.Counter(r.source for r in plan) >= collections.Counter({"a": 500, "b": 290, None: 190})
     ranks = collections.defaultdict(list)
     for r in plan:
@@ -398,7 +418,35 @@ def test_pipeline(spark, docs, empty, tmp_path):
         assert out.columns[:4] == ["doc_id", "start", "n_tokens", "ids_crc32"] and (out.count() > 20) == (name == "some")
 
 
+CLASHES = ["row", "rid", "v", "a", "b", "k", "slot", "_id", "_times", "_copy", "_words", "_hits", "_items", "root", "bands", "spans", "held_out", "label", "start", "n", "class_id", "bucket", "Words"]
+
+
+def clashing(hard):
+    return hard.withColumns({c: F.lit(f"mine {c}") for c in CLASHES})
+
+
 def test_mixing_stage_keeps_columns_and_null_ids(spark, hard):
-    out = mixing.stage(spark, hard, "")
-    assert out.columns == hard.columns and 0 < out.count() <= 2 * hard.count()
+    some = clashing(hard)
+    out = mixing.stage(spark, some, "")
+    assert out.columns == some.columns and 0 < out.count() <= 2 * hard.count()
     assert out.filter("doc_id is null").count() <= 2
+    assert all(out.filter(F.col(c) != f"mine {c}").count() == 0 for c in ("_copy", "slot", "row"))
+    # rows that share an id are documents of their own
+    twice = spark.createDataFrame([(1, "a b c d " * 50, "s"), (1, "e f g h " * 50, "s"), (None, "i j " * 80, "s"), (None, "k l " * 80, "s")], "doc_id long, text string, source string")
+    got = collections.Counter(r.text for r in mixing.stage(spark, twice, "").collect())
+    assert 5 <= sum(got.values()) <= 8 and max(got.values()) == 2 and len(got) == 4
+
+
+def test_operators_ignore_clashing_columns(spark, hard, tmp_path):
+    import public_tokenizers
+
+    some, n = clashing(hard), hard.count()
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve thirteen", "x")], "item_id long, text string, id string")
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    labels = some.select("doc_id", F.lit(1).alias("quality"), F.lit("z").alias("label"))
+    assert quality.score(some, quality.fit(some, labels)).count() == n and language_id.identify(some, language_id.fit(some)).count() == n
+    assert mixing.mix(some).count() == secrets.scan(some).count() == near_duplicates.near_duplicates(some).count() == repeats.dedup(some).count() == n
+    assert audio.recordings(some, "doc_id", "text").count() == token_files.encode_and_read(spark, some, public_tokenizers.path("word_bpe_49k.json")).count() == n
+    for stage in (language_id.stage, near_duplicates.stage, decontaminate.stage):
+        out = stage(spark, some, str(tmp_path))
+        assert out.columns == some.columns and 0 < out.count() <= n and out.filter("_words <> 'mine _words' or rid <> 'mine rid'").count() == 0
