@@ -11,6 +11,8 @@ from ._shared import Scratch
 
 #: Documents in a block of the last turn.
 BLOCK = 128
+#: A bucket with so many ids outside its star's component, or fewer, is settled in the second turn.
+STARS = 8
 
 
 def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
@@ -43,11 +45,12 @@ def classes_of(scratch: Scratch, heads: DataFrame, verify: Callable[[DataFrame,
     links (a, b) within blocks: rows (family, i, j, outer, v, root), where each outer id of a block is to be compared
     with each that isn't outer and has another root.
 
-    No bucket is expanded into its pairs. Each is first a star around its least id; buckets whose ids are then in one
-    component hold no link that could change the result. In the others one id outside the star's component, drawn by
-    hash, makes a second star. What is then still outside its star's component is compared with all of its family, the
-    buckets of that component, in blocks of bounded size that give back links only. So every pair of a bucket is
-    compared or within one component, and no component is missed.
+    Each bucket is first a star around its least id; buckets whose ids are then in one component hold no link that could
+    change the result. In the others every id outside the star's component, if they are few, makes a star of its own,
+    which settles the bucket, else one drawn by hash. Ids of a larger bucket that are then still outside its star's
+    component are compared with all of its family, the buckets of that component, in blocks of bounded size that give
+    back links only. So every pair of a bucket is compared or within one component, no component is missed, and the
+    pairs written grow with the members of buckets, not with their squares.
     """
     spread = heads.select(F.explode("bands").alias("bucket"), "v")
     stars = spread.groupBy("bucket").agg(F.min("v").alias("hub"), F.max("v").alias("top"), F.count("*").alias("n")).filter("hub < top")
@@ -56,24 +59,28 @@ def classes_of(scratch: Scratch, heads: DataFrame, verify: Callable[[DataFrame,
     links = verify(checked, "1")
     roots = components(scratch, links, "roots1")
 
-    def split_buckets(tag: str) -> DataFrame:
-        named = members.filter("n > 2").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    def split_buckets(members: DataFrame, tag: str) -> DataFrame:
+        named = members.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
         named = named.join(roots.select(F.col("v").alias("hub"), F.col("root").alias("main")), "hub", "left").withColumn("main", F.coalesce("main", "hub"))
-        named = scratch.save(named.select("bucket", "v", "root", "main"), f"named{tag}")
-        mixed = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
-        return named.join(mixed, "bucket")
+        return scratch.save(named.select("bucket", "hub", "v", "root", "main"), f"named{tag}")
 
-    named = split_buckets("2")
-    picked = named.filter("root <> main").groupBy("bucket").agg(F.min_by(F.struct("v", "root"), F.xxhash64("v")).alias("x")).select("bucket", F.col("x.v").alias("p"), F.col("x.root").alias("p_root"))
-    second = named.join(picked, "bucket").filter("root <> p_root").select(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b")).distinct()
-    second = scratch.save(second, "second")
-    if not second.limit(1).count():
-        return roots  # no bucket holds two components
-    pairs = scratch.save(second.join(checked, ["a", "b"], "left_anti"), "pairs2")
+    named = split_buckets(members.filter("n > 2").select("bucket", "hub", "v"), "2")
+    outside = named.filter("root <> main")
+    mixed = scratch.save(outside.groupBy("bucket").agg(F.count("*").alias("m"), F.min_by(F.struct("v", "root"), F.xxhash64("v")).alias("x")), "mixed")
+    if not mixed.limit(1).count():
+        return roots
+    every = outside.join(mixed.filter(F.col("m") <= STARS).select("bucket"), "bucket").select("bucket", F.col("v").alias("p"), F.col("root").alias("p_root"))
+    picked = mixed.filter(F.col("m") > STARS).select("bucket", F.col("x.v").alias("p"), F.col("x.root").alias("p_root"))
+    pairs = named.join(every.unionByName(picked), "bucket").filter("root <> p_root").select(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b")).distinct()
+    pairs = scratch.save(pairs.join(checked, ["a", "b"], "left_anti"), "pairs2")
     links = scratch.save(links.union(verify(pairs, "2")), "links")
     roots = components(scratch, links, "roots2")
 
-    family = scratch.save(split_buckets("3").select(F.col("main").alias("family"), "v", "root").distinct(), "family")
+    left = named.join(mixed.filter(F.col("m") > STARS).select("bucket"), "bucket", "left_semi").select("bucket", "hub", "v")
+    named = split_buckets(left, "3")
+    mixed = named.filter("root <> main").select("bucket").distinct()
+    named = named.join(mixed, "bucket")
+    family = scratch.save(named.select(F.col("main").alias("family"), "v", "root").distinct(), "family")
     outer = F.col("root") != F.col("family")
     sizes = family.groupBy("family").agg(F.count("*").alias("n"), F.count_if(outer).alias("m")).filter("m > 0 and n > 2")
     sizes = sizes.select("family", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int").alias("rows"), F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("columns"))
