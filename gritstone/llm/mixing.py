@@ -181,11 +181,11 @@ WITH base AS (
 ), dealt AS (
   SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS k FROM slots JOIN spans ON u >= lo AND u < hi
 ), firsts AS (
-  SELECT cut.doc_id, COALESCE(min(slot), min(2 * n + at // {BLOCK})) AS first_slot
-  FROM cut JOIN spans ON cut.source IS NOT DISTINCT FROM spans.source LEFT JOIN dealt ON cut.source IS NOT DISTINCT FROM dealt.source AND at // {BLOCK} = k
-  WHERE size > 0 AND at < words GROUP BY cut.doc_id
+  SELECT cut.doc_id, COALESCE(min(slot), min(2 * n + cut.at // {BLOCK})) AS first_slot
+  FROM cut JOIN spans ON cut.source IS NOT DISTINCT FROM spans.source LEFT JOIN dealt ON cut.source IS NOT DISTINCT FROM dealt.source AND cut.at // {BLOCK} = k
+  WHERE cut.size > 0 AND cut.at < words GROUP BY cut.doc_id
 ), d AS (
-  SELECT doc_id, any_value(size) AS size, source_size, target, sum(greatest(least(at + size, words) - at, 0))::BIGINT AS taken FROM cut GROUP BY doc_id, source_size, target
+  SELECT doc_id, any_value(size) AS size, source_size, target, sum(greatest(least(cut.at + size, words) - cut.at, 0))::BIGINT AS taken FROM cut GROUP BY doc_id, source_size, target
 )
 SELECT d.doc_id, size, source_size, target, taken, first_slot FROM d LEFT JOIN firsts ON d.doc_id IS NOT DISTINCT FROM firsts.doc_id
 """
