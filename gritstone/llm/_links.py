@@ -55,8 +55,11 @@ def classes_of(scratch: Scratch, heads: DataFrame, verify: Callable[[DataFrame,
     spread = heads.select(F.explode("bands").alias("bucket"), "v")
     stars = spread.groupBy("bucket").agg(F.min("v").alias("hub"), F.max("v").alias("top"), F.count("*").alias("n")).filter("hub < top")
     members = scratch.save(spread.join(stars.drop("top"), "bucket"), "members")
+    del spread, stars
+    scratch.tidy()
     checked = scratch.save(members.filter("v > hub").select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct(), "pairs1")
     links = verify(checked, "1")
+    scratch.tidy()
     roots = components(scratch, links, "roots1")
 
     def split_buckets(members: DataFrame, tag: str) -> DataFrame:
@@ -74,6 +77,7 @@ def classes_of(scratch: Scratch, heads: DataFrame, verify: Callable[[DataFrame,
     pairs = named.join(every.unionByName(picked), "bucket").filter("root <> p_root").select(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b")).distinct()
     pairs = scratch.save(pairs.join(checked, ["a", "b"], "left_anti"), "pairs2")
     links = scratch.save(links.union(verify(pairs, "2")), "links")
+    scratch.tidy()
     roots = components(scratch, links, "roots2")
 
     left = named.join(mixed.filter(F.col("m") > STARS).select("bucket"), "bucket", "left_semi").select("bucket", "hub", "v")
@@ -90,4 +94,5 @@ def classes_of(scratch: Scratch, heads: DataFrame, verify: Callable[[DataFrame,
     right = placed.withColumn("j", F.pmod("h", F.col("columns")).cast("int")).withColumn("i", all_of("rows")).withColumn("outer", F.lit(False))
     blocks = left.select("family", "i", "j", "outer", "v", "root").unionByName(right.select("family", "i", "j", "outer", "v", "root"))
     more = scratch.save(compare(blocks), "more")
+    scratch.tidy()
     return components(scratch, links.union(more), "roots3") if more.limit(1).count() else roots

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import sys
 import tempfile
 import types
@@ -15,9 +17,11 @@ HELD_OUT = 2
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one is set only where the session names none."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own; a cluster has none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="gritstone-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -27,12 +31,16 @@ class Scratch:
     """Tables of one operator call in the shared folder.
 
     ``save`` writes a frame as Parquet and reads it back, which cuts lineage: a lost executor costs a reread,
-    not a rerun. ``finish`` saves the result and deletes the tables that led to it.
+    not a rerun. ``finish`` saves the result and deletes the tables that led to it. ``made`` lists the folders of all
+    calls, so that who has written a result elsewhere can remove them.
     """
 
+    made: list[str] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        Scratch.made.append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -42,11 +50,14 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def tidy(self) -> None:
+        """Lets Spark delete the shuffle files of the steps so far: it does so when its driver collects garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            remove(self.spark, self.path(name))
 
     def finish(self, df: DataFrame) -> DataFrame:
         out = self.save(df, "result")
@@ -59,6 +70,11 @@ class Scratch:
         return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df

@@ -44,8 +44,8 @@ RATE, FRAME, HOP = 8000, 256, 64
 SPAN = 16
 #: Samples of an anchor's window and of the sums compared, and frames between the integers of an anchor's key.
 NEIGHBOURHOOD, SUMMED, APART = 768, 32, 8
-#: Sets of bits, and bits in a set: one is equal with 0.95**36 = 0.16 where 5 % of the bits differ, and there are several anchors.
-BANDS, BITS = 10, 36
+#: Sets of bits, and bits in a set: one is equal with 0.95**30 = 0.21 where 5 % of the bits differ, and there are several anchors.
+BANDS, BITS = 6, 30
 #: Bits that are nearly the same in all integers, so a key gains nothing by them.
 STEADY_BITS = (0, 4, 22, 23)
 #: Products of lengths from which offsets are counted by Fourier transforms.
