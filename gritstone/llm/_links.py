@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import Scratch
@@ -38,12 +38,13 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
             return roots
 
 
-def classes_of(scratch: Scratch, heads: DataFrame, verify: Callable[[DataFrame, str], DataFrame], compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def classes_of(scratch: Scratch, heads: DataFrame, verify: Callable[[DataFrame, str], DataFrame], compare: Callable[[DataFrame], DataFrame], possible: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(v, root): classes of ids whose links are among pairs that share a bucket.
 
     heads: (v, bands array<long>). verify(pairs(a, b), tag) keeps the pairs that are links. compare(blocks) gives the
     links (a, b) within blocks: rows (family, i, j, outer, v, root), where each outer id of a block is to be compared
-    with each that isn't outer and has another root.
+    with each that isn't outer and has another root. With possible(mark, mark), bands are structs of bucket and mark, and
+    a pair that shares a bucket is a candidate only if its marks there allow it.
 
     Each bucket is first a star around its least id; buckets whose ids are then in one component hold no link that could
     change the result. In the others every id outside the star's component, if they are few, makes a star of its own,
@@ -52,12 +53,16 @@ def classes_of(scratch: Scratch, heads: DataFrame, verify: Callable[[DataFrame,
     back links only. So every pair of a bucket is compared or within one component, no component is missed, and the
     pairs written grow with the members of buckets, not with their squares.
     """
-    spread = heads.select(F.explode("bands").alias("bucket"), "v")
-    stars = spread.groupBy("bucket").agg(F.min("v").alias("hub"), F.max("v").alias("top"), F.count("*").alias("n")).filter("hub < top")
-    members = scratch.save(spread.join(stars.drop("top"), "bucket"), "members")
+    mark = ["mark"] if possible else []
+    may = possible or (lambda x, y: F.lit(True))
+    spread = heads.select(F.explode("bands").alias("e"), "v").select(*(["e.bucket", "v", "e.mark"] if mark else [F.col("e").alias("bucket"), "v"]))
+    stars = spread.groupBy("bucket").agg(F.min(F.struct("v", *mark)).alias("x"), F.max("v").alias("top"), F.count("*").alias("n")).filter("x.v < top")
+    stars = stars.select("bucket", "n", F.col("x.v").alias("hub"), *[F.col("x.mark").alias("hub_mark") for _ in mark])
+    members = scratch.save(spread.join(stars, "bucket"), "members")
     del spread, stars
     scratch.tidy()
-    checked = scratch.save(members.filter("v > hub").select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct(), "pairs1")
+    meet = may(F.col("mark"), F.col("hub_mark")) if mark else F.lit(True)
+    checked = scratch.save(members.filter(F.col("v") > F.col("hub")).filter(meet).select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct(), "pairs1")
     links = verify(checked, "1")
     scratch.tidy()
     roots = components(scratch, links, "roots1")
@@ -65,23 +70,24 @@ def classes_of(scratch: Scratch, heads: DataFrame, verify: Callable[[DataFrame,
     def split_buckets(members: DataFrame, tag: str) -> DataFrame:
         named = members.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
         named = named.join(roots.select(F.col("v").alias("hub"), F.col("root").alias("main")), "hub", "left").withColumn("main", F.coalesce("main", "hub"))
-        return scratch.save(named.select("bucket", "hub", "v", "root", "main"), f"named{tag}")
+        return scratch.save(named.select("bucket", "hub", "v", "root", "main", *mark), f"named{tag}")
 
-    named = split_buckets(members.filter("n > 2").select("bucket", "hub", "v"), "2")
+    named = split_buckets(members.filter("n > 2").select("bucket", "hub", "v", *mark), "2")
     outside = named.filter("root <> main")
-    mixed = scratch.save(outside.groupBy("bucket").agg(F.count("*").alias("m"), F.min_by(F.struct("v", "root"), F.xxhash64("v")).alias("x")), "mixed")
+    mixed = scratch.save(outside.groupBy("bucket").agg(F.count("*").alias("m"), F.min_by(F.struct("v", "root", *mark), F.xxhash64("v")).alias("x")), "mixed")
     if not mixed.limit(1).count():
         return roots
-    every = outside.join(mixed.filter(F.col("m") <= STARS).select("bucket"), "bucket").select("bucket", F.col("v").alias("p"), F.col("root").alias("p_root"))
-    picked = mixed.filter(F.col("m") > STARS).select("bucket", F.col("x.v").alias("p"), F.col("x.root").alias("p_root"))
-    pairs = named.join(every.unionByName(picked), "bucket").filter("root <> p_root").select(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b")).distinct()
+    every = outside.join(mixed.filter(F.col("m") <= STARS).select("bucket"), "bucket").select("bucket", F.struct("v", "root", *mark).alias("x"))
+    picked = every.unionByName(mixed.filter(F.col("m") > STARS).select("bucket", "x"))
+    meet = may(F.col("mark"), F.col("x.mark")) if mark else F.lit(True)
+    pairs = named.join(picked, "bucket").filter(F.col("root") != F.col("x.root")).filter(meet).select(F.least("v", "x.v").alias("a"), F.greatest("v", "x.v").alias("b")).distinct()
     pairs = scratch.save(pairs.join(checked, ["a", "b"], "left_anti"), "pairs2")
     links = scratch.save(links.union(verify(pairs, "2")), "links")
     scratch.tidy()
     roots = components(scratch, links, "roots2")
 
-    left = named.join(mixed.filter(F.col("m") > STARS).select("bucket"), "bucket", "left_semi").select("bucket", "hub", "v")
-    named = split_buckets(left, "3")
+    large = named.join(mixed.filter(F.col("m") > STARS).select("bucket"), "bucket", "left_semi").select("bucket", "hub", "v", *mark)
+    named = split_buckets(large, "3")
     mixed = named.filter("root <> main").select("bucket").distinct()
     named = named.join(mixed, "bucket")
     family = scratch.save(named.select(F.col("main").alias("family"), "v", "root").distinct(), "family")

@@ -8,7 +8,7 @@ bits each in Gray code, which packs a 32-bit integer for each frame.
 Candidates share a key of an anchor. Anchors are places chosen by the sound itself, the largest sums of 32 samples within
 windows, so they stay where they are in it however a recording was cut: frames are laid from the anchor on, and those of
 equal sound are equal. Two integers of an anchor, 8 frames apart, give a key for each of several sets of their bits, so
-bits outside a set may differ. A pair is aligned at the offset with the least share of differing bits (the longest part
+a few bits outside a set may differ. A pair is aligned at the offset with the least share of differing bits (the longest part
 of equals, then the least offset) among those whose part is at least half of the shorter recording and 24 integers, and
 is linked if at most 12 % of the bits differ there; every such offset is counted. Two cuts of one recording that begin
 half a hop apart differ in 9 % of their bits (95 % of pairs: under 11 %). With shorter parts or more errors, pairs that
@@ -44,12 +44,15 @@ RATE, FRAME, HOP = 8000, 256, 64
 SPAN = 16
 #: Samples of an anchor's window and of the sums compared, and frames between the integers of an anchor's key.
 NEIGHBOURHOOD, SUMMED, APART = 768, 32, 8
-#: Sets of bits, and bits in a set: one is equal with 0.95**30 = 0.21 where 5 % of the bits differ, and there are several anchors.
-BANDS, BITS = 6, 30
+#: Sets of bits, and bits in a set: one is equal with 0.95**34 = 0.17 where 5 % of the bits differ, and there are several anchors.
+#: A key's chance to repeat grows with the number of anchors: beyond some 1 TB take more bits (and bands).
+BANDS, BITS = 7, 34
 #: Bits that are nearly the same in all integers, so a key gains nothing by them.
 STEADY_BITS = (0, 4, 22, 23)
 #: Products of lengths from which offsets are counted by Fourier transforms.
 LARGE = 1 << 18
+#: Bits of both integers that may differ where a key is shared: of the 22 that count and aren't in the key, chance leaves 8.
+MARK_ERRORS = 5
 LEAST_OVERLAP, LEAST_INTEGERS, MOST_ERRORS = 0.5, 24, 0.12
 #: Steps between the four levels of a filter's value.
 STEPS = (-0.12, 0.0, 0.12)
@@ -183,23 +186,24 @@ def band_masks() -> np.ndarray:
 MASKS = band_masks()
 
 
-def keys_of(samples: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """Distinct keys of the anchors of each recording."""
+def keys_of(samples: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct keys of the anchors of each recording, and the two integers behind each (of the first of equal keys)."""
     of, at = anchors(samples, offsets)
     frames = APART + SPAN
     first = np.arange(len(at)) * frames
     chroma = chroma_of(samples, (at[:, None] + np.arange(frames) * HOP).ravel())
     one, two = (integers(chroma, first + k) for k in (0, APART))
     keys = [W.mix(W.mix((one & m[0]).astype(U) + U((band + 1) * W._STEP & (1 << 64) - 1)) + (two & m[1]).astype(U)) for band, m in enumerate(MASKS)]
-    keys, of = np.concatenate(keys), np.tile(of, BANDS)
+    keys, of, marks = np.concatenate(keys), np.tile(of, BANDS), np.tile(one.astype(U) << U(32) | two.astype(U), BANDS)
     order = np.lexsort((keys, of))
-    keys, of = keys[order], of[order]
+    keys, of, marks = keys[order], of[order], marks[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])
-    return np.split(keys[new], np.searchsorted(of[new], np.arange(1, len(offsets) - 1)))
+    ends = np.searchsorted(of[new], np.arange(1, len(offsets) - 1))
+    return list(zip(np.split(keys[new], ends), np.split(marks[new], ends)))
 
 
-def fingerprints(column) -> tuple[list[np.ndarray], list[bytes], list[np.ndarray]]:
+def fingerprints(column) -> tuple[list[np.ndarray], list[bytes], list[tuple[np.ndarray, np.ndarray]]]:
     """Of each value of an Arrow column of bytes: packed integers, what equal recordings have in common, and keys.
 
     What equals share is a hash of the integers, or of the samples where there are none.
@@ -207,7 +211,7 @@ def fingerprints(column) -> tuple[list[np.ndarray], list[bytes], list[np.ndarray
     values, offsets = W.utf8(column)
     out: list[np.ndarray] = []
     same: list[bytes] = []
-    keys: list[np.ndarray] = []
+    keys: list[tuple[np.ndarray, np.ndarray]] = []
     for a, b in W.pieces(offsets):
         own, places = values[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         heads = [own[p : p + 4].tobytes() == b"RIFF" for p in places[:-1]]
@@ -220,7 +224,7 @@ def fingerprints(column) -> tuple[list[np.ndarray], list[bytes], list[np.ndarray
         packed, begin = prints_of(own, places)
         prints = np.split(packed, begin[1:-1])
         out += prints
-        keys += [x if len(y) >= LEAST_INTEGERS else x[:0] for x, y in zip(keys_of(own, places), prints)]
+        keys += [(x, z) if len(y) >= LEAST_INTEGERS else (x[:0], z[:0]) for (x, z), y in zip(keys_of(own, places), prints)]
         for x, head, p, q in zip(prints, raw, places, places[1:]):
             whole = b"p" + x.astype("<u4").tobytes() if len(x) else b"s" + (own[p:q].astype("<f4") - (128 if head else 0)).tobytes()
             same.append(hashlib.sha256(whole).digest())
@@ -285,8 +289,9 @@ def _print(batches):
         prints, same, keys = fingerprints(batch.column(1))
         same = [x if valid else None for x, valid in zip(same, batch.column(1).is_valid().to_pylist())]
         whole = [x.astype("<u4").tobytes() for x in prints]
-        ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-        bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(W.signed(np.concatenate([*keys, np.zeros(0, U)]))))
+        ends = np.concatenate([[0], np.cumsum([len(k) for k, _ in keys])])
+        both = [pa.array(W.signed(np.concatenate([*(x[k] for x in keys), np.zeros(0, U)]))) for k in (0, 1)]
+        bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(both, ["bucket", "mark"]))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([len(x) for x in prints], pa.int64()), pa.array([zlib.crc32(x) for x in whole], pa.int64()), pa.array(whole, pa.binary()), pa.array(same, pa.binary()), bands],
             ["v", "n_prints", "prints_crc32", "prints", "same", "bands"],
@@ -307,7 +312,7 @@ def recordings(media: DataFrame, key: str, value: str) -> DataFrame:
     scratch = Scratch(spark, "audio")
     kind = dict(media.dtypes)[key]
     rows = media.select(F.col(key).alias("v"), F.col(value).cast("binary").alias("media"))
-    found = scratch.save(rows.mapInArrow(_print, f"v {kind}, n_prints long, prints_crc32 long, prints binary, same binary, bands array<long>"), "prints")
+    found = scratch.save(rows.mapInArrow(_print, f"v {kind}, n_prints long, prints_crc32 long, prints binary, same binary, bands array<struct<bucket: long, mark: long>>"), "prints")
     valued = found.filter("v is not null and same is not null").select("v", "same")
     heads = valued.groupBy("same").agg(F.min("v").alias("head"))
     heads = scratch.save(valued.join(heads, "same").select("v", "head"), "heads")
@@ -320,12 +325,12 @@ def recordings(media: DataFrame, key: str, value: str) -> DataFrame:
         return scratch.save(both.mapInArrow(_aligned, f"a {kind}, b {kind}"), f"links{tag}")
 
     def compare(blocks: DataFrame) -> DataFrame:
-        rows = blocks.join(own, "v").select("family", "i", "j", "outer", "v", "root", "prints", "bands")
+        rows = blocks.join(own, "v").select("family", "i", "j", "outer", "v", "root", "prints", F.col("bands.bucket").alias("keys"))
 
         def links(group: pa.Table) -> pa.Table:
             ids, roots, outer = (group[c].to_pylist() for c in ("v", "root", "outer"))
             prints = [np.frombuffer(x, "<u4") for x in group["prints"].to_pylist()]
-            keys, found = [np.array(x, np.int64).view(U) for x in group["bands"].to_pylist()], []
+            keys, found = [np.array(x, np.int64).view(U) for x in group["keys"].to_pylist()], []
             for x, y in zip(*sharing(keys, np.array(outer))):
                 if roots[x] != roots[y]:
                     a, b = (x, y) if ids[x] < ids[y] else (y, x)
@@ -336,7 +341,7 @@ def recordings(media: DataFrame, key: str, value: str) -> DataFrame:
 
         return rows.groupBy("family", "i", "j").applyInArrow(links, f"a {kind}, b {kind}")
 
-    roots = classes_of(scratch, own.select("v", "bands"), verify, compare)
+    roots = classes_of(scratch, own.select("v", "bands"), verify, compare, lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= MARK_ERRORS)
     named = heads.distinct().join(roots.withColumnRenamed("v", "head"), "head", "left").select("v", F.coalesce("root", "head").alias("class_id"))
     named = named.groupBy("v").agg(F.min("class_id").alias("class_id"))
     out = found.select("v", "n_prints", "prints_crc32").join(named, "v", "left")
