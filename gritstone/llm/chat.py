@@ -48,20 +48,38 @@ def unescape_role(role: Column) -> Column:
 def reconstruct(events: DataFrame) -> DataFrame:
     """conv_id, turn, role, text: final messages of a log of conv_id, turn, seq, event, role, text.
 
-    The last open, edit or regenerate event of a message restarts its text; later deltas append to it.
+    Events of a message follow each other by seq, those of equal seq by event and text. The last open, edit or
+    regenerate event restarts its text; the deltas after it append to it. The role is the last that an event names.
     """
-    by = Win.partitionBy("conv_id", "turn").orderBy("seq", "event", "text")
+    own = Win.partitionBy("conv_id", "turn")
     starts = F.col("event").isin("open", "edit", "regenerate")
     rows = events.select("conv_id", "turn", "seq", "event", "role", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("part", F.row_number().over(by)).withColumn("restart", F.max(F.when(starts, F.col("seq"))).over(Win.partitionBy("conv_id", "turn")))
-    rows = rows.filter(F.col("restart").isNull() | (F.col("seq") >= F.col("restart")) | F.col("role").isNotNull())
-    live = F.col("restart").isNull() | (F.col("seq") > F.col("restart")) | ((F.col("seq") == F.col("restart")) & starts)
+    rows = rows.withColumn("part", F.row_number().over(own.orderBy("seq", "event", "text")))
+    rows = rows.withColumn("restart", F.max(F.when(starts, F.col("part"))).over(own))
+    live = F.col("restart").isNull() | (F.col("part") >= F.col("restart"))
     return rows.groupBy("conv_id", "turn").agg(
         F.max_by("role", F.when(F.col("role").isNotNull(), F.col("part"))).alias("role"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(live, F.struct("part", "text")))), lambda x: x["text"]), "").alias("text"),
     )
 
 
+def replay(messages: DataFrame) -> DataFrame:
+    """A log whose final messages are these (conv_id, turn, role, text): drafts, streamed deltas, edits and regenerations.
+
+    Every third message is streamed in two deltas, every third is a wrong draft with a delta and then regenerated in
+    parts, and every third is opened with another text and edited.
+    """
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.char_length(text) / 2).cast("int")
+    start, rest = text.substr(F.lit(1), half), text.substr(half + 1, F.char_length(text))
+    event = lambda seq, name, said, role=F.lit(None).cast("string"): F.struct(F.lit(seq).alias("seq"), F.lit(name).alias("event"), role.alias("role"), said.alias("text"))
+    streamed = F.array(event(0, "open", F.lit(""), F.col("role")), event(1, "delta", start), event(2, "delta", rest))
+    again = F.array(event(0, "open", F.lit("draft "), F.col("role")), event(1, "delta", start), event(2, "regenerate", start), event(3, "delta", rest))
+    edited = F.array(event(0, "open", F.lit("typo"), F.col("role")), event(1, "edit", text))
+    log = F.when(F.pmod("turn", F.lit(3)) == 0, streamed).when(F.pmod("turn", F.lit(3)) == 1, again).otherwise(edited)
+    return messages.select("conv_id", "turn", F.explode(log).alias("e")).select("conv_id", "turn", "e.seq", "e.event", "e.role", "e.text")
+
+
 def render(messages: DataFrame) -> DataFrame:
     """conv_id, formatted, mask (ranges start, length of assistant texts, by code points from 1). messages: conv_id, turn, role, text."""
     rows = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -110,11 +128,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     logged = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     hard = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HARD).alias("text"))
     scratch = Scratch(spark, "chat")
-    # Rows of one turn are messages of their own: each row opens message number `turn` of its place among equals.
+    # Rows of one turn are messages of their own: each is message number `turn` of its place among equals.
     rows = logged.unionByName(hard)
     place = F.row_number().over(Win.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    events = rows.select("conv_id", place.alias("turn"), F.lit(0).alias("seq"), F.lit("open").alias("event"), "role", "text")
-    return digests(scratch.save(render(reconstruct(events)), "formatted"))
+    messages = rows.select("conv_id", place.alias("turn"), "role", "text")
+    return digests(scratch.save(render(reconstruct(replay(messages))), "formatted"))
 
 
 _ESCAPED = r"regexp_replace({0}, '<(\\*)\|', '<\1\\|', 'g')"

@@ -2,14 +2,17 @@
 
 Each text keeps the smallest k-gram hash of every sliding window of k-grams. With k-grams of 7 words and windows of
 7 k-grams any shared span of 13 words shares a kept fingerprint, so a document without a fingerprint of the test set
-has no window of it. Hits are extended: in documents with a hit, every 13-word window is held against the items'
+has no window of it. Hits are extended: in documents with a fingerprint, every 13-word window is held against the items'
 windows. Items of fewer than 13 words are one window of their own length, found by its whole-item hash.
 
-The test set goes to the executors in blocks of bounded size; one block at a time is broadcast, and each block passes
-over all documents, so the result is the same for any number of blocks. No shuffle of documents is needed.
+Fingerprints and windows of the test set are tables of hashes. Two bitmaps of fixed size, one of fingerprints and one of
+windows, go to the executors whatever the test set's size, so that a pass over the documents keeps only the windows that
+may be in it; those are joined with the test set's windows, exactly. So documents are read once, rows without such a
+window are done then, and only the others are shuffled, for their hits.
 
 Cases: a null or wordless text has no words and is never contaminated; wordless items have no windows; items with a
-null id are written as an empty id; repeated rows are judged each; an empty test set hits nothing.
+null id are written as an empty id, and items that share an id are one; repeated rows are judged each; an empty test set
+hits nothing. Extra columns are kept in a column of their own, so their names may be any.
 """
 
 from __future__ import annotations
@@ -18,17 +21,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._shared import release_worker_state, Scratch, small_batches, table
+from ._shared import Scratch, release_worker_state, small_batches, table
 
+U = np.uint64
 WINDOW = 13
 GRAM = 7
-#: Bounds of a broadcast block of the test set.
-BLOCK_ITEMS = 20_000
-BLOCK_CHARS = 32_000_000
+#: Bits of each bitmap, as a power of two: 8 MB.
+BITMAP = 26
+PRINT = 0
 
 
 def winnow(grams: np.ndarray, valid: np.ndarray, w: int) -> np.ndarray:
@@ -37,126 +42,153 @@ def winnow(grams: np.ndarray, valid: np.ndarray, w: int) -> np.ndarray:
     return np.unique(at[valid[: len(at)]])
 
 
-class Block:
-    """Fingerprints and windows of some items."""
-
-    def __init__(self, items: list[tuple[str, str]]):
-        table_ = W.folded_table()
-        data, offsets = W.utf8(pa.array([t for _, t in items], pa.large_string()))
-        words = W.split(data, offsets, table_)
-        self.ids = [i for i, _ in items]
-        windows: dict[int, dict[int, list[int]]] = {}
-        prints = [np.zeros(0, np.uint64)]
-        for i in range(len(items)):
-            h = words.hashes[words.first[i] : words.first[i + 1]]
-            n = min(WINDOW, len(h))
-            if not n:
-                continue
-            for g in np.unique(W.grams(h, n)).tolist():
-                windows.setdefault(n, {}).setdefault(g, []).append(i)
-            if n == WINDOW:
-                g = W.grams(h, GRAM)
-                prints.append(g[winnow(g, np.ones(len(g), bool), WINDOW - GRAM + 1)])
-        self.prints = np.unique(np.concatenate(prints))
-        self.windows = {n: (keys := np.array(sorted(m), np.uint64), [m[k] for k in keys.tolist()]) for n, m in windows.items()}
-
-
-def _found(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Index of each x in sorted_keys, -1 where it isn't there."""
-    if not len(sorted_keys):
-        return np.full(len(x), -1)
-    at = np.minimum(np.searchsorted(sorted_keys, x), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == x, at, -1)
-
-
-def judge(texts, block: Block):
-    """For each text: words, ascending positions of hit words, item indices; the last two None without a hit."""
-    data, offsets = W.utf8(texts)
+def _salted(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of n-grams, apart for each n; n = PRINT for fingerprints."""
+    return W.mix(hashes + U((n + 1) * W._STEP & (1 << 64) - 1))
+
+
+def grams_of(words: W.Words, n: int):
+    """Hash and first word of the runs of n words that lie within a text."""
+    at = np.flatnonzero(words.left() >= n)
+    return W.grams(words.hashes, n)[at], at
+
+
+def prints_of(words: W.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Kept fingerprints of texts of WINDOW words or more, and the text of each."""
+    grams = W.grams(words.hashes, GRAM)
+    kept = winnow(grams, words.left() >= WINDOW, WINDOW - GRAM + 1)
+    return grams[kept], words.text_of()[kept]
+
+
+def _split(column):
+    data, offsets = W.utf8(column)
     for a, b in W.pieces(offsets):
-        words = W.split(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], W.folded_table())
-        left, of = words.left(), words.text_of()
-        hits: dict[int, tuple[set, set]] = {}
-        near = np.zeros(b - a, bool)
-        if len(block.prints):
-            g = W.grams(words.hashes, GRAM)
-            kept = winnow(g, left >= WINDOW, WINDOW - GRAM + 1)
-            near[of[kept[_found(block.prints, g[kept]) >= 0]]] = True
-        for n, (keys, owners) in block.windows.items():
-            if n == WINDOW:
-                spots = np.flatnonzero(near[of] & (left >= n))
-            else:
-                spots = np.flatnonzero(left >= n)
-            g = W.grams(words.hashes, n)
-            which = _found(keys, g[spots]) if len(spots) else np.zeros(0, np.int64)
-            for at, k in zip(spots[which >= 0].tolist(), which[which >= 0].tolist()):
-                where, items = hits.setdefault(int(of[at]), (set(), set()))
-                where.update(range(at, at + n))
-                items.update(owners[k])
-        counts = np.diff(words.first)
-        for i in range(b - a):
-            if i in hits:
-                where, items = hits[i]
-                yield int(counts[i]), sorted(x - int(words.first[i]) for x in where), sorted(items)
-            else:
-                yield int(counts[i]), None, None
-
-
-def blocks_of(bench: DataFrame, key: str = "item_id", text: str = "text") -> list[DataFrame]:
-    n, chars = bench.agg(F.count("*"), F.coalesce(F.sum(F.length(text)), F.lit(0))).first()
-    parts = max(1, -(-n // BLOCK_ITEMS), -(-chars // BLOCK_CHARS))
-    rows = bench.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return [rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k) for k in range(parts)]
-
-
-def hits(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """All columns of docs with _words, _hits (positions of hit words) and _items (ids)."""
+        yield a, b, W.split(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], W.folded_table())
+
+
+def item_hashes(bench: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
+    """item, n, h: windows of n words and, with n = PRINT, fingerprints of the test set, each once."""
+
+    def hashes(batches):
+        for batch in batches:
+            for a, b, words in _split(batch.column(1)):
+                counts, of = np.diff(words.first), words.text_of()
+                prints, owners = prints_of(words)
+                found = [(_salted(prints, PRINT), owners, PRINT)]
+                for n in range(1, WINDOW + 1):
+                    if n == WINDOW:
+                        grams, at = grams_of(words, n)
+                    else:
+                        at = words.first[:-1][counts == n]
+                        grams = W.grams(words.hashes, n)[at] if len(at) else np.zeros(0, U)
+                    found.append((_salted(grams, n), of[at], n))
+                h, owners = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+                n = np.concatenate([np.full(len(x[0]), x[2], np.int32) for x in found])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(owners.astype(np.int64))), pa.array(n), pa.array(W.signed(h))], ["item", "n", "h"])
+
+    rows = bench.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("item"), F.col(text).alias("text"))
+    return rows.mapInArrow(hashes, "item string, n int, h long").distinct()
+
+
+def bitmaps(items: DataFrame) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Bitmaps of fingerprints and of windows, of fixed size, and the lengths of windows."""
+    bit = F.pmod(F.col("h"), F.lit(1 << BITMAP))
+    cells = items.groupBy((F.col("n") == PRINT).alias("is_print"), F.floor(bit / 64).cast("int").alias("cell"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
+    words = cells.agg(F.bit_or(one).alias("bits")).toArrow()
+    maps = []
+    for wanted in (True, False):
+        own = words.filter(pc.equal(words["is_print"], wanted))
+        maps.append(np.zeros(1 << (BITMAP - 6), np.int64))
+        maps[-1][own["cell"].to_numpy()] = own["bits"].to_numpy()
+    lengths = sorted(r.n for r in items.filter(F.col("n") != PRINT).select("n").distinct().collect())  # 13 at most
+    return maps[0].view(U), maps[1].view(U), lengths
+
+
+def _in(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h & U((1 << BITMAP) - 1)
+    return (bitmap[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1) != 0
+
+
+def maybe(words: W.Words, prints: np.ndarray, windows: np.ndarray, lengths: list[int]):
+    """Text, n, hash and place of every window that the bitmaps don't rule out."""
+    of, begin = words.text_of(), words.first[:-1]
+    kept, owners = prints_of(words)
+    near = np.zeros(len(begin), bool)
+    near[owners[_in(prints, _salted(kept, PRINT))]] = True
+    out = []
+    for n in lengths:
+        if n == WINDOW and not near.any():
+            continue
+        grams, at = grams_of(words, n)
+        if n == WINDOW:
+            grams, at = grams[near[of[at]]], at[near[of[at]]]
+        h = _salted(grams, n)
+        ok = _in(windows, h)
+        out.append((of[at[ok]], np.full(ok.sum(), n, np.int32), h[ok], (at[ok] - begin[of[at[ok]]]).astype(np.int32)))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, U), np.zeros(0, np.int32)
+    of, n, h, at = (np.concatenate([x[k] for x in out]) for k in range(4))
+    order = np.argsort(of, kind="stable")
+    return of[order], n[order], h[order], at[order]
+
+
+def hits(docs: DataFrame, bench: DataFrame, carried: list[str] | None = None) -> DataFrame:
+    """row (struct of the carried columns, all by default), words, spots (ascending places of hit words) and items (ids)."""
     spark = docs.sparkSession
     small_batches(spark)
-    at = docs.columns.index("text")
-    added = "_words long, _hits array<int>, _items array<string>"
-    rows = docs.select("*", F.lit(0).cast("long").alias("_words"), F.array().cast("array<int>").alias("_hits"), F.array().cast("array<string>").alias("_items"))
-    blocks = blocks_of(bench)
-    scratch = Scratch(spark, "decontaminate") if len(blocks) > 1 else None
-    for k, part in enumerate(blocks):
-        shared = spark.sparkContext.broadcast(Block([(r.id, r.text) for r in part.collect()]))
-
-        def mark(batches, shared=shared):
-            release_worker_state()
-            for batch in batches:
-                block, n = shared.value, batch.num_columns
-                counts, spots, ids = [], batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist()
-                for i, (count, where, items) in enumerate(judge(batch.column(at), block)):
-                    counts.append(count)
-                    if where is not None:
-                        spots[i] = sorted({*spots[i], *where})
-                        ids[i] = sorted({*ids[i]} | {block.ids[x] for x in items})
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(counts, pa.int64()), pa.array(spots, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.string()))], names=batch.schema.names)
-
-        rows = rows.mapInArrow(mark, rows.schema)
-        if scratch:
-            rows = scratch.save(rows, f"block{k}")
-    return rows
+    scratch = Scratch(spark, "decontaminate")
+    items = scratch.save(item_hashes(bench), "items")
+    shared = spark.sparkContext.broadcast(bitmaps(items))
+
+    def mark(batches):
+        release_worker_state()
+        for batch in batches:
+            counts, parts = [], []
+            for a, b, words in _split(batch.column(2)):
+                of, n, h, at = maybe(words, *shared.value)
+                counts.append(np.diff(words.first).astype(np.int64))
+                parts.append((of + a, n, h, at))
+            of, n, h, at = (np.concatenate([x[k] for x in parts]) if parts else np.zeros(0, np.int64) for k in range(4))
+            ends = np.searchsorted(of, np.arange(batch.num_rows + 1)).astype(np.int32)
+            found = pa.StructArray.from_arrays([pa.array(n.astype(np.int32)), pa.array(W.signed(h.astype(U))), pa.array(at.astype(np.int32))], ["n", "h", "at"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate([np.zeros(0, np.int64), *counts])), pa.ListArray.from_arrays(pa.array(ends), found)], ["row", "rid", "words", "found"])
+
+    rows = docs.select(F.struct(*(carried or docs.columns)).alias("row"), F.monotonically_increasing_id().alias("rid"), F.col("text").alias("text"))
+    schema = rows.select("row", "rid", F.lit(0).cast("long").alias("words"), F.array().cast("array<struct<n:int,h:bigint,at:int>>").alias("found")).schema
+    marked = scratch.save(rows.mapInArrow(mark, schema), "marked")
+    spread = marked.filter(F.size("found") > 0).select("rid", F.explode("found").alias("f")).select("rid", "f.n", "f.h", "f.at")
+    windows = items.filter(F.col("n") != PRINT)
+    met = scratch.save(spread.join(windows.select("n", "h").distinct(), ["n", "h"]), "met")
+    spots = met.groupBy("rid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("n") - 1))))).alias("spots"))
+    named = met.select("rid", "n", "h").distinct().join(windows, ["n", "h"]).select("rid", "item").distinct()
+    named = named.groupBy("rid").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    none = [F.array().cast("array<int>").alias("spots"), F.array().cast("array<string>").alias("items")]
+    clean = marked.filter(F.size("found") == 0).select("row", "words", *none)
+    hit = marked.filter(F.size("found") > 0).join(spots.join(named, "rid"), "rid", "left")
+    return clean.unionByName(hit.select("row", "words", *[F.coalesce(x, y).alias(x) for x, y in zip(("spots", "items"), none)]))
 
 
 def contaminated():
-    n = F.size("_hits")
-    return (n > 0) & (F.lit(20) * n >= F.col("_words"))
+    n = F.size("spots")
+    return (n > 0) & (F.lit(20) * n >= F.col("words"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bench = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
-    return hits(docs, bench).select(
-        "doc_id",
-        F.col("_words").alias("n_words"),
-        F.size("_hits").cast("long").alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", F.array_sort("_items")), 256).alias("items_sha256"),
+    return hits(docs, bench, ["doc_id"]).select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.col("words").alias("n_words"),
+        F.size("spots").cast("long").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         contaminated().alias("contaminated"),
     )
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return hits(docs, table(spark, sf_dir, "benchmark", "item_id", "text")).filter(~contaminated()).select(docs.columns)
+    kept = hits(docs, table(spark, sf_dir, "benchmark", "item_id", "text")).filter(~contaminated())
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def brute(words: list[str], items: list[tuple[str, list[str]]]) -> tuple[set[int], set[str]]:

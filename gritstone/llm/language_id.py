@@ -4,8 +4,8 @@ Counts per language come from a sample of labelled rows whose size is a paramete
 (buckets x languages) is broadcast, and each Arrow batch is scored in numpy by sparse gathers and segment sums.
 
 Cases: a null text counts as empty; a text without a letter is ``und`` with score 0; rows with a null doc_id are
-scored but never learned from; repeated rows are scored each; with no labelled row every prediction is ``und``.
-Extra columns are ignored.
+scored but never learned from; repeated rows are scored each; of languages of equal score the first by name is predicted;
+with no labelled row every prediction is ``und``. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,9 +22,10 @@ from ._shared import fold, HELD_OUT, release_worker_state, small_batches, table
 BUCKETS = 1 << 16
 ORDERS = (2, 3)
 UNKNOWN = "und"
-#: Labelled rows learned from per language, as an expectation, and languages learned.
+#: Labelled rows learned from per language, as an expectation.
 SAMPLE_PER_LANGUAGE = 2000
-MAX_LANGUAGES = 256
+#: All languages are learned; the matrix has 256 KB for each, and with more than these the labels are no languages.
+MAX_LANGUAGES = 4096
 SMOOTHING = 0.5
 
 
@@ -66,7 +67,9 @@ def _lowered(texts) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", sample: int = SAMPLE_PER_LANGUAGE):
     """(languages, log-probability matrix, log priors), learned from rows whose fold isn't held out."""
     learn = docs.filter((fold(key) != HELD_OUT) & F.col(lang).isNotNull()).select(key, lang, text)
-    sizes = learn.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES).collect()
+    sizes = learn.groupBy(lang).count().limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} values of {lang}")
     if not sizes:
         return [], np.zeros((BUCKETS, 0), np.float32), np.zeros(0)
     languages = sorted(r[lang] for r in sizes)
@@ -136,7 +139,7 @@ def keep_identified(docs: DataFrame, model, least: float = 0.3) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    at = [c.lower() for c in docs.columns].index("text")
 
     def keep(batches):
         release_worker_state()

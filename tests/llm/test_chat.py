@@ -39,13 +39,23 @@ def test_events_fold_into_messages(spark):
         (1, 1, 2, "open", "assistant", "bad"), (1, 1, 3, "delta", None, " answer"), (1, 1, 4, "regenerate", None, "good"), (1, 1, 5, "delta", None, " one"), (1, 1, 6, "delta", None, None),
         (2, 0, 0, "open", "user", "x"), (2, 0, 9, "edit", None, "y"),
         (3, 0, 0, "delta", "user", "only"), (3, 0, 1, "delta", None, " deltas"),
+        # equal seq: delta, edit, open and regenerate follow each other by name
+        (4, 0, 0, "open", "user", "A"), (4, 0, 1, "edit", None, "B"), (4, 0, 1, "regenerate", None, "C"), (4, 0, 1, "delta", None, "lost"), (4, 0, 2, "delta", None, "!"),
     ]
     df = spark.createDataFrame(log, "conv_id long, turn long, seq long, event string, role string, text string").repartition(4)
     got = {(r.conv_id, r.turn): (r.role, r.text) for r in chat.reconstruct(df).collect()}
-    assert got == {(1, 0): ("user", "hello"), (1, 1): ("assistant", "good one"), (2, 0): ("user", "y"), (3, 0): ("user", "only deltas")}
+    assert got == {(1, 0): ("user", "hello"), (1, 1): ("assistant", "good one"), (2, 0): ("user", "y"), (3, 0): ("user", "only deltas"), (4, 0): ("user", "C!")}
     assert chat.digests(chat.render(chat.reconstruct(df.limit(0)))).count() == 0
 
 
+def test_replayed_logs_give_the_messages_back(spark):
+    rows = [(k % 3 or None, k, ["user", "assistant", None][k % 3], t) for k, t in enumerate(HARD * 3)]
+    log = chat.replay(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r.event for r in log.select("event").distinct().collect()} == {"open", "delta", "edit", "regenerate"}
+    got = sorted(((r.conv_id or 0, r.turn, r.role, r.text) for r in chat.reconstruct(log.repartition(5)).collect()), key=str)
+    assert got == sorted(((c or 0, t, r, x or "") for c, t, r, x in rows), key=str)
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.text(alphabet="<|\\>n\n sim_end", max_size=12), min_size=1, max_size=6))
 def test_escapes_are_reversible(texts):
