@@ -38,13 +38,14 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
             return roots
 
 
-def classes_of(scratch: Scratch, heads: DataFrame, verify: Callable[[DataFrame, str], DataFrame], compare: Callable[[DataFrame], DataFrame], possible: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def classes_of(scratch: Scratch, heads: DataFrame, verify: Callable[[DataFrame, str], DataFrame], compare: Callable[[DataFrame], DataFrame], possible: Callable[[Column, Column], Column] | None = None, carry: Callable[[Column, Column], Column] | None = None, block: int = BLOCK) -> DataFrame:
     """(v, root): classes of ids whose links are among pairs that share a bucket.
 
     heads: (v, bands array<long>). verify(pairs(a, b), tag) keeps the pairs that are links. compare(blocks) gives the
     links (a, b) within blocks: rows (family, i, j, outer, v, root), where each outer id of a block is to be compared
-    with each that isn't outer and has another root. With possible(mark, mark), bands are structs of bucket and mark, and
-    a pair that shares a bucket is a candidate only if its marks there allow it.
+    with each that isn't outer and has another root. With possible(mark, mark) and carry(mark, mark), bands are structs of
+    bucket and mark, a pair that shares a bucket is a candidate only if its marks there allow it, and verify gets in
+    ``carried`` the distinct values that carry takes of the marks of a and b.
 
     Each bucket is first a star around its least id; buckets whose ids are then in one component hold no link that could
     change the result. In the others every id outside the star's component, if they are few, makes a star of its own,
@@ -61,8 +62,9 @@ def classes_of(scratch: Scratch, heads: DataFrame, verify: Callable[[DataFrame,
     members = scratch.save(spread.join(stars, "bucket"), "members")
     del spread, stars
     scratch.tidy()
-    meet = may(F.col("mark"), F.col("hub_mark")) if mark else F.lit(True)
-    checked = scratch.save(members.filter(F.col("v") > F.col("hub")).filter(meet).select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct(), "pairs1")
+    ends = lambda rows: rows.groupBy("a", "b").agg(F.collect_set("c").alias("carried")) if mark else rows.select("a", "b").distinct()
+    met = members.filter(F.col("v") > F.col("hub")).filter(may(F.col("mark"), F.col("hub_mark")) if mark else F.lit(True))
+    checked = scratch.save(ends(met.select(F.col("hub").alias("a"), F.col("v").alias("b"), *[carry(F.col("hub_mark"), F.col("mark")).alias("c") for _ in mark])), "pairs1")
     links = verify(checked, "1")
     scratch.tidy()
     roots = components(scratch, links, "roots1")
@@ -79,9 +81,11 @@ def classes_of(scratch: Scratch, heads: DataFrame, verify: Callable[[DataFrame,
         return roots
     every = outside.join(mixed.filter(F.col("m") <= STARS).select("bucket"), "bucket").select("bucket", F.struct("v", "root", *mark).alias("x"))
     picked = every.unionByName(mixed.filter(F.col("m") > STARS).select("bucket", "x"))
-    meet = may(F.col("mark"), F.col("x.mark")) if mark else F.lit(True)
-    pairs = named.join(picked, "bucket").filter(F.col("root") != F.col("x.root")).filter(meet).select(F.least("v", "x.v").alias("a"), F.greatest("v", "x.v").alias("b")).distinct()
-    pairs = scratch.save(pairs.join(checked, ["a", "b"], "left_anti"), "pairs2")
+    met = named.join(picked, "bucket").filter(F.col("root") != F.col("x.root")).filter(may(F.col("mark"), F.col("x.mark")) if mark else F.lit(True))
+    taken = [F.when(F.col("v") < F.col("x.v"), carry(F.col("mark"), F.col("x.mark"))).otherwise(carry(F.col("x.mark"), F.col("mark"))).alias("c") for _ in mark]
+    pairs = ends(met.select(F.least("v", "x.v").alias("a"), F.greatest("v", "x.v").alias("b"), *taken))
+    # With marks a pair may have been checked by other values than it meets with here.
+    pairs = scratch.save(pairs if mark else pairs.join(checked, ["a", "b"], "left_anti"), "pairs2")
     links = scratch.save(links.union(verify(pairs, "2")), "links")
     scratch.tidy()
     roots = components(scratch, links, "roots2")
@@ -93,7 +97,7 @@ def classes_of(scratch: Scratch, heads: DataFrame, verify: Callable[[DataFrame,
     family = scratch.save(named.select(F.col("main").alias("family"), "v", "root").distinct(), "family")
     outer = F.col("root") != F.col("family")
     sizes = family.groupBy("family").agg(F.count("*").alias("n"), F.count_if(outer).alias("m")).filter("m > 0 and n > 2")
-    sizes = sizes.select("family", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int").alias("rows"), F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("columns"))
+    sizes = sizes.select("family", F.ceil(F.col("m") / F.lit(block)).cast("int").alias("rows"), F.ceil(F.col("n") / F.lit(block)).cast("int").alias("columns"))
     placed = family.join(sizes, "family").withColumn("h", F.xxhash64("v"))
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = placed.filter(outer).withColumn("i", F.pmod("h", F.col("rows")).cast("int")).withColumn("j", all_of("columns")).withColumn("outer", F.lit(True))

@@ -10,7 +10,7 @@ windows, so they stay where they are in it however a recording was cut: frames a
 equal sound are equal. Two integers of an anchor, 8 frames apart, give a key for each of several sets of their bits, so
 a few bits outside a set may differ. A pair is aligned at the offset with the least share of differing bits (the longest part
 of equals, then the least offset) among those whose part is at least half of the shorter recording and 24 integers, and
-is linked if at most 12 % of the bits differ there; every such offset is counted. Two cuts of one recording that begin
+is linked if at most 12 % of the bits differ there; candidates are held against the offsets at which they share a key. Two cuts of one recording that begin
 half a hop apart differ in 9 % of their bits (95 % of pairs: under 11 %). With shorter parts or more errors, pairs that
 agree by chance outnumber the others. Equal fingerprints are one class head from the start; classes are the connected
 components of links, named by the least id.
@@ -53,6 +53,8 @@ STEADY_BITS = (0, 4, 22, 23)
 LARGE = 1 << 18
 #: Bits of both integers that may differ where a key is shared: of the 22 that count and aren't in the key, chance leaves 8.
 MARK_ERRORS = 5
+#: Recordings in a block of the last turn, on each side.
+BLOCK = 1024
 LEAST_OVERLAP, LEAST_INTEGERS, MOST_ERRORS = 0.5, 24, 0.12
 #: Steps between the four levels of a filter's value.
 STEPS = (-0.12, 0.0, 0.12)
@@ -186,24 +188,24 @@ def band_masks() -> np.ndarray:
 MASKS = band_masks()
 
 
-def keys_of(samples: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Distinct keys of the anchors of each recording, and the two integers behind each (of the first of equal keys)."""
+def keys_of(samples: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Distinct keys of the anchors of each recording, the two integers behind each (of the first of equal keys) and its place."""
     of, at = anchors(samples, offsets)
     frames = APART + SPAN
     first = np.arange(len(at)) * frames
     chroma = chroma_of(samples, (at[:, None] + np.arange(frames) * HOP).ravel())
     one, two = (integers(chroma, first + k) for k in (0, APART))
     keys = [W.mix(W.mix((one & m[0]).astype(U) + U((band + 1) * W._STEP & (1 << 64) - 1)) + (two & m[1]).astype(U)) for band, m in enumerate(MASKS)]
-    keys, of, marks = np.concatenate(keys), np.tile(of, BANDS), np.tile(one.astype(U) << U(32) | two.astype(U), BANDS)
-    order = np.lexsort((keys, of))
-    keys, of, marks = keys[order], of[order], marks[order]
+    keys, of, marks, at = np.concatenate(keys), np.tile(of, BANDS), np.tile(one.astype(U) << U(32) | two.astype(U), BANDS), np.tile(at - offsets[of], BANDS)
+    order = np.lexsort((at, keys, of))
+    keys, of, marks, at = keys[order], of[order], marks[order], at[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])
     ends = np.searchsorted(of[new], np.arange(1, len(offsets) - 1))
-    return list(zip(np.split(keys[new], ends), np.split(marks[new], ends)))
+    return list(zip(*(np.split(x[new], ends) for x in (keys, marks, at))))
 
 
-def fingerprints(column) -> tuple[list[np.ndarray], list[bytes], list[tuple[np.ndarray, np.ndarray]]]:
+def fingerprints(column) -> tuple[list[np.ndarray], list[bytes], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """Of each value of an Arrow column of bytes: packed integers, what equal recordings have in common, and keys.
 
     What equals share is a hash of the integers, or of the samples where there are none.
@@ -211,7 +213,7 @@ def fingerprints(column) -> tuple[list[np.ndarray], list[bytes], list[tuple[np.n
     values, offsets = W.utf8(column)
     out: list[np.ndarray] = []
     same: list[bytes] = []
-    keys: list[tuple[np.ndarray, np.ndarray]] = []
+    keys: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for a, b in W.pieces(offsets):
         own, places = values[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         heads = [own[p : p + 4].tobytes() == b"RIFF" for p in places[:-1]]
@@ -224,7 +226,7 @@ def fingerprints(column) -> tuple[list[np.ndarray], list[bytes], list[tuple[np.n
         packed, begin = prints_of(own, places)
         prints = np.split(packed, begin[1:-1])
         out += prints
-        keys += [(x, z) if len(y) >= LEAST_INTEGERS else (x[:0], z[:0]) for (x, z), y in zip(keys_of(own, places), prints)]
+        keys += [x if len(y) >= LEAST_INTEGERS else tuple(part[:0] for part in x) for x, y in zip(keys_of(own, places), prints)]
         for x, head, p, q in zip(prints, raw, places, places[1:]):
             whole = b"p" + x.astype("<u4").tobytes() if len(x) else b"s" + (own[p:q].astype("<f4") - (128 if head else 0)).tobytes()
             same.append(hashlib.sha256(whole).digest())
@@ -289,19 +291,31 @@ def _print(batches):
         prints, same, keys = fingerprints(batch.column(1))
         same = [x if valid else None for x, valid in zip(same, batch.column(1).is_valid().to_pylist())]
         whole = [x.astype("<u4").tobytes() for x in prints]
-        ends = np.concatenate([[0], np.cumsum([len(k) for k, _ in keys])])
-        both = [pa.array(W.signed(np.concatenate([*(x[k] for x in keys), np.zeros(0, U)]))) for k in (0, 1)]
-        bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(both, ["bucket", "mark"]))
+        ends = np.concatenate([[0], np.cumsum([len(x[0]) for x in keys])])
+        bucket, ints = (pa.array(W.signed(np.concatenate([*(x[k] for x in keys), np.zeros(0, U)]))) for k in (0, 1))
+        places = pa.array(np.concatenate([*(x[2] for x in keys), np.zeros(0, np.int64)]).astype(np.int32))
+        mark = pa.StructArray.from_arrays([ints, places], ["ints", "at"])
+        bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([bucket, mark], ["bucket", "mark"]))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([len(x) for x in prints], pa.int64()), pa.array([zlib.crc32(x) for x in whole], pa.int64()), pa.array(whole, pa.binary()), pa.array(same, pa.binary()), bands],
             ["v", "n_prints", "prints_crc32", "prints", "same", "bands"],
         )
 
 
+def linked_at(a: np.ndarray, b: np.ndarray, shifts) -> bool:
+    """Whether a and b align where b's samples lie ``shift`` after a's, for one of the shifts, at the hops around it."""
+    least = max(LEAST_INTEGERS, LEAST_OVERLAP * min(len(a), len(b)))
+    for k in {-(s // -HOP) for s in shifts} | {s // HOP for s in shifts}:
+        lo, hi = max(0, -k), min(len(a), len(b) - k)
+        if hi - lo >= least and int(np.bitwise_count(a[lo:hi] ^ b[lo + k : hi + k]).sum(dtype=np.int64)) <= MOST_ERRORS * 32 * (hi - lo):
+            return True
+    return False
+
+
 def _aligned(batches):
     for batch in batches:
-        pairs = zip(batch.column(2), batch.column(3))
-        same = [aligned(*(np.frombuffer(x.as_buffer(), "<u4") for x in pair)) for pair in pairs]
+        rows = zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4))
+        same = [linked_at(*(np.frombuffer(x.as_buffer(), "<u4") for x in pair), shifts) for shifts, *pair in rows]
         yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(same, pa.bool_()))
 
 
@@ -312,7 +326,7 @@ def recordings(media: DataFrame, key: str, value: str) -> DataFrame:
     scratch = Scratch(spark, "audio")
     kind = dict(media.dtypes)[key]
     rows = media.select(F.col(key).alias("v"), F.col(value).cast("binary").alias("media"))
-    found = scratch.save(rows.mapInArrow(_print, f"v {kind}, n_prints long, prints_crc32 long, prints binary, same binary, bands array<struct<bucket: long, mark: long>>"), "prints")
+    found = scratch.save(rows.mapInArrow(_print, f"v {kind}, n_prints long, prints_crc32 long, prints binary, same binary, bands array<struct<bucket: long, mark: struct<ints: long, at: int>>>"), "prints")
     valued = found.filter("v is not null and same is not null").select("v", "same")
     heads = valued.groupBy("same").agg(F.min("v").alias("head"))
     heads = scratch.save(valued.join(heads, "same").select("v", "head"), "heads")
@@ -321,27 +335,28 @@ def recordings(media: DataFrame, key: str, value: str) -> DataFrame:
     def verify(pairs: DataFrame, tag: str) -> DataFrame:
         side = own.select("v", "prints")
         both = pairs.join(side.select(F.col("v").alias("a"), F.col("prints").alias("prints_a")), "a")
-        both = both.join(side.select(F.col("v").alias("b"), F.col("prints").alias("prints_b")), "b").select("a", "b", "prints_a", "prints_b")
+        both = both.join(side.select(F.col("v").alias("b"), F.col("prints").alias("prints_b")), "b").select("a", "b", "carried", "prints_a", "prints_b")
         return scratch.save(both.mapInArrow(_aligned, f"a {kind}, b {kind}"), f"links{tag}")
 
     def compare(blocks: DataFrame) -> DataFrame:
-        rows = blocks.join(own, "v").select("family", "i", "j", "outer", "v", "root", "prints", F.col("bands.bucket").alias("keys"))
+        rows = blocks.join(own, "v").select("family", "i", "j", "outer", "v", "root", "prints", F.col("bands.bucket").alias("keys"), F.col("bands.mark.at").alias("places"))
 
         def links(group: pa.Table) -> pa.Table:
             ids, roots, outer = (group[c].to_pylist() for c in ("v", "root", "outer"))
             prints = [np.frombuffer(x, "<u4") for x in group["prints"].to_pylist()]
-            keys, found = [np.array(x, np.int64).view(U) for x in group["keys"].to_pylist()], []
+            keys = [np.array(x, np.int64).view(U) for x in group["keys"].to_pylist()]
+            places, found = [np.array(x, np.int64) for x in group["places"].to_pylist()], []
             for x, y in zip(*sharing(keys, np.array(outer))):
                 if roots[x] != roots[y]:
-                    a, b = (x, y) if ids[x] < ids[y] else (y, x)
-                    if aligned(prints[a], prints[b]):
-                        found.append((ids[a], ids[b]))
+                    _, i, j = np.intersect1d(keys[x], keys[y], assume_unique=True, return_indices=True)
+                    if linked_at(prints[x], prints[y], np.unique(places[y][j] - places[x][i]).tolist()):
+                        found.append((ids[x], ids[y]) if ids[x] < ids[y] else (ids[y], ids[x]))
             kinds = group.schema.field("v").type
             return pa.table({"a": pa.array([a for a, _ in found], kinds), "b": pa.array([b for _, b in found], kinds)})
 
         return rows.groupBy("family", "i", "j").applyInArrow(links, f"a {kind}, b {kind}")
 
-    roots = classes_of(scratch, own.select("v", "bands"), verify, compare, lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= MARK_ERRORS)
+    roots = classes_of(scratch, own.select("v", "bands"), verify, compare, lambda x, y: F.bit_count(x["ints"].bitwiseXOR(y["ints"])) <= MARK_ERRORS, lambda x, y: y["at"] - x["at"], BLOCK)
     named = heads.distinct().join(roots.withColumnRenamed("v", "head"), "head", "left").select("v", F.coalesce("root", "head").alias("class_id"))
     named = named.groupBy("v").agg(F.min("class_id").alias("class_id"))
     out = found.select("v", "n_prints", "prints_crc32").join(named, "v", "left")

@@ -399,9 +399,10 @@ def test_audio_candidates_against_brute_force(noise, least):
         brute = min(np.bitwise_count(a[max(0, k) : len(b) + k] ^ b[max(0, -k) : len(a) - k]).mean() / 32 for k in range(24 - len(b), len(a) - 23) if min(len(a), len(b) + k) - max(0, k) >= max(24, len(b) / 2))
         assert audio.align(a, b)[2] == pytest.approx(brute)
         linked += brute <= audio.MOST_ERRORS
-        (keys, marks), (others, other_marks) = (audio.keys_of(x, one(x))[0] for x in (whole, part))
+        (keys, marks, places), (others, other_marks, other_places) = (audio.keys_of(x, one(x))[0] for x in (whole, part))
         _, i, j = np.intersect1d(keys, others, return_indices=True)
-        found += brute <= audio.MOST_ERRORS and bool((np.bitwise_count(marks[i] ^ other_marks[j]) <= audio.MARK_ERRORS).any())
+        ok = np.bitwise_count(marks[i] ^ other_marks[j]) <= audio.MARK_ERRORS
+        found += brute <= audio.MOST_ERRORS and audio.linked_at(a, b, (other_places[j] - places[i])[ok].tolist())
     assert linked >= 30 and found >= least * linked
 
 
