@@ -9,6 +9,7 @@ import tempfile
 import types
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +76,23 @@ def remove(spark: SparkSession, path: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bitmap(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bitmap of 2**bits bits, whatever the number of rows, of the low bits of a column of longs."""
+    bit = F.pmod(F.col(column), F.lit(1 << bits))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
+    words = hashes.groupBy(F.floor(bit / 64).cast("int").alias("cell")).agg(F.bit_or(one).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["cell"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def in_bitmap(own: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be in a bitmap; none that is in it is missed."""
+    u = np.uint64
+    at = hashes & u(64 * len(own) - 1)
+    return (own[(at >> u(6)).astype(np.int64)] >> (at & u(63))) & u(1) != 0
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df

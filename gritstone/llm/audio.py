@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 from ._links import classes_of
-from ._shared import Scratch, small_batches, table
+from ._shared import Scratch, bitmap, in_bitmap, small_batches, table
 
 U = np.uint64
 RATE, FRAME, HOP = 8000, 256, 64
@@ -55,6 +55,8 @@ LARGE = 1 << 18
 MARK_ERRORS = 5
 #: Recordings in a block of the last turn, on each side.
 BLOCK = 1024
+#: Bits of the bitmap of keys that several recordings have, as a power of two: 16 MB.
+BITMAP = 27
 LEAST_OVERLAP, LEAST_INTEGERS, MOST_ERRORS = 0.5, 24, 0.12
 #: Steps between the four levels of a filter's value.
 STEPS = (-0.12, 0.0, 0.12)
@@ -188,32 +190,40 @@ def band_masks() -> np.ndarray:
 MASKS = band_masks()
 
 
-def keys_of(samples: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Distinct keys of the anchors of each recording, the two integers behind each (of the first of equal keys) and its place."""
+def anchored(samples: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The two integers of each anchor, packed, and its place, for each recording."""
     of, at = anchors(samples, offsets)
+    order = np.lexsort((at, of))
+    of, at = of[order], at[order]
     frames = APART + SPAN
     first = np.arange(len(at)) * frames
     chroma = chroma_of(samples, (at[:, None] + np.arange(frames) * HOP).ravel())
-    one, two = (integers(chroma, first + k) for k in (0, APART))
-    keys = [W.mix(W.mix((one & m[0]).astype(U) + U((band + 1) * W._STEP & (1 << 64) - 1)) + (two & m[1]).astype(U)) for band, m in enumerate(MASKS)]
-    keys, of, marks, at = np.concatenate(keys), np.tile(of, BANDS), np.tile(one.astype(U) << U(32) | two.astype(U), BANDS), np.tile(at - offsets[of], BANDS)
+    one, two = (integers(chroma, first + k).astype(U) for k in (0, APART))
+    ends = np.searchsorted(of, np.arange(1, len(offsets) - 1))
+    return list(zip(np.split(one << U(32) | two, ends), np.split(at - offsets[of], ends)))
+
+
+def keys_of(ints: np.ndarray, at: np.ndarray, of: np.ndarray):
+    """Distinct keys of anchors by recording: key, integers, place (of the first of equal keys) and recording."""
+    one, two = ints >> U(32), ints & U(0xFFFFFFFF)
+    keys = [W.mix(W.mix((one & U(int(m[0]))) + U((band + 1) * W._STEP & (1 << 64) - 1)) + (two & U(int(m[1])))) for band, m in enumerate(MASKS)]
+    keys, ints, at, of = np.concatenate(keys), np.tile(ints, BANDS), np.tile(at, BANDS), np.tile(of, BANDS)
     order = np.lexsort((at, keys, of))
-    keys, of, marks, at = keys[order], of[order], marks[order], at[order]
+    keys, ints, at, of = keys[order], ints[order], at[order], of[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])
-    ends = np.searchsorted(of[new], np.arange(1, len(offsets) - 1))
-    return list(zip(*(np.split(x[new], ends) for x in (keys, marks, at))))
+    return keys[new], ints[new], at[new], of[new]
 
 
-def fingerprints(column) -> tuple[list[np.ndarray], list[bytes], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """Of each value of an Arrow column of bytes: packed integers, what equal recordings have in common, and keys.
+def fingerprints(column) -> tuple[list[np.ndarray], list[bytes], list[tuple[np.ndarray, np.ndarray]]]:
+    """Of each value of an Arrow column of bytes: packed integers, what equal recordings have in common, and anchors.
 
     What equals share is a hash of the integers, or of the samples where there are none.
     """
     values, offsets = W.utf8(column)
     out: list[np.ndarray] = []
     same: list[bytes] = []
-    keys: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    places_of: list[tuple[np.ndarray, np.ndarray]] = []
     for a, b in W.pieces(offsets):
         own, places = values[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         heads = [own[p : p + 4].tobytes() == b"RIFF" for p in places[:-1]]
@@ -226,11 +236,11 @@ def fingerprints(column) -> tuple[list[np.ndarray], list[bytes], list[tuple[np.n
         packed, begin = prints_of(own, places)
         prints = np.split(packed, begin[1:-1])
         out += prints
-        keys += [x if len(y) >= LEAST_INTEGERS else tuple(part[:0] for part in x) for x, y in zip(keys_of(own, places), prints)]
+        places_of += [x if len(y) >= LEAST_INTEGERS else tuple(part[:0] for part in x) for x, y in zip(anchored(own, places), prints)]
         for x, head, p, q in zip(prints, raw, places, places[1:]):
             whole = b"p" + x.astype("<u4").tobytes() if len(x) else b"s" + (own[p:q].astype("<f4") - (128 if head else 0)).tobytes()
             same.append(hashlib.sha256(whole).digest())
-    return out, same, keys
+    return out, same, places_of
 
 
 def errors_by_shift(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -286,22 +296,44 @@ def sharing(keys: list[np.ndarray], outer: np.ndarray) -> tuple[list[int], list[
     return x[i].tolist(), y[j].tolist()
 
 
+def _lists(parts: list[np.ndarray], kind):
+    """Offsets and values of an Arrow list column."""
+    return np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32), np.concatenate([*parts, np.zeros(0, kind)]).astype(kind)
+
+
 def _print(batches):
     for batch in batches:
-        prints, same, keys = fingerprints(batch.column(1))
+        prints, same, found = fingerprints(batch.column(1))
         same = [x if valid else None for x, valid in zip(same, batch.column(1).is_valid().to_pylist())]
         whole = [x.astype("<u4").tobytes() for x in prints]
-        ends = np.concatenate([[0], np.cumsum([len(x[0]) for x in keys])])
-        bucket, ints = (pa.array(W.signed(np.concatenate([*(x[k] for x in keys), np.zeros(0, U)]))) for k in (0, 1))
-        places = pa.array(np.concatenate([*(x[2] for x in keys), np.zeros(0, np.int64)]).astype(np.int32))
-        mark = pa.StructArray.from_arrays([ints, places], ["ints", "at"])
-        bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([bucket, mark], ["bucket", "mark"]))
+        (ends, ints), (_, at) = _lists([x[0] for x in found], U), _lists([x[1] for x in found], np.int32)
+        anchors_ = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(W.signed(ints)), pa.array(at)], ["ints", "at"]))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(x) for x in prints], pa.int64()), pa.array([zlib.crc32(x) for x in whole], pa.int64()), pa.array(whole, pa.binary()), pa.array(same, pa.binary()), bands],
-            ["v", "n_prints", "prints_crc32", "prints", "same", "bands"],
+            [batch.column(0), pa.array([len(x) for x in prints], pa.int64()), pa.array([zlib.crc32(x) for x in whole], pa.int64()), pa.array(whole, pa.binary()), pa.array(same, pa.binary()), anchors_],
+            ["v", "n_prints", "prints_crc32", "prints", "same", "anchors"],
         )
 
 
+def keyed(own: DataFrame, several=None) -> DataFrame:
+    """v and bands (keys with their marks) of each row's anchors; with a broadcast bitmap only keys that may be in it."""
+
+    def keys(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            flat, sizes = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            ints, at = flat.field(0).to_numpy().view(U), flat.field(1).to_numpy()
+            key, ints, at, of = keys_of(ints, at, np.repeat(np.arange(len(sizes)), sizes))
+            if several is not None:
+                ok = in_bitmap(several.value, key)
+                key, ints, at, of = key[ok], ints[ok], at[ok], of[ok]
+            mark = pa.StructArray.from_arrays([pa.array(W.signed(ints)), pa.array(at)], ["ints", "at"])
+            ends = np.searchsorted(of, np.arange(len(sizes) + 1)).astype(np.int32)
+            bands = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(W.signed(key)), mark], ["bucket", "mark"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), bands], ["v", "bands"])
+
+    return own.select("v", "anchors").mapInArrow(keys, f"v {dict(own.dtypes)['v']}, bands array<struct<bucket: long, mark: struct<ints: long, at: int>>>")
+
+
 def linked_at(a: np.ndarray, b: np.ndarray, shifts) -> bool:
     """Whether a and b align where b's samples lie ``shift`` after a's, for one of the shifts, at the hops around it."""
     least = max(LEAST_INTEGERS, LEAST_OVERLAP * min(len(a), len(b)))
@@ -326,11 +358,17 @@ def recordings(media: DataFrame, key: str, value: str) -> DataFrame:
     scratch = Scratch(spark, "audio")
     kind = dict(media.dtypes)[key]
     rows = media.select(F.col(key).alias("v"), F.col(value).cast("binary").alias("media"))
-    found = scratch.save(rows.mapInArrow(_print, f"v {kind}, n_prints long, prints_crc32 long, prints binary, same binary, bands array<struct<bucket: long, mark: struct<ints: long, at: int>>>"), "prints")
+    found = scratch.save(rows.mapInArrow(_print, f"v {kind}, n_prints long, prints_crc32 long, prints binary, same binary, anchors array<struct<ints: long, at: int>>"), "prints")
     valued = found.filter("v is not null and same is not null").select("v", "same")
     heads = valued.groupBy("same").agg(F.min("v").alias("head"))
     heads = scratch.save(valued.join(heads, "same").select("v", "head"), "heads")
-    own = scratch.save(found.join(heads.filter("v = head").select("v").distinct(), "v", "left_semi").filter(F.size("bands") > 0).select("v", "prints", "bands"), "own")
+    own = scratch.save(found.join(heads.filter("v = head").select("v").distinct(), "v", "left_semi").filter(F.size("anchors") > 0).select("v", "prints", "anchors"), "own")
+    # Most keys are one recording's alone; a bitmap of the others lets each task leave them out.
+    buckets = keyed(own).select(F.explode("bands.bucket").alias("bucket"), "v").groupBy("bucket").agg(F.min("v").alias("least"), F.max("v").alias("most")).filter("least < most")
+    several = spark.sparkContext.broadcast(bitmap(buckets, "bucket", BITMAP))
+    scratch.tidy()
+
+    keys = scratch.save(keyed(own, several).filter(F.size("bands") > 0), "keys")
 
     def verify(pairs: DataFrame, tag: str) -> DataFrame:
         side = own.select("v", "prints")
@@ -339,7 +377,7 @@ def recordings(media: DataFrame, key: str, value: str) -> DataFrame:
         return scratch.save(both.mapInArrow(_aligned, f"a {kind}, b {kind}"), f"links{tag}")
 
     def compare(blocks: DataFrame) -> DataFrame:
-        rows = blocks.join(own, "v").select("family", "i", "j", "outer", "v", "root", "prints", F.col("bands.bucket").alias("keys"), F.col("bands.mark.at").alias("places"))
+        rows = blocks.join(own, "v").join(keys, "v").select("family", "i", "j", "outer", "v", "root", "prints", F.col("bands.bucket").alias("keys"), F.col("bands.mark.at").alias("places"))
 
         def links(group: pa.Table) -> pa.Table:
             ids, roots, outer = (group[c].to_pylist() for c in ("v", "root", "outer"))
@@ -356,7 +394,7 @@ def recordings(media: DataFrame, key: str, value: str) -> DataFrame:
 
         return rows.groupBy("family", "i", "j").applyInArrow(links, f"a {kind}, b {kind}")
 
-    roots = classes_of(scratch, own.select("v", "bands"), verify, compare, lambda x, y: F.bit_count(x["ints"].bitwiseXOR(y["ints"])) <= MARK_ERRORS, lambda x, y: y["at"] - x["at"], BLOCK)
+    roots = classes_of(scratch, keys, verify, compare, lambda x, y: F.bit_count(x["ints"].bitwiseXOR(y["ints"])) <= MARK_ERRORS, lambda x, y: y["at"] - x["at"], BLOCK)
     named = heads.distinct().join(roots.withColumnRenamed("v", "head"), "head", "left").select("v", F.coalesce("root", "head").alias("class_id"))
     named = named.groupBy("v").agg(F.min("class_id").alias("class_id"))
     out = found.select("v", "n_prints", "prints_crc32").join(named, "v", "left")

@@ -21,12 +21,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._shared import Scratch, release_worker_state, small_batches, table
+from ._shared import Scratch, bitmap, in_bitmap, release_worker_state, small_batches, table
 
 U = np.uint64
 WINDOW = 13
@@ -92,22 +91,8 @@ def item_hashes(bench: DataFrame, key: str = "item_id", text: str = "text") -> D
 
 def bitmaps(items: DataFrame) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """Bitmaps of fingerprints and of windows, of fixed size, and the lengths of windows."""
-    bit = F.pmod(F.col("h"), F.lit(1 << BITMAP))
-    cells = items.groupBy((F.col("n") == PRINT).alias("is_print"), F.floor(bit / 64).cast("int").alias("cell"))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
-    words = cells.agg(F.bit_or(one).alias("bits")).toArrow()
-    maps = []
-    for wanted in (True, False):
-        own = words.filter(pc.equal(words["is_print"], wanted))
-        maps.append(np.zeros(1 << (BITMAP - 6), np.int64))
-        maps[-1][own["cell"].to_numpy()] = own["bits"].to_numpy()
     lengths = sorted(r.n for r in items.filter(F.col("n") != PRINT).select("n").distinct().collect())  # 13 at most
-    return maps[0].view(U), maps[1].view(U), lengths
-
-
-def _in(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h & U((1 << BITMAP) - 1)
-    return (bitmap[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1) != 0
+    return bitmap(items.filter(F.col("n") == PRINT), "h", BITMAP), bitmap(items.filter(F.col("n") != PRINT), "h", BITMAP), lengths
 
 
 def maybe(words: W.Words, prints: np.ndarray, windows: np.ndarray, lengths: list[int]):
@@ -115,7 +100,7 @@ def maybe(words: W.Words, prints: np.ndarray, windows: np.ndarray, lengths: list
     of, begin = words.text_of(), words.first[:-1]
     kept, owners = prints_of(words)
     near = np.zeros(len(begin), bool)
-    near[owners[_in(prints, _salted(kept, PRINT))]] = True
+    near[owners[in_bitmap(prints, _salted(kept, PRINT))]] = True
     out = []
     for n in lengths:
         if n == WINDOW and not near.any():
@@ -124,7 +109,7 @@ def maybe(words: W.Words, prints: np.ndarray, windows: np.ndarray, lengths: list
         if n == WINDOW:
             grams, at = grams[near[of[at]]], at[near[of[at]]]
         h = _salted(grams, n)
-        ok = _in(windows, h)
+        ok = in_bitmap(windows, h)
         out.append((of[at[ok]], np.full(ok.sum(), n, np.int32), h[ok], (at[ok] - begin[of[at[ok]]]).astype(np.int32)))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, U), np.zeros(0, np.int32)

@@ -386,6 +386,11 @@ def test_audio_with_noise_and_cuts(spark):
     assert got == {1: 1, 9: 1, 10: 1, 11: 11, 12: 1}
 
 
+def keys_of(x):
+    ints, at = audio.anchored(x, np.array([0, len(x)]))[0]
+    return audio.keys_of(ints, at, np.zeros(len(at), np.int64))[:3]
+
+
 @pytest.mark.parametrize("noise,least", [(0, 0.99), (2, 0.95), (5, 0.9)])
 def test_audio_candidates_against_brute_force(noise, least):
     rng = np.random.default_rng(4)
@@ -399,7 +404,7 @@ def test_audio_candidates_against_brute_force(noise, least):
         brute = min(np.bitwise_count(a[max(0, k) : len(b) + k] ^ b[max(0, -k) : len(a) - k]).mean() / 32 for k in range(24 - len(b), len(a) - 23) if min(len(a), len(b) + k) - max(0, k) >= max(24, len(b) / 2))
         assert audio.align(a, b)[2] == pytest.approx(brute)
         linked += brute <= audio.MOST_ERRORS
-        (keys, marks, places), (others, other_marks, other_places) = (audio.keys_of(x, one(x))[0] for x in (whole, part))
+        (keys, marks, places), (others, other_marks, other_places) = (keys_of(x) for x in (whole, part))
         _, i, j = np.intersect1d(keys, others, return_indices=True)
         ok = np.bitwise_count(marks[i] ^ other_marks[j]) <= audio.MARK_ERRORS
         found += brute <= audio.MOST_ERRORS and audio.linked_at(a, b, (other_places[j] - places[i])[ok].tolist())
