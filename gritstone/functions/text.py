@@ -1,16 +1,20 @@
-"""Text Columns: normalisers, hashes, tokens, shingles, parsers. All stay in the JVM unless said otherwise."""
+"""Text Columns: normalisers, hashes, tokens, shingles, parsers. All stay in the JVM."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-#: Comments, with string and character literals kept (fixed pattern).
-COMMENT_OR_LITERAL = r"""("(?:\\[\s\S]|[^"\\])*"|'(?:\\[\s\S]|[^'\\])*')|//[^\r\n]*|/\*[\s\S]*?\*/"""
+#: String and character literals, and comments beside them (fixed patterns; possessive, since Java's matcher recurses on groups).
+LITERAL = r"""\"[^\"\\]*+(?:\\[\s\S][^\"\\]*+)*+\"|'[^'\\]*+(?:\\[\s\S][^'\\]*+)*+'"""
+COMMENT_OR_LITERAL = rf"({LITERAL})|//[^\r\n]*+|/\*(?s:.*?)\*/"
+#: Spacing rules of the two literal-masking normalisers, in their order (fixed values); the short one has the first four.
+SPACING = (
+    (r"(\w)\s+\(", "$1("), (r"\(\s+", "("), (r"\s+\)", ")"), (r"(\w)\s+\[", "$1["),
+    (r"\[\s+", "["), (r"\s+\]", "]"), (r"\s+;", ";"), (r"\s+,", ","), (r",(\S)", ", $1"),
+    (r"\{\s*\}", "{}"), (r"(\S)\{", "$1 {"), (r"\{([^\s}])", "{ $1"), (r"([^\s{])\}", "$1 }"),
+)
+SHORT_RULES = 4
 #: Tokens of the 26 code metrics (fixed pattern) and of near-clone shingles.
 METRIC_TOKEN = r"0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?|[A-Za-z_]\w*|->|::|<<|>>|<=|>=|==|!=|&&|\|\||\+\+|--|[^\s]"
 #: Phrases that leak a label into a prompt (fixed patterns, any case).
@@ -22,8 +26,9 @@ def _c(x) -> Column:
 
 
 def strip_comments(code) -> Column:
-    """Comments become a space; literals stay."""
-    return F.regexp_replace(_c(code), COMMENT_OR_LITERAL, "$1 ")
+    """Comments become a space; literals stay. (A mark follows each match; those right after a literal go again.)"""
+    marked = F.regexp_replace(_c(code), COMMENT_OR_LITERAL, "$1\x02")
+    return F.replace(F.regexp_replace(marked, "([\"'])\x02", "$1"), F.lit("\x02"), F.lit(" "))
 
 
 def token_stream(code) -> Column:
@@ -50,30 +55,26 @@ def sha(text, n: int = 64) -> Column:
     return F.substring(F.sha2(_c(text), 256), 1, n)
 
 
-def normalize_full(code: str, wide: bool = True) -> str:
-    """Comments out, literals masked, white space collapsed, spacing around marks fixed, literals restored."""
-    held: list[str] = []
-
-    def keep(m):
-        if m.group(1) is None:
-            return " "
-        held.append(m.group(1))
-        return f"\x00{len(held) - 1}\x00"
+def normalize_spacing(code, rules: int = len(SPACING)) -> Column:
+    """Comments out, white space collapsed, and spacing around marks by the first ``rules`` rules, outside literals.
 
-    out = re.sub(r"\s+", " ", re.sub(COMMENT_OR_LITERAL, keep, code or "")).strip()
-    marks = r"()\[\];,{}" if wide else r"()\["
-    out = re.sub(rf"\s*([{marks}])\s*", r"\1", out)
-    return re.sub("\x00(\\d+)\x00", lambda m: held[int(m.group(1))], out)
+    Literals are cut out, one mark for each, and put back between the pieces that the marks part.
+    """
+    plain = F.replace(strip_comments(code), F.lit("\x01"), F.lit(" "))
+    literals = F.regexp_extract_all(plain, F.lit(f"({LITERAL})"), 1)
+    masked = F.trim(F.regexp_replace(F.regexp_replace(plain, LITERAL, "\x01"), r"\s+", " "))
+    for pattern, to in SPACING[:rules]:
+        masked = F.regexp_replace(masked, pattern, to)
+    masked = F.trim(F.regexp_replace(masked, r"\s+", " "))
+    return F.array_join(F.zip_with(F.split(masked, "\x01"), literals, lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), "")
 
 
-@F.pandas_udf(StringType())
-def normalize_wide(code: pd.Series) -> pd.Series:
-    return code.map(lambda x: None if x is None else normalize_full(x))
+def normalize_wide(code) -> Column:
+    return normalize_spacing(code)
 
 
-@F.pandas_udf(StringType())
-def normalize_short(code: pd.Series) -> pd.Series:
-    return code.map(lambda x: None if x is None else normalize_full(x, wide=False))
+def normalize_short(code) -> Column:
+    return normalize_spacing(code, SHORT_RULES)
 
 
 def words(text) -> Column:
@@ -97,6 +98,16 @@ def shingles(toks, k: int, sep: str = " ") -> Column:
     return F.element_at(F.transform(F.array(_c(toks)), of), 1)
 
 
+def shingle_hashes(toks, k: int) -> Column:
+    """Distinct 64-bit hashes of the k-grams of an array of tokens; none if it has fewer."""
+    empty = F.array().cast("array<long>")
+
+    def of(t):
+        return F.when(F.size(t) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(t) - (k - 1)), lambda i: F.xxhash64(F.slice(t, i, k))))).otherwise(empty)
+
+    return F.element_at(F.transform(F.array(_c(toks)), of), 1)
+
+
 def jaccard(a, b) -> Column:
     """Of two arrays of distinct values; 0 if either is empty."""
     a, b = _c(a), _c(b)
@@ -110,6 +121,7 @@ def jaccard_or_one(a, b) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(jaccard(a, b))
 
 
+# Words and groups of the 26 code metrics.
 METRIC_WORDS = ("if", "else", "for", "while", "switch", "case", "return", "goto", "break", "sizeof")
 METRIC_GROUPS = {
     "null": ("null", "nullptr"),
@@ -150,6 +162,43 @@ def strict_binary(raw, finish) -> Column:
     return F.when(F.coalesce(_c(finish) == "length", F.lit(False)), F.lit(None).cast("int")).when(answer.isin("0", "1"), answer.cast("int"))
 
 
+# Phrases of the free-text parser, in lower case.
+HEDGES = (
+    r"cannot determine",
+    r"can't determine",
+    r"not sure",
+    r"unable to determine",
+    r"both 0 and 1",
+    r"both vulnerable and safe",
+    r"both safe and vulnerable",
+    r"vulnerable\s*\(\s*1\s*\).*safe\s*\(\s*0\s*\)",
+    r"safe\s*\(\s*0\s*\).*vulnerable\s*\(\s*1\s*\)",
+)
+SAID_SAFE = (
+    r"\bnon-vulnerable\s*\(\s*0\s*\)",
+    r"\b(label|output|answer):\s*non-vulnerable",
+    r"\b(label|output|answer|prediction):\s*0\b",
+)
+SAID_VULNERABLE = (
+    r"\bvulnerable\s*\(\s*1\s*\)",
+    r"\b(label|output|answer):\s*vulnerable",
+    r"\b(label|output|answer|prediction):\s*1\b",
+)
+SAFE_WORDS = (
+    r"\bnon-vulnerable\b",
+    r"\bnot\s+vulnerable\b",
+    r"\bnot\s+a\s+vulnerability\b",
+    r"\bno\s+(?:security\s+)?vulnerability\b",
+    r"\b(function|code)\s+is\s+safe\b",
+    r"\bsafe\b",
+)
+VULNERABLE_WORDS = (
+    r"(?<!non-)(?<!not\s)(?<!no\s)\bvulnerable\b",
+    r"(?<!no\s)(?<!not\s)vulnerabilit(?:y|ies)\b",
+    r"\bsecurity\s+flaw\b",
+)
+
+
 def free_text_label(raw) -> Column:
     """struct(label, method) by ordered rules; contradictions and hedging have no label, and nothing defaults to 0.
 
@@ -160,11 +209,7 @@ def free_text_label(raw) -> Column:
     low = F.lower(text)
     last = F.lower(F.trim(F.element_at(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), -1)))
     one, zero = ("1", "'1'", '"1"', "1."), ("0", "'0'", '"0"', "0.")
-    hedge = r"cannot determine|can't determine|not sure|unable to determine|both 0 and 1|both vulnerable and safe|both safe and vulnerable|vulnerable\s*\(\s*1\s*\).*safe\s*\(\s*0\s*\)|safe\s*\(\s*0\s*\).*vulnerable\s*\(\s*1\s*\)"
-    said_safe = low.rlike(r"\bnon-vulnerable\s*\(\s*0\s*\)|\b(label|output|answer):\s*non-vulnerable|\b(label|output|answer|prediction):\s*0\b")
-    said_vuln = low.rlike(r"\bvulnerable\s*\(\s*1\s*\)|\b(label|output|answer):\s*vulnerable|\b(label|output|answer|prediction):\s*1\b")
-    safe = low.rlike(r"\bnon-vulnerable\b|\bnot\s+vulnerable\b|\bnot\s+a\s+vulnerability\b|\bno\s+(?:security\s+)?vulnerability\b|\b(function|code)\s+is\s+safe\b|\bsafe\b")
-    vuln = low.rlike(r"(?<!non-)(?<!not\s)(?<!no\s)\bvulnerable\b|(?<!no\s)(?<!not\s)vulnerabilit(?:y|ies)\b|\bsecurity\s+flaw\b")
+    hedge, said_safe, said_vuln, safe, vuln = (low.rlike("|".join(p)) for p in (HEDGES, SAID_SAFE, SAID_VULNERABLE, SAFE_WORDS, VULNERABLE_WORDS))
     has1, has0 = text.rlike(r"\b1\b"), text.rlike(r"\b0\b")
 
     def out(label, method):
@@ -176,7 +221,7 @@ def free_text_label(raw) -> Column:
         .when(text.isin(*zero), out(0, "strict"))
         .when(last.isin(*one), out(1, "last_line"))
         .when(last.isin(*zero), out(0, "last_line"))
-        .when(low.rlike(hedge), out(None, "hedging"))
+        .when(hedge, out(None, "hedging"))
         .when(said_vuln & said_safe, out(None, "contradiction"))
         .when(said_vuln, out(1, "explicit"))
         .when(said_safe, out(0, "explicit"))

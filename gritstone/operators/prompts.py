@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gritstone.functions import text as T
 
-from .tables import ContractError, graph_prefix, graph_text
+from .tables import ContractError, fitting_nodes, graph_prefix, graph_text
 
 #: Arm to graph, demo, label, diff and order policies (fixed values).
 ARMS = {
@@ -48,22 +48,23 @@ def _shown(target: Column) -> Column:
     return F.when(flipped == 1, "Vulnerable").otherwise("Non-vulnerable")
 
 
-def graph_block(prefix: tuple[int, int] = (25, 25)) -> Column:
-    nodes, edges = graph_prefix(F.col("nodes"), F.col("edges"), *prefix)
-    far_nodes, far_edges = graph_prefix(F.reverse("nodes"), F.col("edges"), *prefix)
-    # The largest prefix of nodes whose text fits; prefixes grow, so it is the count of those that fit.
-    fits = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size("nodes"), F.lit(1))), lambda k: T.approx_tokens(graph_text(F.slice("nodes", F.lit(1), k), F.col("edges"))) <= BUDGET["graph"]))
-    fill_nodes = F.slice("nodes", F.lit(1), F.greatest(fits, F.lit(1)))
-    none = F.lit("")
-    by_policy = (
-        F.when(F.col("graph") == "prefix", graph_text(nodes, edges))
-        .when(F.col("graph") == "fill", graph_text(fill_nodes, F.col("edges")))
-        .when(F.col("graph") == "shuffle", graph_text(far_nodes, far_edges))
-        .when(F.col("graph") == "h2", F.coalesce("h2_evidence", none))
-        .otherwise(none)
-    )
-    empty = (F.col("graph") == "none") | ((F.col("graph") != "h2") & (F.size("nodes") == 0))
-    return F.when(empty, none).otherwise(T.fit_tokens(by_policy, BUDGET["graph"]))
+def graph_texts(prefix: tuple[int, int] = (25, 25)) -> dict[str, Column]:
+    """The graph's text under each policy that shows one."""
+    shown = lambda nodes, edges: T.fit_tokens(graph_text(nodes, edges), BUDGET["graph"])
+    first = graph_prefix(F.col("nodes"), F.col("edges"), *prefix)
+    far = graph_prefix(F.reverse("nodes"), F.col("edges"), *prefix)
+    fit = F.slice("nodes", F.lit(1), F.col("_fit"))
+    ids = F.transform(fit, lambda x: x["id"])
+    inside = F.filter("edges", lambda e: F.array_contains(ids, e["start"]) & F.array_contains(ids, e["end"]))
+    return {"prefix": shown(*first), "fill": shown(fit, inside), "shuffle": shown(*far), "h2": T.fit_tokens(F.coalesce("h2_evidence", F.lit("")), BUDGET["graph"])}
+
+
+def graph_block() -> Column:
+    """The text of the arm's policy, of those that render made for each spec."""
+    out = F.lit("")
+    for policy in ("prefix", "fill", "shuffle", "h2"):
+        out = F.when(F.col("graph") == policy, F.col(f"_graph_{policy}")).otherwise(out)
+    return F.when((F.col("graph") == "none") | ((F.col("graph") != "h2") & F.col("_no_nodes")), "").otherwise(out)
 
 
 def demo_block() -> Column:
@@ -90,8 +91,12 @@ def render(specs: DataFrame, arms: dict | None = None) -> DataFrame:
         raise ContractError(f"labels may not enter prompts: {held}")
     if "donor" not in specs.columns:
         specs = specs.withColumn("donor", F.get("demonstrations", F.lit(0)))
+    # What doesn't depend on the arm is made once for each spec, before the arms multiply the rows.
+    specs = specs.withColumn("_fit", fitting_nodes(F.col("nodes"), F.col("edges"), BUDGET["graph"] * 4))
+    made = {f"_graph_{k}": text for k, text in graph_texts().items()}
+    specs = specs.select("id", "demonstrations", "demonstrations_pair", "security_difference", "donor", (F.size("nodes") == 0).alias("_no_nodes"), T.fit_tokens(F.trim("query_code"), BUDGET["target_code"], "\n/* [TRUNCATED TARGET] */").alias("code_block"), *[c.alias(k) for k, c in made.items()])
     rows = specs.crossJoin(F.broadcast(arms_table(specs.sparkSession, arms)))
-    rows = rows.withColumns({"role_block": F.lit(ROLE), "code_block": T.fit_tokens(F.trim("query_code"), BUDGET["target_code"], "\n/* [TRUNCATED TARGET] */"), "question_block": F.lit(QUESTION), "graph_block": graph_block(), "demonstration_block": demo_block(), "answer_block": F.lit(ANSWER)})
+    rows = rows.withColumns({"role_block": F.lit(ROLE), "question_block": F.lit(QUESTION), "graph_block": graph_block(), "demonstration_block": demo_block(), "answer_block": F.lit(ANSWER)})
     present = F.filter(F.array(*[F.col(f"{b}_block") for b in BLOCKS]), lambda x: x.isNotNull() & (x != ""))
     rows = rows.withColumn("prompt", F.array_join(present, "\n\n"))
     rows = rows.withColumn("prompt_sha256", F.sha2("prompt", 256)).withColumn("tokens", T.approx_tokens("prompt"))

@@ -160,10 +160,53 @@ def graph_prefix(nodes: Column, edges: Column, n: int, m: int) -> tuple[Column,
     return kept, F.slice(F.filter(edges, lambda e: F.array_contains(ids, e["start"]) & F.array_contains(ids, e["end"])), 1, m)
 
 
+# Heads of the two parts of a graph's text, and what stands for an empty part.
+NODE_HEAD = "The node information of the code snippet is as follows:"
+EDGE_HEAD = "The edge information of the code snippet is as follows:"
+NO_NODES, NO_EDGES = "[No Node Information Available]", "[No Edge Information Available]"
+SHOWN_CODE = 40
+
+
+def node_lines(nodes: Column) -> Column:
+    def line(n):
+        code = F.replace(F.trim(F.coalesce(n["code"], F.lit(""))), F.lit("\n"), F.lit(" "))
+        shown = F.when(F.char_length(code) > SHOWN_CODE, F.concat(F.substring(code, 1, SHOWN_CODE), F.lit("..."))).otherwise(code)
+        return F.concat(F.lit("Node "), n["id"], F.lit(": ("), n["type"], F.lit(")"), F.when(shown == "", "").otherwise(F.concat(F.lit(" '"), shown, F.lit("'"))))
+
+    return F.transform(nodes, line)
+
+
+def edge_lines(edges: Column) -> Column:
+    return F.transform(edges, lambda e: F.concat(F.lit("Edge: Node "), e["start"], F.lit(" -> "), e["type"], F.lit(" -> Node "), e["end"]))
+
+
 def graph_text(nodes: Column, edges: Column) -> Column:
-    """One line for each node and edge."""
-    lines = F.concat(
-        F.transform(nodes, lambda n: F.concat(F.lit("Node "), n["id"], F.lit(": ("), n["type"], F.lit(") '"), F.substring(n["code"], 1, 40), F.lit("'"))),
-        F.transform(edges, lambda e: F.concat(F.lit("Edge: Node "), e["start"], F.lit(" -> "), e["type"], F.lit(" -> Node "), e["end"])),
-    )
-    return F.when(F.size(lines) == 0, F.lit("(no graph)")).otherwise(F.array_join(lines, "\n"))
+    """Heads, and a line for each node and edge."""
+    part = lambda lines, empty: F.when(F.size(lines) == 0, F.lit(empty)).otherwise(F.array_join(lines, "\n"))
+    return F.concat_ws("\n", F.lit(NODE_HEAD), part(node_lines(nodes), NO_NODES), F.lit(EDGE_HEAD), part(edge_lines(edges), NO_EDGES))
+
+
+def fitting_nodes(nodes: Column, edges: Column, budget_chars: int) -> Column:
+    """How many first nodes, with the edges among them, a text of ``budget_chars`` holds; at least 1.
+
+    Lengths of lines are taken once. An edge comes with the later of its ends; no line of a node is shorter than 10
+    characters, so only so many prefixes are tried.
+    """
+    ids = F.transform(nodes, lambda n: n["id"])
+    comes = F.transform(edges, lambda e: F.struct(F.greatest(F.array_position(ids, e["start"]), F.array_position(ids, e["end"])).alias("at"), F.least(F.array_position(ids, e["start"]), F.array_position(ids, e["end"])).alias("first")))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+
+    def count(sizes):
+        n_lines, e_lines = sizes["nodes"], sizes["edges"]
+
+        def length(k):
+            inside = F.filter(e_lines, lambda e: e["at"] <= k)
+            return F.lit(len(NODE_HEAD) + len(EDGE_HEAD) + 2) + total(F.slice(n_lines, F.lit(1), k)) + F.when(F.size(inside) == 0, len(NO_EDGES)).otherwise(total(F.transform(inside, lambda e: e["size"])) - 1)
+
+        most = F.least(F.size(n_lines), F.lit(budget_chars // 10 + 1))
+        return F.greatest(F.size(F.filter(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda k: length(k) <= budget_chars)), F.lit(1))
+
+    both = F.filter(F.zip_with(comes, edge_lines(edges), lambda c, x: F.struct(c["at"].alias("at"), c["first"].alias("first"), (F.char_length(x) + 1).alias("size"))), lambda e: e["first"] > 0)
+    sizes = F.struct(F.transform(node_lines(nodes), lambda x: F.char_length(x) + 1).alias("nodes"), both.alias("edges"))
+    # Bound by a lambda, the lengths are made once and not for each prefix.
+    return F.element_at(F.transform(F.array(sizes), count), 1)

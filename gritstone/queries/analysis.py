@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from gritstone.functions import evidence as E
 from gritstone.functions import signature as G
@@ -173,18 +169,18 @@ def mock_arm_run(spark, d):
 
 @query("paired_bootstrap")
 def paired_bootstrap(spark, d):
-    return resample.paired_bootstrap(records(spark, d), "y", "pred_a", "pred_b", "id", "mcc", 500, ["dataset"])
+    return resample.paired_bootstrap(records(spark, d), "y", "pred_a", "pred_b", "id", "mcc", 5000, ["dataset"])
 
 
 @query("cluster_bootstrap")
 def cluster_bootstrap(spark, d):
-    return resample.paired_bootstrap(records(spark, d), "y", "pred_a", "pred_b", "grp", "balanced_accuracy", 500)
+    return resample.paired_bootstrap(records(spark, d), "y", "pred_a", "pred_b", "grp", "balanced_accuracy", 5000)
 
 
 @query("stage_bootstrap_zero")
 def stage_bootstrap_zero(spark, d):
     """The variant that takes an undefined metric as 0."""
-    return resample.paired_bootstrap(records(spark, d), "y", "pred_a", "pred_c", "id", "mcc", 500, undefined=0.0)
+    return resample.paired_bootstrap(records(spark, d), "y", "pred_a", "pred_c", "id", "mcc", 2000, undefined=0.0)
 
 
 @query("random_experts")
@@ -203,6 +199,11 @@ def two_split_diagnostic(spark, d):
     return diagnostic.two_split(rec.filter("split <> 'test'"), rec.filter("split = 'test'"))
 
 
+@query("single_split_diagnostic")
+def single_split_diagnostic(spark, d):
+    return diagnostic.single_split(records(spark, d))
+
+
 @query("out_of_fold_scores")
 def out_of_fold_scores(spark, d):
     rows = ml.out_of_fold(diagnostic.features(records(spark, d)), diagnostic.PRE + diagnostic.POST)
@@ -249,16 +250,12 @@ def code_pair_rubric(spark, d):
 
 @query("graph_similarity")
 def graph_similarity(spark, d):
-    """Ratcliff-Obershelp ratio of graph outlines of neighbouring orders, in an Arrow UDF."""
-    from .tables import _graphs
-
-    @F.pandas_udf(DoubleType())
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([0.0 if not x or not y else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+    """Outline similarity of the graphs of neighbouring orders."""
+    from .tables import graph_outlines
 
-    outline = F.when(F.size("nodes") == 0, "").otherwise(F.concat(F.lit("N:"), F.size("nodes").cast("string"), F.lit("_"), F.array_join(F.transform(F.slice("nodes", 1, 30), lambda n: n["type"]), "_"), F.lit("|E:"), F.size("edges").cast("string"), F.lit("|")))
-    g = _graphs(spark, d).select("id", outline.alias("o"))
-    return g.join(g.select((F.col("id") - 50).alias("id"), F.col("o").alias("p")), "id").select("id", F.round(ratio("o", "p"), 6).alias("similarity"))
+    g = graph_outlines(spark, d)
+    near = g.select((F.col("id") - 1).alias("id"), F.col("outline").alias("other"))
+    return g.join(near, "id").select("id", F.round(R.outline_similarity("outline", "other"), 6).alias("similarity"))
 
 
 @query("gold_annotation_ordinals")

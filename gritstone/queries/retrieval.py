@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gritstone.functions import text as T
 from gritstone.operators import retrieval as R
 
 from ._bind import WORDS, query, read, u, u_sql
@@ -26,8 +25,8 @@ def _knn(spark, d):
     return R.knn(vectors.filter("vec_id % 10 = 0"), vectors, _TOP)
 
 
-def _items(spark, d):
-    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(T.words("text")).alias("items"))
+def _texts(spark, d):
+    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
 def _labels(spark, d):
@@ -35,7 +34,7 @@ def _labels(spark, d):
 
 
 def _ranked(spark, d):
-    return R.hybrid(_knn(spark, d), _items(spark, d))
+    return R.hybrid(_knn(spark, d), _texts(spark, d))
 
 
 @query("vector_knn", f"WITH {_KNN} SELECT query_id, vec_id, l2_rank, round(distance, 5) AS distance FROM knn")
@@ -59,6 +58,15 @@ def knn_jaccard_rerank(spark, d):
     return _ranked(spark, d).filter("rank <= 5").select("query_id", "vec_id", "l2_rank", "score", "rank")
 
 
+@query("hybrid_graph_rerank")
+def hybrid_graph_rerank(spark, d):
+    """0.7 Jaccard of words + 0.3 similarity of the graphs' outlines; the order of the same number is a vector's graph."""
+    from .tables import graph_outlines
+
+    rows = R.hybrid(_knn(spark, d), _texts(spark, d), graph_outlines(spark, d))
+    return rows.filter("rank <= 5").select("query_id", "vec_id", "l2_rank", F.round("graph", 6).alias("graph"), "score", "rank")
+
+
 _SEC = f"round(0.3::DOUBLE * score + 0.7::DOUBLE * {u_sql('vec_id', 'sec')}, 4)"
 
 
@@ -102,27 +110,31 @@ def demo_reuse(spark, d):
     return counts.agg(F.count("*").alias("unique_demos")).crossJoin(out).select("unique_demos", "top1", (-F.aggregate(F.slice("t", 1, 3), F.lit(0).cast("long"), lambda a, x: a + x["m"])).alias("top3"), F.array_join(F.transform("t", lambda x: x["demo"].cast("string")), ",").alias("top5"))
 
 
-_PAIRS = f"""lr AS (SELECT r.*, c.label, row_number() OVER (PARTITION BY query_id, label ORDER BY rank) AS r FROM ranked r JOIN lab c ON c.id = r.vec_id),
-pr AS (SELECT v.query_id, v.vec_id AS v, s.vec_id AS s, v.r AS vr, s.r AS sr, v.score AS vs, s.score AS ss, len(list_intersect(vi.items, si.items))::DOUBLE / (len(vi.items) + len(si.items) - len(list_intersect(vi.items, si.items))) AS j
+_PAIRS = f"""fb AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY id) AS rank FROM lab QUALIFY row_number() OVER (PARTITION BY label ORDER BY id) <= 5),
+rl AS (SELECT r.query_id, r.vec_id, c.label, r.rank, r.score, false AS fallback FROM ranked r JOIN lab c ON c.id = r.vec_id UNION ALL SELECT q.query_id, fb.id, fb.label, fb.rank, 0.5, true FROM (SELECT DISTINCT query_id FROM ranked) q, fb
+  WHERE fb.id <> q.query_id AND NOT EXISTS (SELECT 1 FROM ranked r JOIN lab c ON c.id = r.vec_id WHERE r.query_id = q.query_id AND c.label = fb.label)),
+lr AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY rank) AS r FROM rl),
+pr AS (SELECT v.query_id, v.vec_id AS v, s.vec_id AS s, v.r AS vr, s.r AS sr, v.score AS vs, s.score AS ss, v.fallback AS v_fallback, s.fallback AS s_fallback, CASE WHEN len(vi.items) = 0 OR len(si.items) = 0 THEN 0 ELSE len(list_intersect(vi.items, si.items))::DOUBLE / (len(vi.items) + len(si.items) - len(list_intersect(vi.items, si.items))) END AS j
 FROM lr v JOIN lr s ON v.query_id = s.query_id AND v.label = 1 AND s.label = 0 AND v.r <= 10 AND s.r <= 10 JOIN items vi ON vi.id = v.vec_id JOIN items si ON si.id = s.vec_id)"""
 
 
 def _pairs(spark, d, strategy):
-    ranked = _ranked(spark, d).join(_labels(spark, d).select(F.col("id").alias("vec_id"), "label"), "vec_id")
-    return R.contrastive_pairs(ranked, _items(spark, d), strategy)
+    lab = _labels(spark, d).select("id", "label")
+    ranked = _ranked(spark, d).join(lab.select(F.col("id").alias("vec_id"), "label"), "vec_id")
+    return R.contrastive_pairs(ranked, _texts(spark, d), strategy, base=lab)
 
 
-@query("contrastive_counterexamples", f"{_ALL}, {_PAIRS}, b AS (SELECT *, round(vs + ss + 0.5::DOUBLE * j, 6) AS pair_score FROM pr) SELECT query_id, v, s, pair_score FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pair_score DESC, vr, sr) = 1")
+@query("contrastive_counterexamples", f"{_ALL}, {_PAIRS}, b AS (SELECT *, round(vs + ss + 0.5::DOUBLE * j, 6) AS pair_score FROM pr) SELECT query_id, v, s, pair_score, v_fallback, s_fallback FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pair_score DESC, vr, sr) = 1")
 def contrastive_counterexamples(spark, d):
     return _pairs(spark, d, "counterexample_pair")
 
 
-@query("contrastive_minimal_difference", f"{_ALL}, {_PAIRS}, b AS (SELECT *, round(j, 6) AS pair_score FROM pr) SELECT query_id, v, s, pair_score FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pair_score DESC, vr, sr) = 1")
+@query("contrastive_minimal_difference", f"{_ALL}, {_PAIRS}, b AS (SELECT *, round(j, 6) AS pair_score FROM pr) SELECT query_id, v, s, pair_score, v_fallback, s_fallback FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pair_score DESC, vr, sr) = 1")
 def contrastive_minimal_difference(spark, d):
     return _pairs(spark, d, "minimal_security_diff")
 
 
-@query("contrastive_label_contrast", f"{_ALL}, {_PAIRS} SELECT query_id, v, s, 0.0::DOUBLE AS pair_score FROM pr WHERE vr = 1 AND sr = 1")
+@query("contrastive_label_contrast", f"{_ALL}, {_PAIRS} SELECT query_id, v, s, 0.0::DOUBLE AS pair_score, v_fallback, s_fallback FROM pr WHERE vr = 1 AND sr = 1")
 def contrastive_label_contrast(spark, d):
     return _pairs(spark, d, "label_contrast")
 

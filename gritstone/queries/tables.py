@@ -148,17 +148,17 @@ def value_reconciliation(spark, d):
     return m.join(stored, "metric", "full_outer").select("metric", status.alias("status"))
 
 
-@query("graph_band_join", "WITH q AS (SELECT doc_id, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+')) AS n FROM documents WHERE doc_id % 10 = 0), dn AS (SELECT len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+')) AS m FROM documents WHERE doc_id % 10 = 1), w AS (SELECT unnest([0.1::DOUBLE, 0.2::DOUBLE, 0.4::DOUBLE, 0.8::DOUBLE, 1.6::DOUBLE]) AS w), h AS (SELECT doc_id, w, count(*) AS n_donors, min(m) AS least, max(m) AS most FROM q, w, dn WHERE m >= floor(n * (1 - w)) AND m <= ceil(n * (1 + w)) GROUP BY doc_id, w) SELECT q.doc_id, h.w, n_donors, least, most FROM q LEFT JOIN (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w) = 1) h USING (doc_id)")
+@query("graph_band_join", "WITH q AS (SELECT doc_id, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+')) AS n FROM documents WHERE doc_id % 100 = 0), dn AS (SELECT len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+')) AS m FROM documents), w AS (SELECT unnest([0.1::DOUBLE, 0.2::DOUBLE, 0.4::DOUBLE, 0.8::DOUBLE, 1.6::DOUBLE]) AS w), h AS (SELECT doc_id, w, count(*) AS n_donors, min(m) AS least, max(m) AS most FROM q, w, dn WHERE m >= floor(n * (1 - w)) AND m <= ceil(n * (1 + w)) GROUP BY doc_id, w) SELECT q.doc_id, h.w, n_donors, least, most FROM q LEFT JOIN (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w) = 1) h USING (doc_id)")
 def graph_band_join(spark, d):
     rows = read(spark, d, "documents").select("doc_id", F.size(T.words("text")).cast("long").alias("n"))
-    return B.band_join(rows.filter("doc_id % 10 = 0"), rows.filter("doc_id % 10 = 1")).select("doc_id", "w", "n_donors", "least", "most")
+    return B.band_join(rows.filter("doc_id % 100 = 0"), rows).select("doc_id", "w", "n_donors", "least", "most")
 
 
-@query("interval_containment", "SELECT l_orderkey, l_linenumber, o_orderkey IS NOT NULL AS inside FROM (SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem WHERE l_orderkey % 10 = 0) l JOIN orders o ON o.o_orderkey = l.l_orderkey AND l_shipdate >= o_orderdate AND l_shipdate < o_orderdate + INTERVAL 90 DAY")
+@query("interval_containment", "SELECT l_orderkey, l_linenumber, o_orderkey IS NOT NULL AS inside FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey AND l_shipdate >= o_orderdate AND l_shipdate < o_orderdate + INTERVAL 90 DAY")
 def interval_containment(spark, d):
     """Points in their key's intervals through day cells of 30: an equi-join, not a range scan."""
     day = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    points = read(spark, d, "lineitem").filter("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("key"), "l_linenumber", day("l_shipdate").alias("at"))
+    points = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), "l_linenumber", day("l_shipdate").alias("at"))
     spans = read(spark, d, "orders").select(F.col("o_orderkey").alias("key"), day("o_orderdate").alias("lo"), (day("o_orderdate") + 90 * 86400 * 1000000).alias("hi"))
     return B.interval_join(points, spans, 30 * 86400 * 1000000).select(F.col("key").alias("l_orderkey"), "l_linenumber", F.lit(True).alias("inside"))
 
@@ -282,26 +282,39 @@ def row_cap(spark, d):
     return read(spark, d, "documents").select("doc_id").orderBy("doc_id").limit(100)
 
 
-_GRAPH = "g AS (SELECT o_orderkey AS id, list({'id': l_linenumber::VARCHAR, 'type': l_returnflag, 'code': 'part ' || l_partkey} ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS nodes FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 50 = 0 GROUP BY o_orderkey)"
+_GRAPH = "g AS (SELECT o_orderkey AS id, list({'id': l_linenumber::VARCHAR, 'type': l_returnflag, 'code': 'part ' || l_partkey} ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS nodes FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)"
 
 
 def _graphs(spark, d):
-    rows = read(spark, d, "orders").filter("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("id")).join(read(spark, d, "lineitem"), F.col("l_orderkey") == F.col("id"))
+    rows = read(spark, d, "orders").select(F.col("o_orderkey").alias("id")).join(read(spark, d, "lineitem"), F.col("l_orderkey") == F.col("id"))
     order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.struct(F.col("l_linenumber").cast("string").alias("id"), F.col("l_returnflag").alias("type"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("code")).alias("node"))
     rows = rows.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["node"]).alias("nodes"))
     pairs = F.transform(F.sequence(F.lit(1), F.size("nodes")), lambda i: F.struct(F.element_at("nodes", i)["id"].alias("start"), F.element_at("nodes", F.pmod(i, F.size("nodes")) + 1)["id"].alias("end"), F.lit("REACHES").alias("type")))
     return rows.withColumn("edges", pairs)
 
 
-@query("compact_graph_bank", f"WITH {_GRAPH} SELECT id, len(nodes) AS num_nodes, least(len(nodes), 3) AS kept_nodes, list_aggregate(list_transform(nodes[1:3], lambda n: length(n.code[1:6])), 'sum')::BIGINT AS code_chars FROM g")
+def graph_outlines(spark, d):
+    """id, outline of every graph: sizes and the types of its first 30 nodes; empty without nodes."""
+    outline = F.when(F.size("nodes") == 0, "").otherwise(F.concat(F.lit("N:"), F.size("nodes").cast("string"), F.lit("_"), F.array_join(F.transform(F.slice("nodes", 1, 30), lambda n: n["type"]), "_"), F.lit("|E:"), F.size("edges").cast("string"), F.lit("|")))
+    return _graphs(spark, d).select("id", outline.alias("outline"))
+
+
+@query("compact_graph_bank", f"WITH {_GRAPH} SELECT id, len(nodes) AS num_nodes, least(len(nodes), 25) AS kept_nodes, least(len(nodes), 25) AS kept_edges, list_aggregate(list_transform(nodes[1:25], lambda n: length(n.code[1:40])), 'sum')::BIGINT AS code_chars FROM g")
 def compact_graph_bank(spark, d):
-    nodes, _ = B.graph_prefix(F.col("nodes"), F.col("edges"), 3, 3)
-    return _graphs(spark, d).select("id", F.size("nodes").cast("long").alias("num_nodes"), F.size(nodes).cast("long").alias("kept_nodes"), F.aggregate(F.transform(nodes, lambda n: F.char_length(F.substring(n["code"], 1, 6))), F.lit(0).cast("long"), lambda a, x: a + x).alias("code_chars"))
+    """25 nodes of 40 characters and the first 25 edges among them; the sizes before are kept."""
+    nodes, edges = B.graph_prefix(F.col("nodes"), F.col("edges"), 25, 25)
+    chars = F.aggregate(F.transform(nodes, lambda n: F.char_length(F.substring(n["code"], 1, 40))), F.lit(0).cast("long"), lambda a, x: a + x)
+    return _graphs(spark, d).select("id", F.size("nodes").cast("long").alias("num_nodes"), F.size(nodes).cast("long").alias("kept_nodes"), F.size(edges).cast("long").alias("kept_edges"), chars.alias("code_chars"))
+
+
+_NODE_LINE = "'Node ' || n.id || ': (' || n.type || ') ' || chr(39) || trim(n.code)[1:40] || CASE WHEN length(trim(n.code)) > 40 THEN '...' ELSE '' END || chr(39)"
+_EDGE_LINES = "list_transform(range(1, len(nodes) + 1), lambda i: 'Edge: Node ' || nodes[i].id || ' -> REACHES -> Node ' || nodes[i % len(nodes) + 1].id)"
 
 
-@query("graph_text")
+@query("graph_text", f"WITH {_GRAPH} SELECT id, 'The node information of the code snippet is as follows:' || chr(10) || array_to_string(list_transform(nodes, lambda n: {_NODE_LINE}), chr(10)) || chr(10) || 'The edge information of the code snippet is as follows:' || chr(10) || array_to_string({_EDGE_LINES}, chr(10)) AS text FROM g")
 def graph_text(spark, d):
-    nodes, edges = B.graph_prefix(F.col("nodes"), F.col("edges"), 4, 4)
+    """No graph of the tables has more than 25 nodes, so all of each is shown."""
+    nodes, edges = B.graph_prefix(F.col("nodes"), F.col("edges"), 25, 25)
     return _graphs(spark, d).select("id", B.graph_text(nodes, edges).alias("text"))
 
 
@@ -311,9 +324,9 @@ def graph_cleanup(spark, d):
     return _graphs(spark, d).select("id", F.array_join(clean, ",").alias("cleaned"))
 
 
-@query("graph_tsv_scan", "SELECT l_orderkey AS id, count(*) AS nodes, count(*) FILTER (l_returnflag <> 'N') AS kept, string_agg(l_returnflag, '' ORDER BY l_returnflag) AS types FROM lineitem WHERE l_orderkey % 100 = 0 GROUP BY l_orderkey")
+@query("graph_tsv_scan", "SELECT l_orderkey AS id, count(*) AS nodes, count(*) FILTER (l_returnflag <> 'N') AS kept, string_agg(l_returnflag, '' ORDER BY l_returnflag) AS types FROM lineitem GROUP BY l_orderkey")
 def graph_tsv_scan(spark, d):
-    rows = read(spark, d, "lineitem").filter("l_orderkey % 100 = 0")
+    rows = read(spark, d, "lineitem")
     return rows.groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("nodes"), F.count_if(F.col("l_returnflag") != "N").alias("kept"), F.array_join(F.array_sort(F.collect_list("l_returnflag")), "").alias("types"))
 
 

@@ -14,29 +14,35 @@ _LIT = r"""("(?:\\[\s\S]|[^"\\])*"|''(?:\\[\s\S]|[^''\\])*'')|//[^\r\n]*|/\*[\s\
 
 
 def _strip(x: str) -> str:
-    return f"regexp_replace({x}, '{_LIT}', '\\1 ', 'g')"
+    return f"replace(regexp_replace(regexp_replace({x}, '{_LIT}', '\\1' || chr(2), 'g'), '([\"''])\\x02', '\\1', 'g'), chr(2), ' ')"
 
 
 def _tokstream(x: str) -> str:
     return f"regexp_replace({_strip(x)}, '\\s+', '', 'g')"
 
 
-def _norm(x: str) -> str:
-    return f"trim(regexp_replace({_strip(x)}, '\\s+', ' ', 'g'))"
+def _spaced(x: str, rules: int = len(T.SPACING)) -> str:
+    plain = f"replace({_strip(x)}, chr(1), ' ')"
+    literal = _LIT[1 : _LIT.index(")|//")]
+    masked = f"trim(regexp_replace(regexp_replace({plain}, '{literal}', chr(1), 'g'), '\\s+', ' ', 'g'))"
+    for pattern, to in T.SPACING[:rules]:
+        masked = f"regexp_replace({masked}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
+    masked = f"trim(regexp_replace({masked}, '\\s+', ' ', 'g'))"
+    return f"array_to_string(list_transform(list_zip(str_split({masked}, chr(1)), regexp_extract_all({plain}, '{literal}')), lambda p: p[1] || COALESCE(p[2], '')), '')"
 
 
 def _plain(x: str) -> str:
     return f"regexp_replace(regexp_replace({x}, '//[^\\n]*|/\\*[\\s\\S]*?\\*/', '', 'g'), '\\s+', '', 'g')"
 
 
-@query("code_normalizers", f"SELECT page_id, sha256({_strip('html')}) AS stripped, sha256({_tokstream('html')}) AS token_stream, sha256({_plain('html')}) AS plain, sha256({_norm('html')}) AS collapsed FROM pages")
+@query("code_normalizers", f"SELECT page_id, sha256({_strip('html')}) AS stripped, sha256({_tokstream('html')}) AS token_stream, sha256({_plain('html')}) AS plain, sha256(trim(regexp_replace({_strip('html')}, '\\s+', ' ', 'g'))) AS collapsed FROM pages")
 def code_normalizers(spark, d):
     return read(spark, d, "pages").select("page_id", T.sha(T.strip_comments("html")).alias("stripped"), T.sha(T.token_stream("html")).alias("token_stream"), T.sha(T.plain_normalized("html")).alias("plain"), T.sha(T.collapse(T.strip_comments("html"))).alias("collapsed"))
 
 
-@query("literal_masking_normalizers")
+@query("literal_masking_normalizers", f"SELECT page_id, substr(sha256({_spaced('html')}), 1, 32) AS wide, substr(sha256({_spaced('html', T.SHORT_RULES)}), 1, 32) AS short FROM pages")
 def literal_masking_normalizers(spark, d):
-    """The two literal-masking normalisers give different hashes; both are Arrow UDFs."""
+    """The two literal-masking normalisers give different hashes."""
     return read(spark, d, "pages").select("page_id", T.sha(T.normalize_wide("html"), 32).alias("wide"), T.sha(T.normalize_short("html"), 32).alias("short"))
 
 
@@ -220,11 +226,11 @@ def reviewer_choice(spark, d):
     return records(spark, d).select("id", T.reviewer_choice(said, a, b).alias("choice"))
 
 
-_HASHES = f"sha256(text) AS h_exact, sha256({_norm('text')}) AS h_normalized, sha256({_tokstream('text')}) AS h_token"
+_HASHES = f"sha256(text) AS h_exact, sha256({_spaced('text')}) AS h_normalized, sha256({_tokstream('text')}) AS h_token"
 _MATCH = f"""s AS (SELECT id, label, project, split, {_HASHES} FROM samples),
 long AS (SELECT id, label, project, split, level, h FROM (SELECT id, label, project, split, h_exact AS "exact", h_normalized AS normalized, h_token AS token FROM s) UNPIVOT (h FOR level IN ("exact", normalized, token))),
-tr AS (SELECT level, h, list_sort(list(id)) AS matched_ids, list_sort(list(DISTINCT label)) AS matched_labels FROM long WHERE split = 'train' GROUP BY level, h),
-m AS (SELECT l.level, l.id, l.label, l.project, matched_ids, matched_labels FROM long l JOIN tr ON l.level = tr.level AND l.h = tr.h WHERE l.split = 'test')"""
+tr AS (SELECT level, h, count(*) AS n_matched, min(id) AS first_match, list_sort(list(DISTINCT label)) AS matched_labels FROM long WHERE split = 'train' GROUP BY level, h),
+m AS (SELECT l.level, l.h, l.id, l.label, l.project, n_matched, first_match, matched_labels FROM long l JOIN tr ON l.level = tr.level AND l.h = tr.h WHERE l.split = 'test')"""
 
 
 def _matches(spark, d):
@@ -232,9 +238,15 @@ def _matches(spark, d):
     return O.hash_matches(rows.filter("split = 'test'"), rows.filter("split = 'train'"))
 
 
-@query("content_hash_join", f"WITH {SAMPLES}, {_MATCH} SELECT level, id, label, array_to_string(matched_ids, ',') AS matched_ids, array_to_string(matched_labels, ',') AS matched_labels FROM m")
+@query("content_hash_join", f"WITH {SAMPLES}, {_MATCH} SELECT level, id, label, substr(h, 1, 12) AS class, n_matched, first_match, array_to_string(matched_labels, ',') AS matched_labels FROM m")
 def content_hash_join(spark, d):
-    return _matches(spark, d).select("level", "id", "label", F.array_join(F.col("matched_ids").cast("array<string>"), ",").alias("matched_ids"), F.array_join(F.col("matched_labels").cast("array<string>"), ",").alias("matched_labels"))
+    return _matches(spark, d).select("level", "id", "label", F.substring("h", 1, 12).alias("class"), "n_matched", "first_match", F.array_join(F.col("matched_labels").cast("array<string>"), ",").alias("matched_labels"))
+
+
+@query("content_hash_members", f"WITH {SAMPLES}, {_MATCH} SELECT level, substr(h, 1, 12) AS class, id FROM long WHERE split = 'train' AND (level, h) IN (SELECT (level, h) FROM long WHERE split = 'test')")
+def content_hash_members(spark, d):
+    rows = samples(spark, d)
+    return O.hash_members(rows.filter("split = 'test'"), rows.filter("split = 'train'")).select("level", F.substring("h", 1, 12).alias("class"), "id")
 
 
 _LEAKREP = "count(*) AS duplicates, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM samples WHERE split = 'test'), 4) AS rate_percent, count(*) FILTER (list_contains(matched_labels, label)) AS consistent, count(*) FILTER (NOT list_contains(matched_labels, label)) AS contradictory, count(*) FILTER (len(matched_labels) > 1) AS ambiguous, count(*) FILTER (label = 1 AND NOT list_contains(matched_labels, label)) AS test1_train0, count(*) FILTER (label = 0 AND NOT list_contains(matched_labels, label)) AS test0_train1"
@@ -259,10 +271,10 @@ def audit_blacklist(spark, d):
 
 @query(
     "clean_dev_cascade",
-    f"""WITH {SAMPLES}, tr AS (SELECT sha256({_norm('text')}) AS n, list(DISTINCT label) AS ls FROM samples WHERE split = 'train' GROUP BY 1),
+    f"""WITH {SAMPLES}, tr AS (SELECT sha256({_spaced('text', T.SHORT_RULES)}) AS n, list(DISTINCT label) AS ls FROM samples WHERE split = 'train' GROUP BY 1),
 ex AS (SELECT DISTINCT sha256(text) AS e FROM samples WHERE split = 'train')
 SELECT CASE WHEN length(COALESCE(trim(text), '')) < 15 THEN 'short' WHEN id % 50 = 3 THEN 'blacklist' WHEN ex.e IS NOT NULL THEN 'exact_in_train' WHEN tr.ls IS NOT NULL AND NOT list_contains(tr.ls, label) THEN 'conflict_in_train' ELSE 'retained' END AS reason, count(*) AS n
-FROM samples LEFT JOIN ex ON ex.e = sha256(text) LEFT JOIN tr ON tr.n = sha256({_norm('text')}) WHERE split = 'test' GROUP BY 1""",
+FROM samples LEFT JOIN ex ON ex.e = sha256(text) LEFT JOIN tr ON tr.n = sha256({_spaced('text', T.SHORT_RULES)}) WHERE split = 'test' GROUP BY 1""",
 )
 def clean_dev_cascade(spark, d):
     rows = samples(spark, d)
@@ -293,10 +305,23 @@ def first_occurrence_dedupe(spark, d):
     return O.first_of_each(rows, "h", "id").select("id")
 
 
-@query("set_similarity_join", f"WITH {_GRAMS.format(least=20)}, x AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM grams), c AS (SELECT a.id AS id_a, b.id AS id_b, a.n AS na, b.n AS nb, count(*) AS k FROM x a JOIN x b ON a.item = b.item AND a.id < b.id GROUP BY ALL) SELECT id_a, id_b, round(k::DOUBLE / (na + nb - k), 6) AS jaccard FROM c WHERE k::DOUBLE / (na + nb - k) >= 0.8 - 1e-12")
+_HEADS = "sets AS (SELECT id, list_sort(list(item)) AS items FROM grams GROUP BY id), cl AS (SELECT id, min(id) OVER (PARTITION BY items) AS head FROM sets)"
+
+
+def _shingled(spark, d, k, least):
+    rows = read(spark, d, "documents").select(F.col("doc_id").alias("id"), T.words("text").alias("ws")).filter(F.size("ws") >= least)
+    return rows.select("id", T.shingle_hashes("ws", k).alias("items"))
+
+
+@query("set_similarity_join", f"WITH {_GRAMS.format(least=20)}, {_HEADS}, x AS (SELECT id, item, count(*) OVER (PARTITION BY id) AS n FROM grams JOIN cl USING (id) WHERE id = head), c AS (SELECT a.id AS id_a, b.id AS id_b, a.n AS na, b.n AS nb, count(*) AS k FROM x a JOIN x b ON a.item = b.item AND a.id < b.id GROUP BY ALL) SELECT id_a, id_b, round(k::DOUBLE / (na + nb - k), 6) AS jaccard FROM c WHERE k::DOUBLE / (na + nb - k) >= 0.8 - 1e-12")
 def set_similarity_join(spark, d):
-    rows = read(spark, d, "documents").select(F.col("doc_id").alias("id"), T.words("text").alias("ws")).filter(F.size("ws") >= 20).select("id", T.shingles("ws", 5).alias("items")).cache()
-    return O.set_similarity_join(rows, rows, 0.8).filter("id_a < id_b")
+    """Pairs between representatives; set_similarity_members has whom each represents."""
+    return O.set_similarity_join(O.heads_of(_shingled(spark, d, 5, 20)), threshold=0.8)
+
+
+@query("set_similarity_members", f"WITH {_GRAMS.format(least=20)}, {_HEADS} SELECT id, head FROM cl")
+def set_similarity_members(spark, d):
+    return O.representatives(_shingled(spark, d, 5, 20))
 
 
 @query("near_clone_out_of_scope", f"SELECT count(*) FILTER (len(ws) < 20) AS out_of_scope, count(*) FILTER (len(ws) >= 20) AS in_scope FROM (SELECT {WORDS} AS ws FROM documents)")
@@ -307,21 +332,20 @@ def near_clone_out_of_scope(spark, d):
 
 @query("minhash_lsh_join")
 def minhash_lsh_join(spark, d):
-    rows = read(spark, d, "documents").select(F.col("doc_id").alias("id"), T.shingles(T.words("text"), 3).alias("items")).cache()
-    return O.lsh_join(rows, rows).filter("id_a < id_b")
+    return O.lsh_join(O.heads_of(_shingled(spark, d, 3, 3)))
 
 
 @query(
     "best_donor_join",
-    f"""WITH w AS (SELECT doc_id AS id, list_distinct({WORDS}) AS items FROM documents), q AS (SELECT id, len(items) AS n, unnest(items) AS item FROM w WHERE id % 20 = 0), dn AS (SELECT id, len(items) AS n, unnest(items) AS item FROM w WHERE id % 20 = 1),
-c AS (SELECT q.id AS query_id, dn.id AS donor_id, q.n AS nq, dn.n AS nd, count(*) AS k FROM q JOIN dn USING (item) GROUP BY ALL), t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY k DESC, donor_id) <= 200),
+    f"""WITH w AS (SELECT doc_id AS id, list_distinct({WORDS}) AS items FROM documents), q AS (SELECT id, len(items) AS n, unnest(items) AS item FROM w WHERE id % 100 = 0), dn AS (SELECT id, len(items) AS n, unnest(items) AS item FROM w),
+c AS (SELECT q.id AS query_id, dn.id AS donor_id, q.n AS nq, dn.n AS nd, count(*) AS k FROM q JOIN dn ON q.item = dn.item AND q.id <> dn.id GROUP BY ALL), t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY k DESC, donor_id) <= 200),
 b AS (SELECT query_id, donor_id, k::DOUBLE / (nq + nd - k) AS j FROM t QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY k::DOUBLE / (nq + nd - k) DESC, k DESC, donor_id) = 1)
-SELECT w.id AS query_id, COALESCE(b.donor_id, (SELECT min(id) FROM w WHERE id % 20 = 1)) AS donor_id, round(COALESCE(j, 0), 6) AS jaccard FROM w LEFT JOIN b ON w.id = query_id WHERE w.id % 20 = 0""",
+SELECT w.id AS query_id, COALESCE(b.donor_id, (SELECT min(id) FROM w o WHERE o.id <> w.id)) AS donor_id, round(COALESCE(j, 0), 6) AS jaccard FROM w LEFT JOIN b ON w.id = query_id WHERE w.id % 100 = 0""",
 )
 def best_donor_join(spark, d):
-    """A stated query set (ids divisible by 20) against the donors (remainder 1)."""
-    rows = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(T.words("text")).alias("items"))
-    return O.best_donor(rows.filter("id % 20 = 0"), rows.filter("id % 20 = 1"))
+    """The stated query set (ids divisible by 100) against all documents."""
+    rows = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(F.transform(T.words("text"), lambda w: F.xxhash64(w))).alias("items"))
+    return O.best_donor(rows.filter("id % 100 = 0"), rows)
 
 
 _WA = "list_distinct(regexp_extract_all(a.text, '[^ \\t\\n\\r\\f\\x0B]+'))"

@@ -54,10 +54,63 @@ def test_samplers_are_stable_and_sized(spark):
 
 
 def test_graph_prefix_is_closed(spark):
-    df = spark.createDataFrame([([("1", "A", "a"), ("2", "B", "b"), ("3", "C", "c")], [("1", "2", "E"), ("2", "3", "E")])], "nodes array<struct<id:string,type:string,code:string>>, edges array<struct<start:string,end:string,type:string>>")
+    df = spark.createDataFrame([([("1", "A", "a"), ("2", "B", "b\n" + "x" * 50), ("3", "C", "")], [("1", "2", "E"), ("2", "3", "E")])], "nodes array<struct<id:string,type:string,code:string>>, edges array<struct<start:string,end:string,type:string>>")
     nodes, edges = B.graph_prefix(F.col("nodes"), F.col("edges"), 2, 5)
-    row = df.select(nodes.alias("n"), edges.alias("e"), B.graph_text(nodes, edges).alias("t")).first()
-    assert len(row.n) == 2 and [(e.start, e.end) for e in row.e] == [("1", "2")] and row.t.count("\n") == 2
+    row = df.select(nodes.alias("n"), edges.alias("e"), B.graph_text(nodes, edges).alias("t"), B.graph_text(F.col("nodes"), F.slice("edges", 1, 0)).alias("u")).first()
+    assert len(row.n) == 2 and [(e.start, e.end) for e in row.e] == [("1", "2")]
+    assert row.t.split("\n") == [B.NODE_HEAD, "Node 1: (A) 'a'", "Node 2: (B) 'b " + "x" * 38 + "...'", B.EDGE_HEAD, "Edge: Node 1 -> E -> Node 2"]
+    assert row.u.split("\n")[3:] == ["Node 3: (C)", B.EDGE_HEAD, B.NO_EDGES]
+
+
+def test_fitting_nodes_is_the_largest_prefix(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = []
+    for g in range(12):
+        nodes = [(str(i), "T" * rng.randint(1, 9), "c" * rng.randint(0, 60)) for i in range(rng.randint(1, 14))]
+        edges = [(str(rng.randrange(16)), str(rng.randrange(16)), "E") for _ in range(rng.randint(0, 20))]
+        rows.append((g, nodes, edges))
+    df = spark.createDataFrame(rows, "g int, nodes array<struct<id:string,type:string,code:string>>, edges array<struct<start:string,end:string,type:string>>")
+    for budget in (150, 400, 900):
+        got = {r.g: r.k for r in df.select("g", B.fitting_nodes(F.col("nodes"), F.col("edges"), budget).alias("k")).collect()}
+        for g, nodes, edges in rows:
+            fits = [k for k in range(1, len(nodes) + 1) if spark_text_length(nodes[:k], edges) <= budget]
+            assert got[g] == max(fits, default=1)
+
+
+def spark_text_length(nodes, edges):
+    ids = {n[0] for n in nodes}
+    lines = [f"Node {i}: ({t})" + (f" '{c[:40]}{'...' * (len(c) > 40)}'" if c else "") for i, t, c in nodes]
+    inside = [f"Edge: Node {a} -> {t} -> Node {b}" for a, b, t in edges if a in ids and b in ids]
+    return len("\n".join([B.NODE_HEAD, *lines, B.EDGE_HEAD, *(inside or [B.NO_EDGES])]))
+
+
+def test_knn_distance_is_the_same_for_any_batch(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 8)).astype(np.float32) * 100
+    x[50] = x[51] = x[7]
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    q = base.filter("vec_id % 25 = 0")
+    want = {i: sorted((float(np.sqrt(((x[i].astype(float) - x[j]) ** 2).sum())), j) for j in range(300) if j != i)[:9] for i in range(0, 300, 25)}
+    for parts in (1, 7):
+        got = {}
+        for r in retrieval.knn(q, base.repartition(parts), 9).collect():
+            got.setdefault(r.query_id, []).append((r.distance, r.vec_id))
+        assert {i: sorted(v) for i, v in got.items()} == want
+    longer = spark.createDataFrame([(1, [3.0, 4.0, 12.0])], "vec_id long, embedding array<float>")
+    assert retrieval.knn(spark.createDataFrame([(0, [3.0])], "vec_id long, embedding array<float>"), longer, 1).first().distance == pytest.approx(160**0.5)
+
+
+def test_pairs_fall_back_to_the_first_rows_of_a_missing_label(spark):
+    ranked = spark.createDataFrame([(1, 10, 1, 1, 0.9), (1, 11, 1, 2, 0.8), (2, 10, 1, 1, 0.9), (2, 12, 0, 2, 0.4)], "query_id long, vec_id long, label int, rank int, score double")
+    base = spark.createDataFrame([(k, k % 2) for k in range(20)], "id long, label int")
+    texts = spark.createDataFrame([(k, f"w{k} w{k + 1}") for k in range(20)], "id long, text string")
+    got = {r.query_id: r for r in retrieval.contrastive_pairs(ranked, texts, base=base).collect()}
+    assert got[1].s_fallback and not got[1].v_fallback and (got[1].v, got[1].s) in {(10, 0), (10, 2), (10, 4), (10, 6), (10, 8), (11, 0)} and not got[2].s_fallback and got[2].s == 12
+    assert [r.query_id for r in retrieval.contrastive_pairs(ranked, texts).collect()] == [2]
 
 
 def test_knn_ties_keep_id_order_and_short_vectors_are_padded(spark):

@@ -11,7 +11,16 @@ def test_comments_go_and_literals_stay(spark):
     code = 'a = "x // y"; // gone\n/* gone */ b = \'"\';'
     row = spark.createDataFrame([(code,)], "c string").select(T.strip_comments("c").alias("s"), T.token_stream("c").alias("t"), T.plain_normalized("c").alias("p")).first()
     assert "gone" not in row.s and '"x // y"' in row.s and row.t == 'a="x//y";b=\'"\';' and row.p.startswith('a="x')
-    assert T.normalize_full("f( a , b ) ;") == "f(a,b);" and T.normalize_full("f( a , b ) ;", wide=False) == "f(a , b);"
+
+
+def test_spacing_is_normalised_outside_literals(spark):
+    one = lambda code: tuple(spark.createDataFrame([(code,)], "c string").select(T.normalize_wide("c"), T.normalize_short("c")).first())
+    assert one("int   foo  (  int x  )  {\n\n\treturn x + 1;\n}")[0] == one("int foo(int x) { /* add */ return x + 1; // done \n}")[0] == "int foo(int x) { return x + 1; }"
+    assert one("void bar  (   )   {\n\n}")[0] == "void bar() {}"
+    assert one("f( a , b ) ;") == ("f(a, b);", "f(a , b) ;")
+    assert one("if (a) b;")[0] != one("if (a)b;")[0] and one("a; b")[0] != one("a;b")[0]
+    assert one('g("a  ,  b" ,\'{\' )')[0] == 'g("a  ,  b", \'{\')' and one('"a"+x')[0] != one('"a" +x')[0]
+    assert one("x [ 3 ]") == ("x[3]", "x[ 3 ]") and one("s = '" + "y" * 50_000 + "' ;")[0].endswith("y';")
 
 
 def test_first_token_scores(spark):
@@ -138,15 +147,37 @@ def test_set_similarity_join_equals_brute_force(spark):
     sets = {i: sorted(rng.sample([f"w{k}" for k in range(14)], rng.randint(1, 10))) for i in range(60)}
     df = spark.createDataFrame(list(sets.items()), "id int, items array<string>")
     for t in (0.5, 0.8):
-        got = {(r.id_a, r.id_b) for r in O.set_similarity_join(df, df, t).filter("id_a < id_b").collect()}
+        got = {(r.id_a, r.id_b) for r in O.set_similarity_join(df, threshold=t).collect()}
         exact = {(a, b) for a, b in itertools.combinations(sets, 2) if len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) >= t}
         assert got == exact
+        half = df.filter("id % 2 = 0")
+        assert {(r.id_a, r.id_b) for r in O.set_similarity_join(half, df, t).collect()} == {p for a, b in exact for p in ((a, b), (b, a)) if p[0] % 2 == 0} | {(i, i) for i in sets if i % 2 == 0}
+
+
+def test_best_donor_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    sets = {i: rng.sample(range(30), rng.randint(0, 9)) for i in range(80)} | {80: [99]}
+    df = spark.createDataFrame(list(sets.items()), "id long, items array<long>").repartition(5)
+    got = {r.query_id: (r.donor_id, r.jaccard) for r in O.best_donor(df.filter("id % 10 = 0"), df, keep=6).collect()}
+    for q in range(0, 81, 10):
+        shared = sorted(((-len({*sets[q]} & {*sets[d]}), d) for d in sets if d != q and {*sets[q]} & {*sets[d]}))[:6]
+        scored = sorted((c / (len(sets[q]) + len(sets[d]) + c), c, d) for c, d in shared)
+        want = (scored[0][2], round(-scored[0][0], 6)) if scored else (1 if q == 0 else 0, 0.0)
+        assert got[q] == want
+
+
+def test_copies_have_one_representative(spark):
+    df = spark.createDataFrame([(3, [1, 2]), (1, [2, 1]), (5, [1, 2, 3]), (7, [])], "id int, items array<long>")
+    assert {r.id: r.head for r in O.representatives(df).collect()} == {1: 1, 3: 1, 5: 5, 7: 7}
+    assert sorted(r.id for r in O.heads_of(df).collect()) == [1, 5, 7]
 
 
 def test_near_clone_by_comment_and_space(spark):
     code = "int f(int a) { int b = a + 1; int c = b * 2; return a + b + c; }"
     df = spark.createDataFrame([(1, code), (2, "/* c */ " + code.replace(" ", "  "))], "id int, c string").select("id", T.shingles(T.tokens(T.strip_comments("c")), 5).alias("items"))
-    assert [tuple(r) for r in O.set_similarity_join(df, df, 0.8).filter("id_a < id_b").collect()] == [(1, 2, 1.0)]
+    assert [tuple(r) for r in O.set_similarity_join(df).collect()] == [(1, 2, 1.0)] and O.set_similarity_join(O.heads_of(df)).count() == 0
 
 
 def test_minhash_of_an_empty_set_is_zero(spark):
