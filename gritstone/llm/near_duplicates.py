@@ -192,7 +192,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     docs = docs.select("doc_id", "text")
     signed = scratch.save(signatures(docs), "signatures")
     worded = signed.filter("n > 0")
-    copies = worded.groupBy("key_a", "key_b", "n").agg(F.min("v").alias("head"))
+    # Written, so that the join back has a shuffle on either side and a text that very many rows share is split.
+    copies = scratch.save(worded.groupBy("key_a", "key_b", "n").agg(F.min("v").alias("head")), "copies")
     heads = scratch.save(worded.select("v", "key_a", "key_b", "n").join(copies, ["key_a", "key_b", "n"]).select("v", "head"), "heads")
     own = scratch.save(signed.join(heads.filter("v = head").select("v").distinct(), "v", "left_semi").select("v", "bands", "sketch"), "own")
 

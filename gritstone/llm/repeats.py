@@ -1,7 +1,6 @@
 """Substring dedup: words covered by a window of 50 words that also starts in a document with a smaller doc_id.
 
-The suffix tree of all documents, cut at a depth of 50 words, is built sparsely and level by level, its nodes named by
-hashes of their path labels:
+No suffix tree is built; its deep nodes are found by hashes of their path labels, on sampled suffixes:
 
 1. Every 50-word window owns one anchor, the smallest of its 10-word grams. Anchors are the sampled suffixes; the anchor
    gram is the prefix they are partitioned by. A prefix seen in one document only is a leaf and goes no further.
@@ -10,9 +9,10 @@ hashes of their path labels:
 3. Only prefixes that branch into several contexts are expanded to single windows, and there only for the first
    document of each context: nodes at depth 50 with suffixes of several documents are the repeats' ends.
 
-So groups of suffixes are lengthened only where they branch, no group is gathered in one task (least ids are combined
-before shuffles, and joins back are equi-joins that adaptive execution splits), and texts are shuffled once, into a
-table bucketed by row that the later steps join without a shuffle.
+So groups of suffixes are lengthened only where they branch, and no group is gathered in one task: least ids are
+combined before shuffles and written as tables, so the joins back have a shuffle on either side and adaptive execution
+splits a prefix that very many documents share. Texts are shuffled once, into a table bucketed by row that the later
+steps join without a shuffle.
 
 Cases: null and wordless texts have no words; texts under 50 words lose none; windows within one document don't count;
 rows with a null doc_id are kept whole and cover nothing; rows that share a doc_id don't cover each other; an empty
@@ -115,17 +115,17 @@ def covered(scratch: Scratch, texts: DataFrame) -> DataFrame:
     kind = dict(texts.dtypes)["doc_id"]
     present = texts.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", "rid")
     anchors = scratch.save(present.mapInArrow(_anchors, f"gram long, context long, doc_id {kind}, rid long, lo int, hi int"), "anchors")
-    shared = anchors.groupBy("gram").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("gram")
-    shared = scratch.save(anchors.join(shared, "gram"), "shared")
+    grams = anchors.groupBy("gram").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("gram")
+    shared = scratch.save(anchors.join(scratch.save(grams, "grams"), "gram"), "shared")
     contexts = scratch.save(shared.groupBy("gram", "context").agg(F.min("doc_id").alias("least")), "contexts")
     branches = contexts.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram", F.lit(True).alias("branches"))
-    contexts = contexts.join(branches, "gram", "left")
+    contexts = scratch.save(contexts.join(branches, "gram", "left"), "nodes")
     judged = scratch.save(shared.join(contexts, ["gram", "context"]).select("rid", "lo", "hi", (F.col("least") < F.col("doc_id")).alias("whole"), "branches").filter("whole or branches"), "judged")
     inside = judged.filter("whole").select("rid", "lo", (F.col("hi") + WINDOW).alias("hi"))
     ends = judged.filter("not whole").groupBy("rid").agg(F.collect_list(F.struct("lo", (F.col("hi") + 1).alias("hi"))).alias("spans"))
     windows = texts.join(ends.hint("shuffle_hash"), "rid").select("doc_id", "text", "rid", "spans")
     windows = scratch.save(windows.mapInArrow(_windows, f"w long, doc_id {kind}, rid long, lo int"), "windows")
-    seen = windows.groupBy("w").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("w", "least")
+    seen = scratch.save(windows.groupBy("w").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("w", "least"), "seen")
     outside = windows.join(seen, "w").filter("least < doc_id").select("rid", "lo", (F.col("lo") + WINDOW).alias("hi"))
     return inside.union(outside).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 

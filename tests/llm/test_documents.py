@@ -242,6 +242,88 @@ def test_quality(spark, hard, empty):
     assert quality.score(hard, quality.fit(empty, labels)).count() == hard.count()
 
 
+def test_quality_equals_a_plain_loop(spark):
+    """FTRL and scoring against dictionaries and loops over words."""
+    texts = ["a calm line about weather", "BUY BUY now 99 $$$", "It ends. It ends here.", "x1 y2 z3 %% BUY now", "the river and the house"]
+    labels = [1, 0, 1, 0, 1]
+    weights, intercept = quality.fit(spark.createDataFrame([(i * 3 + 1, t) for i, t in enumerate(texts)], "doc_id long, text string"), spark.createDataFrame([(i * 3 + 1, y) for i, y in enumerate(labels)], "doc_id long, quality int"))
+    learned = [(t, y) for i, (t, y) in enumerate(zip(texts, labels)) if zlib.crc32(str(i * 3 + 1).encode()) % 4 != 2]
+
+    def plain_features(text):
+        import pyarrow as pa
+
+        (_, _, w), out = next(iter(quality._chunks(pa.array([text]))), (0, 0, None)), collections.Counter()
+        shape = quality.shapes(w).tolist()
+        hashes = w.hashes.tolist()
+        for salt, (base, n) in enumerate(((hashes, 1), (hashes, 2), (shape, 1), (shape, 2), (shape, 3)), start=1):
+            for i in range(len(base) - n + 1):
+                gram = int(quality.W.grams(np.array(base[i : i + n], np.uint64), n)[0])
+                key = int(quality.W.mix(np.array([(gram + salt * quality.W._STEP) % 2**64], np.uint64))[0])
+                out[key % quality.BUCKETS] += 1
+        return {k: np.float32(c * quality.SCALE / len(hashes)) for k, c in out.items()}
+
+    rows = sorted(((y, plain_features(t)) for t, y in learned), key=lambda r: (r[0], np.array(sorted(r[1]), "<i4").tobytes(), np.array([r[1][k] for k in sorted(r[1])], "<f4").tobytes()))
+    z, n, w = collections.defaultdict(float), collections.defaultdict(float), collections.defaultdict(float)
+    order = np.random.default_rng(7)
+    for _ in range(quality.PASSES):
+        for i in order.permutation(len(rows)):
+            y, x = rows[i][0], {**rows[i][1], "bias": 1.0}
+            p = 1 / (1 + np.exp(-sum(w[k] * v for k, v in x.items())))
+            for k, v in x.items():
+                g = (p - y) * v
+                sigma = (np.sqrt(n[k] + g * g) - np.sqrt(n[k])) / quality.ALPHA
+                z[k] += g - sigma * w[k]
+                n[k] += g * g
+            for k in x:
+                l1 = 0.0 if k == "bias" else quality.L1
+                w[k] = 0.0 if abs(z[k]) <= l1 else -(z[k] - np.sign(z[k]) * l1) / ((quality.BETA + np.sqrt(n[k])) / quality.ALPHA + quality.L2)
+    assert intercept == pytest.approx(w["bias"], abs=1e-5)
+    import pyarrow as pa
+
+    got = quality.score_texts(pa.array([*texts, "", None]), weights, intercept)
+    want = [1 / (1 + np.exp(-(w["bias"] + sum(w[k] * v for k, v in plain_features(t).items())))) for t in texts]
+    assert got[:5] == pytest.approx(want, abs=1e-5) and got[5] == got[6] == 0
+
+
+def test_quality_with_one_label_or_none(spark, docs):
+    one = docs.select("doc_id", F.lit(1).alias("quality"))
+    for labels in (one, one.limit(0), one.withColumn("quality", F.lit(7))):
+        out = quality.score(docs, quality.fit(docs, labels))
+        assert out.count() == docs.count() and out.filter("score is null or score < 0 or score > 1").count() == 0
+
+
+def test_language_id_equals_a_plain_naive_bayes(spark):
+    rng = np.random.default_rng(2)
+    alphabets = {"aa": "abcdefg ", "bb": "defghij ", "cc": "éüabxyz "}
+    rows = [(k, "".join(rng.choice(list(alphabets[lang]), int(rng.integers(5, 60)))), lang) for k, lang in enumerate(list(alphabets) * 40)]
+    rows.append((200, "no", None))
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_id.identify(train, language_id.fit(train)).collect()}
+
+    def buckets(t):
+        points = [c.lower() if not c.isascii() or c.isalpha() else " " for c in t.lower()]
+        out = []
+        for n in language_id.ORDERS:
+            for i in range(len(points) - n + 1):
+                h = n
+                for c in points[i : i + n]:
+                    h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 % 2**64
+                    h ^= h >> 29
+                out.append((h >> 20) % language_id.BUCKETS)
+        return out
+
+    counts, prior = {x: collections.Counter() for x in alphabets}, collections.Counter()
+    for k, t, lang in rows:
+        if lang and zlib.crc32(str(k).encode()) % 4 != 2:
+            counts[lang].update(buckets(t))
+            prior[lang] += 1
+    totals = {x: sum(c.values()) + language_id.SMOOTHING * language_id.BUCKETS for x, c in counts.items()}
+    for k, t, _ in rows:
+        logs = {x: np.log(prior[x] / sum(prior.values())) + sum(np.log((counts[x][b] + language_id.SMOOTHING) / totals[x]) for b in buckets(t)) for x in alphabets}
+        best = max(sorted(logs), key=lambda x: logs[x])
+        assert got[k].lang_pred == best and got[k].score == pytest.approx(1 / sum(np.exp(v - logs[best]) for v in logs.values()), abs=1e-3)
+
+
 def naive_assign(text):
     """assign spans by a hand-written scanner."""
     keys, out, i = ("password", "passwd", "secret", "token", "api_key", "apikey"), [], 0
