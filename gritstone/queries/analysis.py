@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gritstone.functions import evidence as E
 from gritstone.functions import signature as G
 from gritstone.functions import text as T
-from gritstone.operators import ml, prompts, resample
+from gritstone.operators import controls, ml, prompts, resample
 from gritstone.operators import retrieval as R
 from gritstone.plans import diagnostic
 from gritstone.streaming import runs
@@ -161,6 +161,45 @@ def arm_block_changes(spark, d):
     return prompts.changed_blocks(rendered, "B2", "B2-flip").select("id", F.array_join("changed", ",").alias("changed"))
 
 
+def _samples(spark, d):
+    rows = _specs(spark, d)
+    pair = F.when(F.size("demonstrations_pair") == 2, F.col("demonstrations_pair")).otherwise(F.col("demonstrations"))
+    clue = F.when(F.pmod("id", F.lit(3)) == 0, F.lit("")).otherwise(F.concat(F.lit("checks len before memcpy in statement "), F.size("nodes").cast("string")))
+    return rows.select("id", "query_code", "nodes", "edges", pair.alias("demonstrations"), F.array_compact(F.array("donor", F.get("demonstrations", F.lit(0)))).alias("random_demonstrations"), clue.alias("security_difference"))
+
+
+@query("prompt_modes")
+def prompt_modes(spark, d):
+    """Every layout of every sample."""
+    return controls.prompts(_samples(spark, d)).select("id", "mode", F.sha2("prompt", 256).alias("prompt_sha256"), F.char_length("prompt").alias("chars"))
+
+
+@query("control_prompts_v1")
+def control_prompts_v1(spark, d):
+    return controls.render_controls(_samples(spark, d), "v1").select("id", "condition", "problem", F.sha2("prompt", 256).alias("prompt_sha256"), "rendered_nodes", "rendered_edges")
+
+
+@query("control_prompts_v2")
+def control_prompts_v2(spark, d):
+    return controls.render_controls(_samples(spark, d), "v2").select("id", "condition", "problem", F.sha2("prompt", 256).alias("prompt_sha256"), "rendered_nodes", "rendered_edges")
+
+
+@query("payload_plan_violations")
+def payload_plan_violations(spark, d):
+    """A plan made by the renderer, with faults by id: another prompt, hash, pool, repeated candidate and token count."""
+    specs = _samples(spark, d).withColumn("arm", F.lit("B3"))
+    rendered = controls.render_controls(specs).filter("problem is null")
+    uids = specs.select("id", F.transform("demonstrations", lambda x: x["function_uid"]).alias("demo_uids"))
+    fault = F.pmod("id", F.lit(10))
+    pool = F.concat("demo_uids", F.array(F.lit("x"), F.when(fault == 3, F.lit("x")).otherwise(F.lit("y"))))
+    items = rendered.join(uids, "id").select(
+        F.concat_ws(":", F.col("id").cast("string"), "condition").alias("item_id"), "id", F.lit("B3").alias("arm"), "condition", F.when(fault == 1, F.concat("prompt", F.lit(" "))).otherwise(F.col("prompt")).alias("prompt"),
+        F.when(fault == 2, F.lit("0")).otherwise(F.col("target_sha256")).alias("target_sha256"), F.when(fault == 4, F.slice(pool, 2, 9)).otherwise(pool).alias("candidate_ids"), "demo_uids", (T.approx_tokens("prompt") + F.when(fault == 5, 1).otherwise(0)).alias("tokens"),
+    )
+    found = controls.plan_violations(items, specs)
+    return found.groupBy("reason").agg(F.count("*").alias("n"))
+
+
 @query("mock_arm_run")
 def mock_arm_run(spark, d):
     scored = prompts.render(_specs(spark, d)).withColumn("s", prompts.mock_score("prompt"))
