@@ -87,12 +87,12 @@ def _words(target: Column, digits: bool = False) -> Column:
 
 
 def _pair(inverted: bool, difference: bool) -> Column:
+    side_of = lambda k: F.get(F.filter("demonstrations", lambda d: d["target"] == k), F.lit(0))
     sides = {1: ("VULNERABLE REFERENCE", "Vulnerable (1)", "Vulnerable"), 0: ("SAFE / NON-VULNERABLE REFERENCE", "Non-vulnerable (0)", "Safe")}
     order = (0, 1) if inverted else (1, 0)
     parts = [F.lit(PAIR_HEAD.format(*(sides[k][2] for k in order)))]
     for place, k in enumerate(order, start=1):
-        demo = F.get(F.filter("demonstrations", lambda d, k=k: d["target"] == k), F.lit(0))
-        parts += [F.lit(f"--- EXAMPLE {place} ({sides[k][0]}) ---\n"), cut(demo["func"], CAPS["contrastive_demo"], CONTEXT_CUT), F.lit(f"\nLabel: {sides[k][1]}" + ("\n\n" if place == 1 else ""))]
+        parts += [F.lit(f"--- EXAMPLE {place} ({sides[k][0]}) ---\n"), cut(side_of(k)["func"], CAPS["contrastive_demo"], CONTEXT_CUT), F.lit(f"\nLabel: {sides[k][1]}" + ("\n\n" if place == 1 else ""))]
     if difference:
         parts.append(F.when(F.coalesce("security_difference", F.lit("")) != "", F.concat(F.lit(PAIR_DIFFERENCE), "security_difference")).otherwise(""))
     return F.concat(*parts, F.lit(RULE))

@@ -153,6 +153,63 @@ def proportional(df: DataFrame, key: str, by: str, n: int, seed: str) -> DataFra
     return df.join(sizes, by).withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy(order, key))).filter(F.col("_r") <= F.col("_quota")).drop("_r", "_quota")
 
 
+def positions(df: DataFrame, key: str, ranges: int = 64) -> DataFrame:
+    """df with its place (from 0) in the order of a number key: ranks within ranges of the key, and the sizes of those before."""
+    lo, hi = df.agg(F.min(key), F.max(key)).first()
+    part = F.floor((F.col(key) - F.lit(lo or 0)) * ranges / F.lit(max(1, (hi or 0) - (lo or 0) + 1)))
+    df = df.withColumn("_part", part)
+    ahead = df.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    own = F.row_number().over(W.partitionBy("_part").orderBy(key)) - 1
+    return df.withColumn("_own", own).join(ahead, "_part").withColumn("position", F.col("_own") + F.col("_ahead")).drop("_part", "_own", "_ahead")
+
+
+def positional_join(rows: DataFrame, manifest: DataFrame, same: dict[str, str], position: str = "position") -> DataFrame:
+    """rows beside the manifest row of their position. Both sides have every position once, and the columns of ``same`` (row to
+    manifest) agree, or it raises: a row is never matched by anything but its place."""
+    right = manifest.select(*[F.col(c).alias(f"_m_{c}") for c in manifest.columns])
+    both = rows.join(right, F.col(position) == F.col(f"_m_{position}"), "full_outer")
+    wrong = F.col(position).isNull() | F.col(f"_m_{position}").isNull()
+    for a, b in same.items():
+        wrong = wrong | ~F.col(a).eqNullSafe(F.col(f"_m_{b}"))
+    n, m, joined, bad = rows.count(), manifest.count(), *both.agg(F.count("*"), F.count_if(wrong)).first()
+    if not n == m == joined or bad:
+        raise ContractError(f"{bad} of {joined} positions differ between {n} rows and {m} manifest rows")
+    return both.drop(f"_m_{position}", *[f"_m_{b}" for b in same.values()]).withColumnsRenamed({f"_m_{c}": c for c in manifest.columns if c not in rows.columns})
+
+
+def report_readiness(graphs: DataFrame, stored: DataFrame, recomputed: DataFrame, keys: DataFrame, digits: int = 4) -> DataFrame:
+    """check, n, failed: edges shown with an end outside the nodes shown, stored metrics that differ, label-conditioned reviews.
+
+    graphs: id, nodes, edges. stored, recomputed: metric, value. keys: target_label, demo_label.
+    """
+    shown = F.transform(F.slice("nodes", 1, 25), lambda n: n["id"])
+    dangling = F.exists(F.slice("edges", 1, 25), lambda e: ~F.array_contains(shown, e["start"]) | ~F.array_contains(shown, e["end"]))
+    a = graphs.agg(F.lit("edge_outside_shown_nodes").alias("check"), F.count("*").alias("n"), F.count_if(dangling).alias("failed"))
+    both = stored.join(recomputed.select("metric", F.col("value").alias("_again")), "metric", "full_outer")
+    b = both.agg(F.lit("stored_metric_differs").alias("check"), F.count("*").alias("n"), F.count_if(~F.round("value", digits).eqNullSafe(F.round("_again", digits))).alias("failed"))
+    c = keys.agg(F.lit("demo_label_follows_target").alias("check"), F.count("*").alias("n"), F.count_if(F.col("target_label") == F.col("demo_label")).alias("failed"))
+    return a.unionByName(b).unionByName(c)
+
+
+def adjudicate(first: DataFrame, second: DataFrame, full: DataFrame, revised: DataFrame) -> DataFrame:
+    """id, first_choice, second_choice, choice, changed, agreed: the decision on two review sheets.
+
+    Sheets: id, snippet, choice. full: id, func. revised: id, choice. The sheets must have the same ids and snippets (line
+    ends aside), each snippet up to its cut mark must begin its function, and choices must be A, B, Equal or Neither.
+    """
+    norm = lambda c: F.replace(F.replace(F.col(c), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    side = lambda df, n: df.select("id", norm("snippet").alias(f"{n}_snippet"), F.col("choice").alias(f"{n}_choice"))
+    both = side(first, "first").join(side(second, "second"), "id", "full_outer").join(full.select("id", norm("func").alias("_func")), "id", "left").join(revised.select("id", F.col("choice").alias("_new")), "id", "left")
+    head = F.rtrim(F.substring_index("first_snippet", "/* ... [", 1))
+    choice = F.coalesce("_new", "first_choice")
+    known = ("A", "B", "Equal", "Neither")
+    bad = ~F.col("first_snippet").eqNullSafe(F.col("second_snippet")) | ~F.coalesce(F.startswith("_func", head), F.lit(False)) | ~F.coalesce(choice.isin(*known), F.lit(False))
+    n = both.filter(bad).count()
+    if n or first.select("id").distinct().count() != first.count():
+        raise ContractError(f"{n} reviews differ between sheets, from their function or from the choices")
+    return both.select("id", "first_choice", "second_choice", choice.alias("choice"), (choice != F.col("first_choice")).alias("changed"), (F.col("first_choice") == F.col("second_choice")).alias("agreed"))
+
+
 def graph_prefix(nodes: Column, edges: Column, n: int, m: int) -> tuple[Column, Column]:
     """First n nodes, then the first m edges whose ends are both kept."""
     kept = F.slice(nodes, 1, n)

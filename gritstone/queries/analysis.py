@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gritstone.functions import evidence as E
 from gritstone.functions import signature as G
 from gritstone.functions import text as T
+from gritstone.functions.skeleton import skeleton
 from gritstone.operators import controls, ml, prompts, resample
 from gritstone.operators import retrieval as R
 from gritstone.plans import diagnostic
@@ -297,6 +298,15 @@ def graph_similarity(spark, d):
     return g.join(near, "id").select("id", F.round(R.outline_similarity("outline", "other"), 6).alias("similarity"))
 
 
+@query("skeleton_graphs")
+def skeleton_graphs(spark, d):
+    """Sizes and types of the skeleton graph of every function."""
+    rows = codes(spark, d).select("id", skeleton("code").alias("g"))
+    types = F.transform(F.col("g.nodes"), lambda n: n["type"])
+    flows = F.size(F.filter("g.edges", lambda e: e["type"] == "FLOWS_TO"))
+    return rows.select("id", F.size("g.nodes").alias("nodes"), F.size("g.edges").alias("edges"), flows.alias("flows"), F.sha2(F.array_join(types, ","), 256).alias("types_sha256"))
+
+
 @query("gold_annotation_ordinals")
 def gold_annotation_ordinals(spark, d):
     """Occurrence ordinals of each name in a text, with stated occurrences left out."""

@@ -109,6 +109,17 @@ def mcnemar_counts(spark, d):
     return rows.select("dataset", "b", "c", F.round(S.mcnemar_chi2("b", "c"), 6).alias("chi2"))
 
 
+@query(
+    "mcnemar_stage",
+    f"WITH {REC}, m AS (SELECT dataset, count(*) FILTER (pred_a <> y AND pred_b = y) AS b, count(*) FILTER (pred_a = y AND pred_b <> y) AS c FROM rec WHERE pred_a IS NOT NULL AND pred_b IS NOT NULL GROUP BY dataset) SELECT dataset, b, c, round(COALESCE(greatest(abs(b - c) - 1, 0)::DOUBLE ** 2 / nullif(b + c, 0), 0), 6) AS chi2, round(COALESCE(greatest(abs(b - c) - 1, 0)::DOUBLE ** 2 / nullif(b + c, 0), 0), 6) > 3.841 AS significant FROM m",
+)
+def mcnemar_stage(spark, d):
+    """The variant that is always chi-squared, with b and c the other way round."""
+    rows = records(spark, d).groupBy("dataset").agg(*[c.alias(k) for k, c in S.mcnemar_counts("y", "pred_b", "pred_a").items()])
+    chi2 = F.round(S.mcnemar_chi2("b", "c"), 6)
+    return rows.select("dataset", "b", "c", chi2.alias("chi2"), (chi2 > 3.841).alias("significant"))
+
+
 @query("mcnemar_p")
 def mcnemar_p(spark, d):
     """Exact or chi-squared p-values with Holm's adjustment over the datasets."""

@@ -197,10 +197,15 @@ def historical_remetric(spark, d):
     return rows.select("run", F.round("acc", 6).alias("accuracy"), F.round(F.abs(F.col("acc") - F.round("acc", 3)), 6).alias("max_abs_diff"))
 
 
-@query("unfinished_attempts", "SELECT user_id, count(*) AS n FROM events e WHERE event_type <> 'error' AND NOT EXISTS (SELECT 1 FROM events f WHERE f.event_type = 'error' AND f.user_id = e.user_id) GROUP BY user_id")
+@query("unfinished_attempts", "SELECT user_id, count(*) AS n, min(event_id) AS first_id FROM events e WHERE event_type = (SELECT min(event_type) FROM events) AND NOT EXISTS (SELECT 1 FROM events f WHERE f.event_type = (SELECT max(event_type) FROM events) AND f.user_id = e.user_id AND f.ts >= e.ts) GROUP BY user_id")
 def unfinished_attempts(spark, d):
+    """Attempts (events of the first type) after which no event of the last type of their user follows."""
     e = read(spark, d, "events")
-    return e.filter("event_type <> 'error'").join(e.filter("event_type = 'error'").select("user_id").distinct(), "user_id", "left_anti").groupBy("user_id").agg(F.count("*").alias("n"))
+    kinds = e.agg(F.min("event_type").alias("opens"), F.max("event_type").alias("closes"))
+    e = e.crossJoin(F.broadcast(kinds))
+    closed = e.filter("event_type = closes").groupBy("user_id").agg(F.max("ts").alias("closed"))
+    left = e.filter("event_type = opens").join(closed, "user_id", "left").filter("closed is null or ts > closed")
+    return left.groupBy("user_id").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
 
 @query("resume_filter", f"WITH {REC} SELECT id FROM rec WHERE NOT (split = 'train' AND id % 2 = 0)")
@@ -318,6 +323,42 @@ def graph_text(spark, d):
     return _graphs(spark, d).select("id", B.graph_text(nodes, edges).alias("text"))
 
 
+@query(
+    "positional_manifest_join",
+    "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position, 'uid-' || substr(sha256(text), 1, 12) AS uid FROM documents",
+)
+def positional_manifest_join(spark, d):
+    """Rows attached to a manifest by place, code hash and id."""
+    docs = read(spark, d, "documents").select("doc_id", T.sha("text").alias("code"))
+    numbered = B.positions(docs, "doc_id")
+    manifest = numbered.select("position", F.col("doc_id").alias("legacy_id"), F.col("code").alias("code_sha256"), F.concat(F.lit("uid-"), F.substring("code", 1, 12)).alias("uid"))
+    return B.positional_join(numbered, manifest, {"doc_id": "legacy_id", "code": "code_sha256"}).select("doc_id", "position", "uid")
+
+
+@query(
+    "report_readiness",
+    f"WITH {REC}, {_GRAPH}, m AS (SELECT dataset AS metric, round(avg((pred_a = y)::INT), 6) AS value FROM rec GROUP BY 1) SELECT 'edge_outside_shown_nodes' AS check, count(*) AS n, 0::BIGINT AS failed FROM g UNION ALL SELECT 'stored_metric_differs', count(*), count(*) FILTER (metric = 'en') FROM m UNION ALL SELECT 'demo_label_follows_target', count(*), count(*) FILTER (y = z) FROM rec",
+)
+def report_readiness(spark, d):
+    """Stored metrics are the recomputed ones, but for one language."""
+    rec = records(spark, d)
+    metrics = rec.groupBy(F.col("dataset").alias("metric")).agg(F.round(F.avg((F.col("pred_a") == F.col("y")).cast("int")), 6).alias("value"))
+    stored = metrics.select("metric", F.when(F.col("metric") == "en", F.col("value") + 0.01).otherwise(F.col("value")).alias("value"))
+    return B.report_readiness(_graphs(spark, d), stored, metrics, rec.select(F.col("y").alias("target_label"), F.col("z").alias("demo_label")))
+
+
+@query("review_adjudication", f"WITH {REC}, c AS (SELECT id, ['A', 'B', 'Equal', 'Neither'][1 + id % 4] AS f, ['A', 'B', 'Equal', 'Neither'][1 + (id + y) % 4] AS s, CASE WHEN id % 7 = 0 THEN 'Neither' END AS r FROM rec) SELECT id, f AS first_choice, s AS second_choice, COALESCE(r, f) AS choice, COALESCE(r, f) <> f AS changed, f = s AS agreed FROM c")
+def review_adjudication(spark, d):
+    rec = records(spark, d).select("id", "y")
+    said = lambda k: F.element_at(F.array(*[F.lit(x) for x in ("A", "B", "Equal", "Neither")]), (F.pmod(k, F.lit(4)) + 1).cast("int"))
+    texts = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("func"))
+    snippet = F.concat(F.rtrim(F.substring("func", 1, 200)), F.lit(" /* ... [cut] */"))
+    one = rec.join(texts, "id").select("id", snippet.alias("snippet"), said(F.col("id")).alias("choice"))
+    two = rec.join(texts, "id").select("id", F.replace(snippet, F.lit("\n"), F.lit("\r\n")).alias("snippet"), said(F.col("id") + F.col("y")).alias("choice"))
+    revised = rec.filter("id % 7 = 0").select("id", F.lit("Neither").alias("choice"))
+    return B.adjudicate(one, two, texts, revised)
+
+
 @query("graph_cleanup", f"WITH {_GRAPH} SELECT id, array_to_string(list_transform(nodes, lambda n: n.id || ':' || COALESCE(nullif(n.type, 'R'), 'Node')), ',') AS cleaned FROM g")
 def graph_cleanup(spark, d):
     clean = F.transform("nodes", lambda n: F.concat(n["id"], F.lit(":"), F.coalesce(F.nullif(n["type"], F.lit("R")), F.lit("Node"))))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import json
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,11 +26,58 @@ GATE_ALIASES = {
 
 
 def json_array(spark: SparkSession, path: str, schema: T.StructType = SAMPLE, most: int | None = None) -> DataFrame:
-    """A file that is one JSON array; malformed objects are dropped."""
+    """A file that is one JSON array; malformed objects are dropped. One task reads a file: see json_array_lines for large ones."""
     df = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
     return df if most is None else df.limit(most)
 
 
+def json_array_lines(spark: SparkSession, path: str, schema: T.StructType = SAMPLE, most: int | None = None) -> DataFrame:
+    """A JSON array with an object in each line: Spark splits such a file, however large. Lines that hold no object, and
+    objects that can't be read, are dropped. With ``most`` reading stops early."""
+    body = F.regexp_replace(F.trim("value"), r"^\[?\s*,?\s*|\s*,?\s*\]?$", "")
+    lines = spark.read.text(path).select(body.alias("w")).filter(F.col("w").startswith("{"))
+    rows = lines.select(F.from_json("w", T.StructType([*schema.fields, T.StructField("_bad", T.StringType())]), {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    rows = rows.filter("r._bad is null").select(*[F.col("r").getField(c).alias(c) for c in schema.names])
+    return rows if most is None else rows.limit(most)
+
+
+def first_location(spark: SparkSession, paths: list[str], least_bytes: int = 3) -> str:
+    """The first of several places that holds a file of more than trivial size."""
+    conf = spark._jsc.hadoopConfiguration()
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(conf)
+        if fs.exists(at) and fs.getContentSummary(at).getLength() >= least_bytes:
+            return path
+    raise ContractError(f"none of {len(paths)} locations has data")
+
+
+def npy_matrix(spark: SparkSession, path: str, member: str | None = None) -> DataFrame:
+    """file, row, embedding of .npy files, or of a member of .npz files; each file is read whole by one task."""
+
+    def load(batches):
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held = np.load(io.BytesIO(data.as_py()), allow_pickle=False)
+                matrix = held if isinstance(held, np.ndarray) else held[member or held.files[0]]
+                if matrix.ndim != 2:
+                    raise ContractError(f"{name} holds no matrix")
+                for at in range(0, len(matrix), 4096):
+                    part = matrix[at : at + 4096].astype(np.float32)
+                    lists = pa.FixedSizeListArray.from_arrays(pa.array(part.ravel()), part.shape[1]).cast(pa.list_(pa.float32()))
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(at, at + len(part))), lists], ["file", "row", "embedding"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(load, "file string, row long, embedding array<float>")
+
+
+def yaml_config(text: str) -> dict:
+    """A YAML configuration; the parser is optional."""
+    import yaml
+
+    return yaml.safe_load(text) or {}
+
+
 def jsonl(spark: SparkSession, path: str, schema: T.StructType | None = None, strict: bool = False) -> DataFrame:
     """JSON lines, gzip by its ending; strict: a line that can't be read raises when the rows are used."""
     reader = spark.read.option("mode", "FAILFAST" if strict else "DROPMALFORMED")

@@ -22,10 +22,25 @@ def append_records(df: DataFrame, path: str, *by: str) -> None:
     df.write.mode("append").partitionBy(*by).json(path)
 
 
-def latex_table(df: DataFrame, columns: list[str]) -> str:
-    """A table of a small report; the caller bounds its rows."""
+def markdown_summary(sections: dict[str, DataFrame], most: int = 200) -> str:
+    """A section with a table for each small frame; what is beyond ``most`` rows is counted."""
+    show = lambda v: "n/a" if v is None or v != v else f"{v:.4f}" if isinstance(v, float) else str(v).replace("|", "\\|")
+    out = []
+    for title, df in sections.items():
+        rows = df.limit(most + 1).collect()
+        lines = [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
+        lines += ["| " + " | ".join(show(x) for x in r) + " |" for r in rows[:most]]
+        out.append("\n".join(lines + (["", f"{df.count() - most} more rows"] if len(rows) > most else [])))
+    return "\n\n".join(out) + "\n"
+
+
+def latex_table(df: DataFrame, columns: list[str], most: int = 10_000) -> str:
+    """A table of a small report; one of more than ``most`` rows is refused."""
     def cell(v):
         return "N/A" if v is None or v != v else f"{v:.3f}" if isinstance(v, float) else str(v)
 
-    rows = [" & ".join(cell(r[c]) for c in columns) + r" \\" for r in df.select(*columns).collect()]
+    held = df.select(*columns).limit(most + 1).collect()
+    if len(held) > most:
+        raise ValueError(f"a report of more than {most} rows")
+    rows = [" & ".join(cell(r[c]) for c in columns) + r" \\" for r in held]
     return "\n".join([r"\begin{tabular}{" + "l" * len(columns) + "}", " & ".join(columns) + r" \\", *rows, r"\end{tabular}"])

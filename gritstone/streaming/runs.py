@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +57,63 @@ def check_journal(records: DataFrame, events: DataFrame, identity: str) -> None:
         raise ContractError("an attempt has no record")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+@contextmanager
+def run_lock(spark: SparkSession, folder: str):
+    """Holds a run's folder: a second holder is refused until the first has left, on any store that Spark writes.
+
+    The lock is a file that is created only if it isn't there; one left by a killed run is to be looked at, then removed.
+    """
+    fs, path = _hadoop(spark, f"{folder}/.execution.lock")
+    fs.mkdirs(path.getParent())
+    try:
+        out = fs.create(path, False)
+    except Py4JJavaError as e:
+        if fs.exists(path):
+            raise ContractError("the run is locked") from e
+        raise
+    try:
+        out.write(bytearray(str(spark.sparkContext.applicationId).encode()))
+        out.close()
+        yield
+    finally:
+        fs.delete(path, False)
+
+
+def write_atomic(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file under another name and renames it, so that readers see the old or the new one, whole."""
+    fs, target = _hadoop(spark, path)
+    _, temporary = _hadoop(spark, f"{path}.tmp-{uuid.uuid4().hex}")
+    out = fs.create(temporary, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(temporary, target):
+        fs.delete(target, False)
+        fs.rename(temporary, target)
+
+
+def resumable_matrix(rows: DataFrame, path: str, identity: str, embed: Callable[[DataFrame], DataFrame], key: str = "id", parts: int = 16) -> DataFrame:
+    """embed(rows) written part by part under path/identity=.../part=...; parts that are there aren't made again.
+
+    A part is the rows of one remainder of the key's hash; Spark's commit makes it appear whole or not at all, and another
+    identity (of inputs and encoder) has a folder of its own, so stale vectors are never mixed in.
+    """
+    spark = rows.sparkSession
+    root = f"{path}/identity={identity}"
+    for k in range(parts):
+        fs, done = _hadoop(spark, f"{root}/part={k}/_SUCCESS")
+        if not fs.exists(done):
+            embed(rows.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == k)).write.mode("overwrite").parquet(f"{root}/part={k}")
+    out = spark.read.parquet(root)
+    if out.count() != rows.count() or out.select(key).distinct().count() != out.count():
+        raise ContractError("the matrix and its rows differ")
+    return out.drop("part")
+
+
 def run_stream(source: DataFrame, score: Callable[[DataFrame], DataFrame], records: str, checkpoint: str, identity: str, key: str = "id"):
     """Starts a stream that scores rows not yet recorded and appends them under records/run=<identity>.
 
