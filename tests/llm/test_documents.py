@@ -545,16 +545,56 @@ def test_errors_at_every_offset(n, m):
     assert audio.errors_by_shift(a, b).tolist() == want
 
 
-def test_pipeline(spark, docs, empty, tmp_path):
+def test_pipeline(spark, docs, rows, hard, empty, tmp_path):
+    """Every stage against brute force on what the stage before kept, with null and repeated ids and clashing columns."""
     import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "mixing", "token_output"]
-    for name, frame in (("some", docs), ("none", empty)):
+    some = [r for r in rows if len(words(r[1])) >= 80][0]
+    items = [(1, " ".join(words(some[1])[5:60])), (2, "one two three four five six seven eight nine ten eleven twelve thirteen")]
+    for name, frame in (("some", docs), ("none", empty), ("clash", clashing(hard))):
         root = tmp_path / name
         frame.write.parquet(str(root / "documents.parquet"))
-        spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve thirteen")], "item_id long, text string").write.parquet(str(root / "benchmark.parquet"))
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(str(root / "benchmark.parquet"))
         out = corpus_pipeline.run(spark, str(root))
-        assert out.columns[:4] == ["doc_id", "start", "n_tokens", "ids_crc32"] and (out.count() > 20) == (name == "some")
+        assert out.columns[:4] == ["doc_id", "start", "n_tokens", "ids_crc32"] and (out.count() > 20) == (name != "none")
+    root, kept = tmp_path / "some", docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        before, kept = kept, stage(spark, kept, str(root))
+        kept.write.parquet(str(tmp_path / f"stage{k}"))
+        kept = spark.read.parquet(str(tmp_path / f"stage{k}"))
+        assert kept.columns == docs.columns
+        was, now = {r.doc_id: r.text for r in before.collect()}, collections.Counter(r.doc_id for r in kept.collect())
+        if k == 0:
+            assert set(now) == {i for i, t in was.items() if re.search(r"[^\W\d_]", t or "")}  # all languages of the sample are kept
+        elif k == 1:
+            sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, w in ((i, words(t)) for i, t in was.items()) if w}
+            root_of = {i: i for i in was}
+            for _ in was:  # least ids spread along links
+                for a in sets:
+                    for b in sets:
+                        if a < b and root_of[a] != root_of[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                            root_of[a] = root_of[b] = min(root_of[a], root_of[b])
+                if all(root_of[root_of[i]] == root_of[i] for i in was):
+                    break
+            assert set(now) == {i for i in was if root_of[i] == i} and len(now) < len(was)
+        elif k == 2:
+            plain = [(str(i), decontaminate_words(t)) for i, t in items]
+            hit = {i: len(decontaminate.brute(decontaminate_words(t), plain)[0]) for i, t in was.items()}
+            assert set(now) == {i for i, t in was.items() if not (hit[i] and 20 * hit[i] >= len(decontaminate_words(t)))} and len(now) < len(was)
+        else:
+            taken = {r.doc_id: r.first_slot for r in mixing.mix(before).collect()}
+            assert set(now) == {i for i, s in taken.items() if s is not None} and set(now.values()) <= {1, 2}
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    out = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.stage(spark, kept, str(root)).collect())
+    at, want = 0, []
+    for r in sorted(kept.collect(), key=lambda r: r.doc_id):
+        ids = np.array(whole.encode(r.text or "", add_special_tokens=False).ids + [2], "<u4")
+        want.append((at, r.doc_id, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert out == want
 
 
 CLASHES = ["row", "rid", "v", "a", "b", "k", "slot", "_id", "_times", "_copy", "_words", "_hits", "_items", "root", "bands", "spans", "held_out", "label", "start", "n", "class_id", "bucket", "Words"]
