@@ -13,6 +13,8 @@ from ._shared import Scratch
 BLOCK = 128
 #: A bucket with so many ids outside its star's component, or fewer, is settled in the second turn.
 STARS = 8
+#: Modulus of the sums that tell buckets apart: products of two residues fit a long.
+PRIME = (1 << 31) - 1
 
 
 def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
@@ -38,14 +40,16 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
             return roots
 
 
-def classes_of(scratch: Scratch, heads: DataFrame, verify: Callable[[DataFrame, str], DataFrame], compare: Callable[[DataFrame], DataFrame], possible: Callable[[Column, Column], Column] | None = None, carry: Callable[[Column, Column], Column] | None = None, block: int = BLOCK) -> DataFrame:
+def classes_of(scratch: Scratch, heads: DataFrame, verify: Callable[[DataFrame, str], DataFrame], compare: Callable[[DataFrame], DataFrame], possible: Callable[[Column, Column], Column] | None = None, carry: Callable[[Column, Column], Column] | None = None, place: Callable[[Column], Column] | None = None, block: int = BLOCK, few: int = STARS) -> DataFrame:
     """(v, root): classes of ids whose links are among pairs that share a bucket.
 
     heads: (v, bands array<long>). verify(pairs(a, b), tag) keeps the pairs that are links. compare(blocks) gives the
     links (a, b) within blocks: rows (family, i, j, outer, v, root), where each outer id of a block is to be compared
     with each that isn't outer and has another root. With possible(mark, mark) and carry(mark, mark), bands are structs of
     bucket and mark, a pair that shares a bucket is a candidate only if its marks there allow it, and verify gets in
-    ``carried`` the distinct values that carry takes of the marks of a and b.
+    ``carried`` the distinct values that carry takes of the marks of a and b. place(mark) is where in v the bucket lies.
+
+    Buckets of the same ids, at the same distances from each other, tell the same: one of them is kept.
 
     Each bucket is first a star around its least id; buckets whose ids are then in one component hold no link that could
     change the result. In the others every id outside the star's component, if they are few, makes a star of its own,
@@ -57,9 +61,21 @@ def classes_of(scratch: Scratch, heads: DataFrame, verify: Callable[[DataFrame,
     mark = ["mark"] if possible else []
     may = possible or (lambda x, y: F.lit(True))
     spread = heads.select(F.explode("bands").alias("e"), "v").select(*(["e.bucket", "v", "e.mark"] if mark else [F.col("e").alias("bucket"), "v"]))
-    stars = spread.groupBy("bucket").agg(F.min(F.struct("v", *mark)).alias("x"), F.max("v").alias("top"), F.count("*").alias("n")).filter("x.v < top")
-    stars = stars.select("bucket", "n", F.col("x.v").alias("hub"), *[F.col("x.mark").alias("hub_mark") for _ in mark])
-    members = scratch.save(spread.join(stars, "bucket"), "members")
+    ids = [F.pmod(F.xxhash64(F.lit(k), "v"), F.lit(PRIME)) for k in (1, 2)]
+    at = F.pmod(place(F.col("mark")).cast("long"), F.lit(PRIME)) if place else F.lit(0)
+    sums = [F.sum(x).alias(f"s{k}") for k, x in enumerate(ids)] + ([F.sum(F.pmod(x * at, F.lit(PRIME))).alias(f"p{k}") for k, x in enumerate(ids)] if place else [])
+    least = F.min(F.struct("v", *mark)).alias("x") if mark else F.min("v").alias("hub")
+    stars = spread.groupBy("bucket").agg(least, F.max("v").alias("top"), F.count("*").alias("n"), *sums)
+    if mark:
+        stars = stars.select("*", F.col("x.v").alias("hub"), F.col("x.mark").alias("hub_mark")).drop("x")
+    stars = stars.filter("hub < top")
+    if place:
+        own = F.pmod(place(F.col("hub_mark")).cast("long"), F.lit(PRIME))
+        stars = stars.withColumns({f"p{k}": F.pmod(F.pmod(f"p{k}", F.lit(PRIME)) - F.pmod(own * F.pmod(f"s{k}", F.lit(PRIME)), F.lit(PRIME)), F.lit(PRIME)) for k in (0, 1)})
+    same = ["hub", "n", "s0", "s1", *(["p0", "p1"] if place else [])]
+    kept = F.min_by(F.struct("bucket", *(["hub_mark"] if mark else [])), "bucket").alias("x")
+    stars = stars.groupBy(*same).agg(kept).select("hub", "n", F.col("x.bucket").alias("bucket"), *[F.col("x.hub_mark").alias("hub_mark") for _ in mark])
+    members = scratch.save(spread.join(scratch.save(stars, "stars"), "bucket"), "members")
     del spread, stars
     scratch.tidy()
     ends = lambda rows: rows.groupBy("a", "b").agg(F.collect_set("c").alias("carried")) if mark else rows.select("a", "b").distinct()
@@ -79,8 +95,8 @@ def classes_of(scratch: Scratch, heads: DataFrame, verify: Callable[[DataFrame,
     mixed = scratch.save(outside.groupBy("bucket").agg(F.count("*").alias("m"), F.min_by(F.struct("v", "root", *mark), F.xxhash64("v")).alias("x")), "mixed")
     if not mixed.limit(1).count():
         return roots
-    every = outside.join(mixed.filter(F.col("m") <= STARS).select("bucket"), "bucket").select("bucket", F.struct("v", "root", *mark).alias("x"))
-    picked = every.unionByName(mixed.filter(F.col("m") > STARS).select("bucket", "x"))
+    every = outside.join(mixed.filter(F.col("m") <= few).select("bucket"), "bucket").select("bucket", F.struct("v", "root", *mark).alias("x"))
+    picked = every.unionByName(mixed.filter(F.col("m") > few).select("bucket", "x"))
     met = named.join(picked, "bucket").filter(F.col("root") != F.col("x.root")).filter(may(F.col("mark"), F.col("x.mark")) if mark else F.lit(True))
     taken = [F.when(F.col("v") < F.col("x.v"), carry(F.col("mark"), F.col("x.mark"))).otherwise(carry(F.col("x.mark"), F.col("mark"))).alias("c") for _ in mark]
     pairs = ends(met.select(F.least("v", "x.v").alias("a"), F.greatest("v", "x.v").alias("b"), *taken))
@@ -90,7 +106,7 @@ def classes_of(scratch: Scratch, heads: DataFrame, verify: Callable[[DataFrame,
     scratch.tidy()
     roots = components(scratch, links, "roots2")
 
-    large = named.join(mixed.filter(F.col("m") > STARS).select("bucket"), "bucket", "left_semi").select("bucket", "hub", "v", *mark)
+    large = named.join(mixed.filter(F.col("m") > few).select("bucket"), "bucket", "left_semi").select("bucket", "hub", "v", *mark)
     named = split_buckets(large, "3")
     mixed = named.filter("root <> main").select("bucket").distinct()
     named = named.join(mixed, "bucket")

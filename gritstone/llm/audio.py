@@ -55,6 +55,8 @@ LARGE = 1 << 18
 MARK_ERRORS = 5
 #: Recordings in a block of the last turn, on each side.
 BLOCK = 1024
+#: A bucket with so many recordings outside its star's component, or fewer, is settled by their stars.
+STARS = 64
 #: Bits of the bitmap of keys that several recordings have, as a power of two: 16 MB.
 BITMAP = 27
 LEAST_OVERLAP, LEAST_INTEGERS, MOST_ERRORS = 0.5, 24, 0.12
@@ -394,7 +396,7 @@ def recordings(media: DataFrame, key: str, value: str) -> DataFrame:
 
         return rows.groupBy("family", "i", "j").applyInArrow(links, f"a {kind}, b {kind}")
 
-    roots = classes_of(scratch, keys, verify, compare, lambda x, y: F.bit_count(x["ints"].bitwiseXOR(y["ints"])) <= MARK_ERRORS, lambda x, y: y["at"] - x["at"], BLOCK)
+    roots = classes_of(scratch, keys, verify, compare, lambda x, y: F.bit_count(x["ints"].bitwiseXOR(y["ints"])) <= MARK_ERRORS, lambda x, y: y["at"] - x["at"], lambda x: x["at"], BLOCK, STARS)
     named = heads.distinct().join(roots.withColumnRenamed("v", "head"), "head", "left").select("v", F.coalesce("root", "head").alias("class_id"))
     named = named.groupBy("v").agg(F.min("class_id").alias("class_id"))
     out = found.select("v", "n_prints", "prints_crc32").join(named, "v", "left")
