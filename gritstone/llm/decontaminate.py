@@ -7,8 +7,8 @@ windows. Items of fewer than 13 words are one window of their own length, found
 
 Fingerprints and windows of the test set are tables of hashes. Two bitmaps of fixed size, one of fingerprints and one of
 windows, go to the executors whatever the test set's size, so that a pass over the documents keeps only the windows that
-may be in it; those are joined with the test set's windows, exactly. So documents are read once, rows without such a
-window are done then, and only the others are shuffled, for their hits.
+may be in it; those are joined with the test set's windows, exactly. Rows without such a window are done then, and only
+the others are shuffled, for their hits. The query passes over the documents once; the stage twice, to write no copy.
 
 Cases: a null or wordless text has no words and is never contaminated; wordless items have no windows; items with a
 null id are written as an empty id, and items that share an id are one; repeated rows are judged each; an empty test set
@@ -141,8 +141,13 @@ def hits(docs: DataFrame, bench: DataFrame, carried: list[str] | None = None) ->
 
     rows = docs.select(F.struct(*(carried or docs.columns)).alias("row"), F.monotonically_increasing_id().alias("rid"), F.col("text").alias("text"))
     schema = rows.select("row", "rid", F.lit(0).cast("long").alias("words"), F.array().cast("array<struct<n:int,h:bigint,at:int>>").alias("found")).schema
-    marked = scratch.save(rows.mapInArrow(mark, schema), "marked")
-    spread = marked.filter(F.size("found") > 0).select("rid", F.explode("found").alias("f")).select("rid", "f.n", "f.h", "f.at")
+    marked = rows.mapInArrow(mark, schema)
+    if carried is not None:
+        marked = scratch.save(marked, "marked")  # small rows: one pass over the texts
+    suspects = marked.filter(F.size("found") > 0)
+    if carried is None:
+        suspects = scratch.save(suspects, "suspects")  # whole rows, but few; the others are marked again as they are read
+    spread = suspects.select("rid", F.explode("found").alias("f")).select("rid", "f.n", "f.h", "f.at")
     windows = items.filter(F.col("n") != PRINT)
     met = scratch.save(spread.join(windows.select("n", "h").distinct(), ["n", "h"]), "met")
     spots = met.groupBy("rid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("n") - 1))))).alias("spots"))
@@ -150,7 +155,7 @@ def hits(docs: DataFrame, bench: DataFrame, carried: list[str] | None = None) ->
     named = named.groupBy("rid").agg(F.array_sort(F.collect_list("item")).alias("items"))
     none = [F.array().cast("array<int>").alias("spots"), F.array().cast("array<string>").alias("items")]
     clean = marked.filter(F.size("found") == 0).select("row", "words", *none)
-    hit = marked.filter(F.size("found") > 0).join(spots.join(named, "rid"), "rid", "left")
+    hit = suspects.join(spots.join(named, "rid"), "rid", "left")
     return clean.unionByName(hit.select("row", "words", *[F.coalesce(x, y).alias(x) for x, y in zip(("spots", "items"), none)]))
 
 

@@ -139,13 +139,31 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def content(docs: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of a row's whole content; rows of equal content need not be told apart."""
+    columns = [F.to_json(F.struct(c)) if "map<" in kind or kind == "variant" else F.col(f"`{c}`") for c, kind in docs.dtypes]
+    nulls = F.concat_ws("", *[F.when(F.col(f"`{c}`").isNull(), "1").otherwise("0") for c in docs.columns])
+    return [F.xxhash64(F.lit(k), nulls, *columns).alias(f"key{k}") for k in (1, 2)]
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document, whole, at each slot at which the mix takes its first word (0, 1 or 2 times), in the order of slots."""
+    """Each document, whole, at each slot at which the mix takes its first word (0, 1 or 2 times), in the order of slots.
+
+    Documents are met again by a hash of their content, so no copy of them is written. Rows of equal content are counted
+    as documents of their own, and written from one of them as often as the mix takes them all together.
+    """
     scratch = Scratch(spark, "mixing")
-    rows = scratch.save(docs.select(F.struct(*docs.columns).alias("row"), sizes(docs).alias("size"), F.monotonically_increasing_id().alias("rid")), "rows")
-    base = rows.select("rid", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), "size")
-    begins = plan(scratch, base)[1].select("rid", F.explode("begins").alias("slot"))
-    mixed = rows.join(begins, "rid").repartitionByRange("slot").sortWithinPartitions("slot")
+    keys = ["key1", "key2"]
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *content(docs), sizes(docs).alias("size"))
+    base = keyed.select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), "size", *keys, F.monotonically_increasing_id().alias("rid"))
+    base = scratch.save(base.filter("size > 0"), "base")
+    begins = plan(scratch, base.select("rid", "doc_id", "source", "size"))[1]
+    slots = base.join(begins, "rid", "left").groupBy(*keys).agg(F.count("*").alias("rows"), F.flatten(F.collect_list("begins")).alias("slots"))
+    slots = scratch.save(slots.filter("rows > 1 or size(slots) > 0"), "slots")
+    once = keyed.select("row", *keys).join(slots.filter("rows = 1").select(*keys, "slots"), keys).select("row", "slots")
+    several = keyed.select("row", *keys).join(slots.filter("rows > 1").select(*keys), keys, "left_semi").groupBy(*keys).agg(F.any_value("row").alias("row"))
+    several = several.join(slots.filter("rows > 1").select(*keys, "slots"), keys).select("row", "slots")
+    mixed = once.unionByName(several).select("row", F.explode("slots").alias("slot")).repartitionByRange("slot").sortWithinPartitions("slot")
     return mixed.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
