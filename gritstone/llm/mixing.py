@@ -147,9 +147,10 @@ def content(docs: DataFrame) -> list[Column]:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document, whole, at each slot at which the mix takes its first word (0, 1 or 2 times), in the order of slots.
+    """Each document, whole, at each slot at which the mix takes its first word (0, 1 or 2 times).
 
-    Documents are met again by a hash of their content, so no copy of them is written. Rows of equal content are counted
+    Rows are dealt by hash, and each partition is in the order of slots: every file is a sample of the mix that follows the
+    schedule. Documents are met again by a hash of their content, so no copy of them is written. Rows of equal content are counted
     as documents of their own, and written from one of them as often as the mix takes them all together.
     """
     scratch = Scratch(spark, "mixing")
@@ -163,7 +164,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     once = keyed.select("row", *keys).join(slots.filter("rows = 1").select(*keys, "slots"), keys).select("row", "slots")
     several = keyed.select("row", *keys).join(slots.filter("rows > 1").select(*keys), keys, "left_semi").groupBy(*keys).agg(F.any_value("row").alias("row"))
     several = several.join(slots.filter("rows > 1").select(*keys, "slots"), keys).select("row", "slots")
-    mixed = once.unionByName(several).select("row", F.explode("slots").alias("slot")).repartitionByRange("slot").sortWithinPartitions("slot")
+    mixed = once.unionByName(several).select("row", F.explode("slots").alias("slot")).sortWithinPartitions("slot")
     return mixed.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
