@@ -25,6 +25,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, for work that costs far more than moving its rows: files of few row groups give few tasks."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def h8(key, arm: str) -> Column:
     """First 8 hex digits of sha256(key:arm) as a number."""
     key = F.col(key) if isinstance(key, str) else key

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ._bind import WORDS, read
+from ._bind import WORDS, read, spread
 
 #: Statement, and its calls as (name, status, state, role); %a, %b and %c stand for the words.
 STATEMENTS = (
@@ -52,7 +52,7 @@ def _groups(spark, d, of):
         return of(a, b, c, F.conv(F.substring(F.md5(F.concat_ws(",", a, b, c)), 1, 7), 16, 10).cast("int"))
 
     first = F.regexp_extract(named, f"([^{blank}]+)", 1)
-    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.when(first == "", "v_").otherwise(first).alias("first"), F.transform(threes, one).alias("groups"))
+    return spread(read(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("id"), F.when(first == "", "v_").otherwise(first).alias("first"), F.transform(threes, one).alias("groups"))
 
 
 def _filled(texts, a, b, c, h):

@@ -93,9 +93,11 @@ def signature_similarity(spark, d):
 def security_rerank(spark, d):
     """Shared pool of the 50 nearest, 0.3 hybrid + 0.7 signature similarity, family-constrained choice."""
     vectors = read(spark, d, "embeddings").select("vec_id", "embedding")
-    texts = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(T.words("text")).alias("items"))
-    signed = codes(spark, d).withColumn("s", G.signature_of("code")).select("id", "s")
-    rows = R.hybrid(R.knn(vectors.filter("vec_id % 10 = 0"), vectors, 50), texts).drop("rank")
+    texts = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    near = R.knn(vectors.filter("vec_id % 10 = 0"), vectors, 50)
+    rows = R.hybrid(near, texts).drop("rank")
+    ids = near.select(F.explode(F.array("query_id", "vec_id")).alias("id")).distinct()  # only candidates are scanned
+    signed = codes(spark, d).join(ids, "id", "left_semi").repartition("id").withColumn("s", G.signature_of("code")).select("id", "s")
     rows = rows.join(signed.select(F.col("id").alias("query_id"), F.col("s").alias("q")), "query_id").join(signed.select(F.col("id").alias("vec_id"), F.col("s").alias("c")), "vec_id")
     rows = rows.withColumn("final", F.round(F.lit(0.3) * F.col("score") + F.lit(0.7) * G.signature_similarity("q", "c"), 4))
     rows = R.rerank(rows, "final", "l2_rank").withColumn("families", F.col("c.sink_categories")).withColumn("query_families", F.col("q.sink_categories"))
@@ -145,7 +147,8 @@ def _specs(spark, d):
     kind = lambda x: F.when(x.startswith("#"), "Directive").when(x.contains("if ("), "IfStatement").when(x.rlike(r"\w\("), "CallExpression").otherwise("Statement")
     nodes = F.transform(lines, lambda x, i: F.struct(i.cast("string").alias("id"), kind(x).alias("type"), x.alias("code")))
     edges = F.transform(F.sequence(F.lit(1), F.size("nodes") - 1), lambda i: F.struct((i - 1).cast("string").alias("start"), i.cast("string").alias("end"), F.lit("REACHES").alias("type")))
-    rows = rows.withColumn("nodes", nodes).join(near, "id", "left")
+    # A number of partitions, so that adaptive execution doesn't gather small rows that cost much to render.
+    rows = rows.withColumn("nodes", nodes).join(near, "id", "left").repartition(2 * spark.sparkContext.defaultParallelism, "id")
     pair = F.when(F.col("d2").isNotNull() & F.col("d3").isNotNull(), F.array(F.when(F.col("d2.target") == 1, F.col("d2")).otherwise(F.col("d3")), F.when(F.col("d2.target") == 1, F.col("d3")).otherwise(F.col("d2"))))
     text = F.when(F.col("id") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("Only the Vulnerable one is unsafe at line "), F.size("nodes").cast("string")))
     return rows.select("id", F.col("code").alias("query_code"), "nodes", edges.alias("edges"), F.array_compact(F.array("d1")).alias("demonstrations"), F.coalesce(pair, F.slice(F.array("d2"), 1, 0)).alias("demonstrations_pair"), text.alias("security_difference"), F.concat(F.lit("Sink memcpy (buffer_write) in "), F.substring_index("code", "(", 1)).alias("h2_evidence"), F.col("d4").alias("donor"))
