@@ -246,11 +246,12 @@ def graph_text(nodes: Column, edges: Column) -> Column:
 def fitting_nodes(nodes: Column, edges: Column, budget_chars: int) -> Column:
     """How many first nodes, with the edges among them, a text of ``budget_chars`` holds; at least 1.
 
-    Lengths of lines are taken once. An edge comes with the later of its ends; no line of a node is shorter than 10
-    characters, so only so many prefixes are tried.
+    Lengths of lines are taken once, and the length of a text grows with its nodes, so the count is found by halving. An
+    edge comes with the later of its ends; no line of a node is shorter than 10 characters, so no more nodes than that fit.
     """
+    nodes = F.slice(nodes, 1, budget_chars // 10 + 1)
     ids = F.transform(nodes, lambda n: n["id"])
-    comes = F.transform(edges, lambda e: F.struct(F.greatest(F.array_position(ids, e["start"]), F.array_position(ids, e["end"])).alias("at"), F.least(F.array_position(ids, e["start"]), F.array_position(ids, e["end"])).alias("first")))
+    ends = F.transform(edges, lambda e: F.struct(F.array_position(ids, e["start"]).alias("a"), F.array_position(ids, e["end"]).alias("b"), F.char_length(F.concat(e["start"], e["type"], e["end"])).alias("size")))
     total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
 
     def count(sizes):
@@ -260,10 +261,18 @@ def fitting_nodes(nodes: Column, edges: Column, budget_chars: int) -> Column:
             inside = F.filter(e_lines, lambda e: e["at"] <= k)
             return F.lit(len(NODE_HEAD) + len(EDGE_HEAD) + 2) + total(F.slice(n_lines, F.lit(1), k)) + F.when(F.size(inside) == 0, len(NO_EDGES)).otherwise(total(F.transform(inside, lambda e: e["size"])) - 1)
 
-        most = F.least(F.size(n_lines), F.lit(budget_chars // 10 + 1))
-        return F.greatest(F.size(F.filter(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda k: length(k) <= budget_chars)), F.lit(1))
+        most = F.greatest(F.size(n_lines), F.lit(1))
+        steps = F.sequence(F.lit(1), F.lit((budget_chars // 10 + 1).bit_length() + 1))
 
-    both = F.filter(F.zip_with(comes, edge_lines(edges), lambda c, x: F.struct(c["at"].alias("at"), c["first"].alias("first"), (F.char_length(x) + 1).alias("size"))), lambda e: e["first"] > 0)
+        def halve(x, _):
+            mid = F.floor((x["lo"] + x["hi"] + 1) / 2).cast("int")
+            fits = length(mid) <= budget_chars
+            return F.struct(F.when(fits, mid).otherwise(x["lo"]).alias("lo"), F.when(fits, x["hi"]).otherwise(F.greatest(mid - 1, x["lo"])).alias("hi"))
+
+        return F.aggregate(steps, F.struct(F.lit(1).alias("lo"), most.alias("hi")), halve)["lo"]
+
+    inside = F.filter(ends, lambda e: (e["a"] > 0) & (e["b"] > 0))
+    both = F.transform(inside, lambda e: F.struct(F.greatest(e["a"], e["b"]).alias("at"), (e["size"] + len("Edge: Node  ->  -> Node ") + 1).alias("size")))
     sizes = F.struct(F.transform(node_lines(nodes), lambda x: F.char_length(x) + 1).alias("nodes"), both.alias("edges"))
     # Bound by a lambda, the lengths are made once and not for each prefix.
     return F.element_at(F.transform(F.array(sizes), count), 1)
