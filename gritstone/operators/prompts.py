@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gritstone.functions import text as T
 
-from .tables import ContractError, fitting_nodes, graph_prefix, graph_text
+from .tables import ContractError, fitting_nodes, graph_prefix, graph_text, inside
 
 #: Arm to graph, demo, label, diff and order policies (fixed values).
 ARMS = {
@@ -54,9 +54,7 @@ def graph_texts(prefix: tuple[int, int] = (25, 25)) -> dict[str, Column]:
     first = graph_prefix(F.col("nodes"), F.col("edges"), *prefix)
     far = graph_prefix(F.reverse("nodes"), F.col("edges"), *prefix)
     fit = F.slice("nodes", F.lit(1), F.col("_fit"))
-    ids = F.transform(fit, lambda x: x["id"])
-    inside = F.filter("edges", lambda e: F.array_contains(ids, e["start"]) & F.array_contains(ids, e["end"]))
-    return {"prefix": shown(*first), "fill": shown(fit, inside), "shuffle": shown(*far), "h2": T.fit_tokens(F.coalesce("h2_evidence", F.lit("")), BUDGET["graph"])}
+    return {"prefix": shown(*first), "fill": shown(fit, inside(fit, F.col("edges"))), "shuffle": shown(*far), "h2": T.fit_tokens(F.coalesce("h2_evidence", F.lit("")), BUDGET["graph"])}
 
 
 def graph_block() -> Column:

@@ -210,11 +210,16 @@ def adjudicate(first: DataFrame, second: DataFrame, full: DataFrame, revised: Da
     return both.select("id", "first_choice", "second_choice", choice.alias("choice"), (choice != F.col("first_choice")).alias("changed"), (F.col("first_choice") == F.col("second_choice")).alias("agreed"))
 
 
+def inside(nodes: Column, edges: Column) -> Column:
+    """Edges whose ends are both among nodes. Bound by a lambda, the ids are listed once and not for each edge."""
+    ids = F.array(F.transform(nodes, lambda x: x["id"]))
+    return F.element_at(F.transform(ids, lambda own: F.filter(edges, lambda e: F.array_contains(own, e["start"]) & F.array_contains(own, e["end"]))), 1)
+
+
 def graph_prefix(nodes: Column, edges: Column, n: int, m: int) -> tuple[Column, Column]:
     """First n nodes, then the first m edges whose ends are both kept."""
     kept = F.slice(nodes, 1, n)
-    ids = F.transform(kept, lambda x: x["id"])
-    return kept, F.slice(F.filter(edges, lambda e: F.array_contains(ids, e["start"]) & F.array_contains(ids, e["end"])), 1, m)
+    return kept, F.slice(inside(kept, edges), 1, m)
 
 
 # Heads of the two parts of a graph's text, and what stands for an empty part.
@@ -250,29 +255,30 @@ def fitting_nodes(nodes: Column, edges: Column, budget_chars: int) -> Column:
     edge comes with the later of its ends; no line of a node is shorter than 10 characters, so no more nodes than that fit.
     """
     nodes = F.slice(nodes, 1, budget_chars // 10 + 1)
-    ids = F.transform(nodes, lambda n: n["id"])
-    ends = F.transform(edges, lambda e: F.struct(F.array_position(ids, e["start"]).alias("a"), F.array_position(ids, e["end"]).alias("b"), F.char_length(F.concat(e["start"], e["type"], e["end"])).alias("size")))
+    ends = lambda ids, e: F.struct(F.array_position(ids, e["start"]).alias("a"), F.array_position(ids, e["end"]).alias("b"), F.char_length(F.concat(e["start"], e["type"], e["end"])).alias("size"))
+    found = F.element_at(F.transform(F.array(F.transform(nodes, lambda n: n["id"])), lambda ids: F.transform(edges, lambda e: ends(ids, e))), 1)
     total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
 
     def count(sizes):
         n_lines, e_lines = sizes["nodes"], sizes["edges"]
 
         def length(k):
-            inside = F.filter(e_lines, lambda e: e["at"] <= k)
-            return F.lit(len(NODE_HEAD) + len(EDGE_HEAD) + 2) + total(F.slice(n_lines, F.lit(1), k)) + F.when(F.size(inside) == 0, len(NO_EDGES)).otherwise(total(F.transform(inside, lambda e: e["size"])) - 1)
+            near = F.aggregate(e_lines, F.lit(0), lambda a, e: a + F.when(e["at"] <= k, e["size"]).otherwise(0))
+            return F.lit(len(NODE_HEAD) + len(EDGE_HEAD) + 2) + total(F.slice(n_lines, F.lit(1), k)) + F.when(near == 0, len(NO_EDGES)).otherwise(near - 1)
 
         most = F.greatest(F.size(n_lines), F.lit(1))
         steps = F.sequence(F.lit(1), F.lit((budget_chars // 10 + 1).bit_length() + 1))
 
         def halve(x, _):
-            mid = F.floor((x["lo"] + x["hi"] + 1) / 2).cast("int")
-            fits = length(mid) <= budget_chars
-            return F.struct(F.when(fits, mid).otherwise(x["lo"]).alias("lo"), F.when(fits, x["hi"]).otherwise(F.greatest(mid - 1, x["lo"])).alias("hi"))
+            def side(mid):
+                fits = F.array(length(mid) <= budget_chars)
+                return F.element_at(F.transform(fits, lambda f: F.struct(F.when(f, mid).otherwise(x["lo"]).alias("lo"), F.when(f, x["hi"]).otherwise(F.greatest(mid - 1, x["lo"])).alias("hi"))), 1)
+
+            return F.element_at(F.transform(F.array(F.floor((x["lo"] + x["hi"] + 1) / 2).cast("int")), side), 1)
 
         return F.aggregate(steps, F.struct(F.lit(1).alias("lo"), most.alias("hi")), halve)["lo"]
 
-    inside = F.filter(ends, lambda e: (e["a"] > 0) & (e["b"] > 0))
-    both = F.transform(inside, lambda e: F.struct(F.greatest(e["a"], e["b"]).alias("at"), (e["size"] + len("Edge: Node  ->  -> Node ") + 1).alias("size")))
+    both = F.transform(F.filter(found, lambda e: (e["a"] > 0) & (e["b"] > 0)), lambda e: F.struct(F.greatest(e["a"], e["b"]).alias("at"), (e["size"] + len("Edge: Node  ->  -> Node ") + 1).alias("size")))
     sizes = F.struct(F.transform(node_lines(nodes), lambda x: F.char_length(x) + 1).alias("nodes"), both.alias("edges"))
     # Bound by a lambda, the lengths are made once and not for each prefix.
     return F.element_at(F.transform(F.array(sizes), count), 1)

@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gritstone.functions import evidence as E
-from gritstone.queries import catalog
+from gritstone.queries import analysis, catalog
 from gritstone.queries._code import code_of
 
 
@@ -50,3 +50,21 @@ def test_signatures_are_made_once_for_both_sides(spark, tmp_path):
         assert df.collect()
         assert df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("TableCacheQueryStage") == 2, name
     spark.catalog.clearCache()
+
+
+def _texts(spark, tmp_path, ids):
+    rows = [(k, "if a b memcpy c d " * (k % 7 + 1) + f"w{k}") for k in ids]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_specs_move_a_function_without_joins(spark, tmp_path):
+    ids = [-5, -4, -2, 0, 1, 3, 254, 255, 256, 257, 258, 260, 262, 511, 516]
+    df = analysis._specs(spark, _texts(spark, tmp_path, ids))
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.id: r for r in df.collect()}
+    uid = lambda k: f"u{k}" if k in ids else None
+    assert sorted(got) == ids
+    for k, r in got.items():
+        assert [d.function_uid for d in r.demonstrations] == ([uid(k + 1)] if uid(k + 1) else []) and (r.donor and r.donor.function_uid) == uid(k + 4)
+        assert {d.function_uid for d in r.demonstrations_pair} == ({uid(k + 2), uid(k + 3)} if uid(k + 2) and uid(k + 3) else set())
