@@ -7,6 +7,7 @@ crossed with the small table of arms and every block is a CASE of the arm's poli
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,8 +103,9 @@ def render(specs: DataFrame, arms: dict | None = None) -> DataFrame:
 
 
 def changed_blocks(rendered: DataFrame, a: str, b: str) -> DataFrame:
-    """id and the names of blocks in which arms a and b differ."""
-    side = lambda arm, n: rendered.filter(F.col("arm") == arm).select("id", *[F.col(f"{x}_block").alias(f"{n}_{x}") for x in BLOCKS])
+    """id and the names of blocks in which arms a and b differ. Only hashes of blocks are joined, and made once for both arms."""
+    marks = rendered.filter(F.col("arm").isin(a, b)).select("id", "arm", *[F.sha2(f"{x}_block", 256).alias(x) for x in BLOCKS]).persist(StorageLevel.DISK_ONLY)
+    side = lambda arm, n: marks.filter(F.col("arm") == arm).select("id", *[F.col(x).alias(f"{n}_{x}") for x in BLOCKS])
     differs = [F.when(~F.col(f"l_{x}").eqNullSafe(F.col(f"r_{x}")), F.lit(x)) for x in BLOCKS]
     return side(a, "l").join(side(b, "r"), "id").select("id", F.array_compact(F.array(*differs)).alias("changed"))
 

@@ -5,6 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gritstone.functions import evidence as E
+from gritstone.functions import text as T
 from gritstone.queries import analysis, catalog
 from gritstone.queries._code import code_of
 
@@ -68,3 +69,18 @@ def test_specs_move_a_function_without_joins(spark, tmp_path):
     for k, r in got.items():
         assert [d.function_uid for d in r.demonstrations] == ([uid(k + 1)] if uid(k + 1) else []) and (r.donor and r.donor.function_uid) == uid(k + 4)
         assert {d.function_uid for d in r.demonstrations_pair} == ({uid(k + 2), uid(k + 3)} if uid(k + 2) and uid(k + 3) else set())
+
+
+def test_leaks_are_found_where_a_word_of_a_leak_is(spark):
+    said = [("a LABEL \n: 1", True), ("labelled", False), ("Ground - Truth", True), ("the target is non-vulnerable", True), ("the target is safe", False), ("none", False), (None, None)]
+    assert [r[0] for r in spark.createDataFrame(said, "p string, want boolean").select(T.leaks("p")).collect()] == [w for _, w in said]
+
+
+def test_plans_and_arms_join_hashes_not_prompts(spark, tmp_path):
+    d = _texts(spark, tmp_path, range(30))
+    for name, n in (("arm_block_changes", 2), ("payload_plan_violations", 1)):
+        df = catalog.QUERIES[name](spark, d)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("InMemoryRelation") >= n, name
+        assert df.collect()
+    spark.catalog.clearCache()
