@@ -10,6 +10,7 @@ and security_difference; missing or empty parts show as the fixed texts for none
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -160,8 +161,8 @@ def _demo_text(version: str) -> Column:
     return F.array_join(F.transform(ordered, text), "\n\n")
 
 
-def render_controls(specs: DataFrame, version: str = "v1") -> DataFrame:
-    """id, condition, problem, prompt, target_sha256, rendered_nodes, rendered_edges and displayed labels of each spec and control.
+def render_controls(specs: DataFrame, version: str = "v1", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, condition, problem, prompt, target_sha256, rendered_nodes, rendered_edges and the columns to keep of each spec and control.
 
     A spec that holds a label is refused; one that a control doesn't fit has a problem and no prompt.
     """
@@ -185,7 +186,7 @@ def render_controls(specs: DataFrame, version: str = "v1") -> DataFrame:
         turned = lambda c: F.when(condition == "graph_shuffled", F.reverse(c)).otherwise(F.col(c))
         text = F.concat_ws("\n\n", code, F.lit(FIGURE_TASK), F.when(drawn, graph_section(turned("_nodes"), turned("_edges"), "code snippet")), _demo_text(version), clues, F.lit(FIGURE_ANSWER))
     count = lambda c: F.when(drawn, F.size(c)).otherwise(0)
-    return rows.select("id", "condition", "problem", F.when(F.col("problem").isNull(), text).alias("prompt"), F.sha2(T.layout("query_code"), 256).alias("target_sha256"), count("_nodes").alias("rendered_nodes"), count("_edges").alias("rendered_edges"))
+    return rows.select("id", "condition", "problem", F.when(F.col("problem").isNull(), text).alias("prompt"), F.sha2(T.layout("query_code"), 256).alias("target_sha256"), count("_nodes").alias("rendered_nodes"), count("_edges").alias("rendered_edges"), *keep)
 
 
 def plan_violations(items: DataFrame, specs: DataFrame, version: str = "v1", reserve: int = 64, limit: int = 8192) -> DataFrame:
@@ -195,12 +196,14 @@ def plan_violations(items: DataFrame, specs: DataFrame, version: str = "v1", res
     render_controls, with arm; one for each id and arm.
     """
     key = F.concat_ws("\x1f", F.col("id").cast("string"), "arm")
-    rendered = render_controls(specs.withColumn("id", key), version).select(F.col("id").alias("_key"), "condition", F.col("prompt").alias("_prompt"), F.col("target_sha256").alias("_sha"), "problem")
+    rendered = render_controls(specs.withColumn("id", key), version).select(F.col("id").alias("_key"), "condition", F.sha2("prompt", 256).alias("_prompt"), F.col("target_sha256").alias("_sha"), "problem")
     known = specs.select(key.alias("_key"), F.transform("demonstrations", lambda d: d["function_uid"]).alias("_uids"))
-    rows = items.withColumn("_key", key).join(rendered, ["_key", "condition"], "left").join(known, "_key", "left")
+    # Hashes and token counts stand for prompts, so that no shuffle moves a prompt; two branches read them.
+    items = items.withColumns({"_key": key, "_need": T.approx_tokens("prompt"), "prompt": F.sha2("prompt", 256)}).persist(StorageLevel.DISK_ONLY)
+    rows = items.join(rendered, ["_key", "condition"], "left").join(known, "_key", "left")
     pools = items.groupBy("id").agg(F.countDistinct("candidate_ids").alias("_pools"))
     rows = rows.join(pools, "id", "left")
-    need = T.approx_tokens("prompt")
+    need = F.col("_need")
     rules = {
         "unknown_control_or_spec": F.col("_uids").isNull() | (F.col("_prompt").isNull() & F.col("problem").isNull()),
         "control_does_not_fit": F.col("problem").isNotNull(),
