@@ -5,12 +5,13 @@ all characters of a candidate is inferred, and under uniform symbols of that enc
 over blocks of its alphabet, runs above and below its middle, and lag-1 serial correlation; Fisher's method combines them.
 
 A candidate is called random if the battery doesn't reject it at 0.001 and ordinary text rarely looks as random. How often
-it does is learned from decoys: every document gives one, as long as a candidate of some length, of its own ordinary words
-joined without a mark or with one of the alphabet's. A candidate's p-value is the share of decoys of its length class that
-look at least as random, and within each class, since short ones give weak tests, the Benjamini-Hochberg procedure over
-all candidates of the corpus bounds the false discoveries among those flagged by 0.05. Both tallies are histograms of
-fixed size. With few documents no share is small enough, and base spans alone remain. What is flagged and doesn't overlap
-a base span is a span of kind random.
+it does is learned from decoys, which are made of all ordinary words of all texts: for each length class a document's
+words, in order, are joined without a mark, and again with one of the alphabet's marks in turn, and cut into pieces of the
+class's least length; only what is left at the end, shorter than that, makes none. A candidate's p-value is the share of
+decoys of its length class that look at least as random, and within each class, since short ones give weak tests, the
+Benjamini-Hochberg procedure over all candidates of the corpus bounds the false discoveries among those flagged by 0.05.
+Both tallies are histograms of fixed size. With few words no share is small enough, and base spans alone remain. What is
+flagged and doesn't overlap a base span is a span of kind random.
 
 Spans are whole matches in code points, end exclusive. Cases: a null text is empty; rows are scanned each, whatever
 their id; an empty table gives no rows. Extra columns are ignored.
@@ -22,7 +23,6 @@ import hashlib
 import math
 import re
 import string
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _words as W
 from ._shared import Scratch, small_batches, table
 
 #: Kinds in their order, patterns, the group whose length counts, and its least length. Fixed values.
@@ -45,10 +46,11 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 #: Length classes by their least lengths, the rate, the battery's level, and the histogram of -log10 p in tenths, up to 30.
 CLASSES = (20, 24, 32, 40, 64, 128)
 RATE, LEVEL = 0.05, 0.001
-#: Words of decoys, and what may join them.
-ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{1,19}(?![A-Za-z0-9+/_=-])"
-JOINTS = ("", "-", "_", "/")
+#: Most letters of a decoy's words, and what joins them; None is one of the marks in turn.
+ORDINARY, JOINTS, MARKS = 19, (b"", None), b"-_/"
 BINS, PER_DECADE = 301, 10
+#: Decoys tested at once.
+PIECES = 4096
 
 
 def _encodings():
@@ -115,19 +117,90 @@ def _bin(p: float) -> int:
     return min(BINS - 1, int(-math.log10(max(p, 1e-300)) * PER_DECADE))
 
 
-def decoy(text: str) -> tuple[int, int] | None:
-    """Length class and bin of a document's decoy: words from a place drawn by hash, joined and cut to a class's least length.
+def bins_of(tokens: np.ndarray) -> np.ndarray:
+    """_bin(p_random(token)) of tokens of one length without a trailing =, each a column of bytes of (length, tokens)."""
+    n, count = tokens.shape
+    holds = np.zeros(256, np.uint8)
+    for k, (alphabet, _) in enumerate(_encodings()):
+        holds[np.frombuffer(alphabet.encode(), np.uint8)] |= 1 << k
+    held = np.bitwise_and.reduce(holds[tokens], axis=0)
+    out = np.zeros(count, np.int64)
+    for k, (alphabet, blocks) in enumerate(_encodings()):
+        mine = np.flatnonzero(held & ((2 << k) - 1) == 1 << k)
+        if not len(mine):
+            continue
+        chars = tokens if len(mine) == count else tokens[:, mine]
+        size, df = len(alphabet), len(blocks) - 1
+        twice, block = np.zeros(256, np.int16), np.zeros(256, np.uint64)
+        for i, c in enumerate(alphabet.encode()):
+            twice[c] = 2 * i - (size - 1)
+        for i, b in enumerate(blocks):  # counts of blocks side by side in one number, 12 bits each
+            block[np.frombuffer(b.encode(), np.uint8)] = 1 << 12 * i
+        sums, chi = block[chars].sum(axis=0, dtype=np.uint64), np.zeros(len(mine))
+        for i, b in enumerate(blocks):
+            e = n * len(b) / size
+            chi += ((sums >> np.uint64(12 * i) & np.uint64(4095)).astype(np.float64) - e) ** 2 / e
+        x = twice[chars]
+        high = x > 0
+        runs = 1 + (high[1:] != high[:-1]).sum(axis=0)
+        z_runs = (runs - (n + 1) / 2) / math.sqrt((n - 1) / 4)
+        z_serial = np.einsum("ij,ij->j", x[1:], x[:-1], dtype=np.int64) / 4 / ((size * size - 1) / 12) / math.sqrt(n - 1)
+        tails = [np.fromiter(map(math.erfc, (abs(z) / math.sqrt(2)).tolist()), np.float64, len(mine)) for z in (z_runs, z_serial)]
+        first = np.exp(-chi / 2) * (1 + chi / 2) if df == 4 else np.array([chi2_tail(v, df) for v in chi.tolist()])
+        half = -sum(np.log(np.maximum(p, 1e-300)) for p in (first, *tails))
+        p = np.minimum(1, np.exp(-half) * (1 + half + half * half / 2))
+        out[mine] = np.minimum(BINS - 1, (-np.log10(np.maximum(p, 1e-300)) * PER_DECADE).astype(np.int64))
+    return out
 
-    Texts too short for the class drawn give one of the longest class they fill, or none.
-    """
-    draw = zlib.crc32(text.encode("utf-8", "surrogatepass"))
-    k, joint = draw % len(CLASSES), JOINTS[draw // len(CLASSES) % len(JOINTS)]
-    room = 4 * CLASSES[k]
-    at = draw % max(1, len(text) - room)
-    joined = joint.join(re.findall(ORDINARY, text[at : at + room]))
-    while k >= 0 and len(joined) < CLASSES[k]:
-        k -= 1
-    return None if k < 0 else (k, _bin(p_random(joined[: CLASSES[k]])))
+
+def _ordinary(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of ordinary words (runs of a candidate's characters that are up to ORDINARY letters), their lengths and texts."""
+    kinds = np.zeros(256, np.int8)
+    kinds[list(b"0123456789+/_=-")] = 2
+    kinds[list(string.ascii_letters.encode())] = 1
+    kind = kinds[values]
+    inside = np.zeros(len(kind) + 1, bool)
+    inside[:-1] = kind > 0
+    begins, ends = inside.copy(), ~inside
+    begins[1:] &= ~inside[:-1]
+    ends[1:] &= inside[:-1]
+    ends[0] = False
+    edge = offsets[1:-1]  # a run ends where its text does
+    edge = np.unique(edge[(edge > 0) & (edge < len(kind))])
+    cut = edge[inside[edge] & inside[edge - 1]]
+    begins[cut] = ends[cut] = True
+    begins, ends = np.flatnonzero(begins), np.flatnonzero(ends)
+    other = np.concatenate([[0], np.cumsum(kind == 2)])
+    ok = (other[begins] == other[ends]) & (ends - begins <= ORDINARY)
+    begins, ends = begins[ok], ends[ok]
+    lengths = ends - begins
+    at = np.arange(lengths.sum()) + np.repeat(begins - np.cumsum(lengths) + lengths, lengths)
+    return values[at], lengths, np.searchsorted(offsets, begins, side="right") - 1
+
+
+def decoys(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many decoys of the texts values[offsets[i]:offsets[i+1]] are in each length class and bin."""
+    total = np.zeros((len(CLASSES), BINS), np.int64)
+    letters, lengths, of = _ordinary(values, offsets)
+    if not len(lengths):
+        return total
+    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    last = np.concatenate([first[1:], [len(of)]]) - 1
+    for joint in JOINTS:
+        gap = 0 if joint is not None else 1
+        start = np.cumsum(lengths) - lengths + gap * np.arange(len(lengths))
+        joined = np.zeros(int(start[-1] + lengths[-1]), np.uint8)
+        joined[np.arange(len(letters)) + np.repeat(gap * np.arange(len(lengths)), lengths)] = letters
+        size = start[last] + lengths[last] - start[first]
+        for k, n in enumerate(CLASSES):
+            pieces = size // n
+            place = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            begin = np.repeat(start[first], pieces) + place * n
+            for a in range(0, len(begin), PIECES):
+                tokens = joined[np.arange(n)[:, None] + begin[None, a : a + PIECES]]
+                marks = np.frombuffer(MARKS, np.uint8)[place[a : a + PIECES] % len(MARKS)]
+                total[k] += np.bincount(bins_of(np.where(tokens == 0, marks, tokens)), minlength=BINS)
+    return total
 
 
 def _scan(batches):
@@ -142,9 +215,14 @@ def _scan(batches):
             if hints[3, i]:
                 for m in re.finditer(CANDIDATE, text):
                     loose[i] += [m.start(), m.end(), _class(m.end() - m.start()), _bin(p_random(m[0]))]
-        decoys = [decoy(t) for t in texts.to_pylist()]
-        cells = pa.array([None if x is None else x[0] * BINS + x[1] for x in decoys], pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, span), pa.array(loose, span), cells], ["doc_id", "base", "loose", "decoy"])
+        values, offsets = W.utf8(batch.column(1))
+        total = np.zeros(len(CLASSES) * BINS, np.int64)
+        for a, b in W.pieces(offsets):
+            total += decoys(values[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]).ravel()
+        cells = np.flatnonzero(total)
+        # The tally of a batch is kept in its first row: cell, count and so on.
+        tallies = pa.array([np.column_stack([cells, total[cells]]).ravel().tolist(), *[None] * (len(texts) - 1)][: len(texts)], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, span), pa.array(loose, span), tallies], ["doc_id", "base", "loose", "decoys"])
 
 
 def limits(candidates: dict[tuple[int, int], int], decoys: dict[tuple[int, int], int], rate: float = RATE, level: float = LEVEL) -> list[int]:
@@ -170,18 +248,19 @@ def scan(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     scratch = Scratch(spark, "secrets")
     kind = dict(docs.dtypes)["doc_id"]
-    found = scratch.save(docs.select("doc_id", "text").mapInArrow(_scan, f"doc_id {kind}, base array<int>, loose array<int>, decoy int"), "found")
+    found = scratch.save(docs.select("doc_id", "text").mapInArrow(_scan, f"doc_id {kind}, base array<int>, loose array<int>, decoys array<long>"), "found")
 
     def tally(batches):
         total = np.zeros((2, len(CLASSES) * BINS), np.int64)
         for batch in batches:
             x = batch.column(0).flatten().to_numpy().reshape(-1, 4)
             total[0] += np.bincount(x[:, 2] * BINS + x[:, 3], minlength=total.shape[1])
-            total[1] += np.bincount(batch.column(1).drop_null().to_numpy(), minlength=total.shape[1])
+            cells = batch.column(1).flatten().to_numpy().reshape(-1, 2)
+            np.add.at(total[1], cells[:, 0], cells[:, 1])
         which, at = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(at), pa.array(total[which, at])], ["which", "at", "n"])
 
-    counts = found.select("loose", "decoy").mapInArrow(tally, "which long, at long, n long").groupBy("which", "at").agg(F.sum("n").alias("n")).collect()
+    counts = found.select("loose", "decoys").mapInArrow(tally, "which long, at long, n long").groupBy("which", "at").agg(F.sum("n").alias("n")).collect()
     flagged = limits(*({divmod(r["at"], BINS): r["n"] for r in counts if r["which"] == k} for k in (0, 1)))
     names = [k[0] for k in KINDS] + [RANDOM]
 

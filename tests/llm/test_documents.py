@@ -6,9 +6,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from gritstone.llm import _words as W
 from gritstone.llm import audio, decontaminate, language_id, mixing, near_duplicates, quality, repeats, secrets, token_files
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -432,6 +434,23 @@ def test_randomness_tests_are_calibrated():
     assert secrets.chi2_tail(3.841459, 1) == pytest.approx(0.05, abs=1e-6) and secrets.chi2_tail(7.814728, 3) == pytest.approx(0.05, abs=1e-6) and secrets.chi2_tail(12.591587, 6) == pytest.approx(0.05, abs=1e-6)
 
 
+def test_decoys_are_made_of_all_ordinary_words():
+    texts = ["é one two-three four_ five, " + "a" * 20 + " " + "b" * 19 + " six", "", "seven eight " * 40, "x9 nine", "ten", "eleven twelve THIRTEEN " * 9 + "DECADE feed", None]
+    want = np.zeros((len(secrets.CLASSES), secrets.BINS), int)
+    for text in texts:
+        words = re.findall(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{1,19}(?![A-Za-z0-9+/_=-])", text or "")
+        for k, n in enumerate(secrets.CLASSES):
+            for joined in ("".join(words), "\0".join(words)):
+                for i in range(len(joined) // n):
+                    want[k, secrets._bin(secrets.p_random(joined[i * n : (i + 1) * n].replace("\0", "-_/"[i % 3])))] += 1
+    values, offsets = W.utf8(pa.array(texts))
+    assert want.sum() > 100 and (secrets.decoys(values, offsets) == want).all() and not secrets.decoys(values[:0], np.zeros(1, np.int64)).any()
+    rng = np.random.default_rng(5)
+    for alphabet, _ in secrets._encodings():
+        tokens = ["".join(rng.choice(list(alphabet), 24)) for _ in range(40)]
+        assert secrets.bins_of(np.array([list(t.encode()) for t in tokens], np.uint8).T).tolist() == [secrets._bin(secrets.p_random(t)) for t in tokens]
+
+
 def test_audio(spark, docs, rows, hard, empty):
     rng = np.random.default_rng(3)
     tune = (128 + 50 * np.sin(2 * np.pi * np.repeat(rng.choice([220, 262, 330, 392, 440, 523], 60), 400) * np.arange(24_000) / 8000)).astype(np.uint8)
