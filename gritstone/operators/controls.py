@@ -75,52 +75,72 @@ def _omitted(lines: Column, n: Column, cap: int, what: str, empty: str) -> Colum
     return F.when(n == 0, empty).otherwise(F.concat(F.array_join(lines, "\n"), more))
 
 
-def graph_section(nodes: Column, edges: Column, thing: str = "function", cap: int = 25) -> Column:
-    """Both parts under their heads, with what the caps leave out counted."""
-    shown = _omitted(node_lines(F.slice(nodes, 1, cap)), F.size(nodes), cap, "nodes", NO_NODES)
-    links = _omitted(edge_lines(F.slice(edges, 1, cap)), F.size(edges), cap, "edges", NO_EDGES)
+def graph_parts(nodes: Column, edges: Column, cap: int = 25, n_nodes: Column | None = None, n_edges: Column | None = None) -> tuple[Column, Column]:
+    """The texts of nodes and edges, with what the caps leave out counted; counts may be given where not all are in the arrays."""
+    n_nodes, n_edges = (F.size(x) if n is None else n for x, n in ((nodes, n_nodes), (edges, n_edges)))
+    return _omitted(node_lines(F.slice(nodes, 1, cap)), n_nodes, cap, "nodes", NO_NODES), _omitted(edge_lines(F.slice(edges, 1, cap)), n_edges, cap, "edges", NO_EDGES)
+
+
+def graph_heads(shown: Column, links: Column, thing: str = "function") -> Column:
     return F.concat(F.lit(f"The node information of the {thing} is as follows:\n"), shown, F.lit(f"\n\nThe edge information of the {thing} is as follows:\n"), links)
 
 
+def graph_section(nodes: Column, edges: Column, thing: str = "function", cap: int = 25) -> Column:
+    """Both parts under their heads."""
+    return graph_heads(*graph_parts(nodes, edges, cap), thing)
+
+
 def _words(target: Column, digits: bool = False) -> Column:
     yes, no = ("Vulnerable (1)", "Non-vulnerable (0)") if digits else ("Vulnerable", "Non-vulnerable")
     return F.when(target == 1, yes).otherwise(no)
 
 
 def _pair(inverted: bool, difference: bool) -> Column:
-    side_of = lambda k: F.get(F.filter("demonstrations", lambda d: d["target"] == k), F.lit(0))
     sides = {1: ("VULNERABLE REFERENCE", "Vulnerable (1)", "Vulnerable"), 0: ("SAFE / NON-VULNERABLE REFERENCE", "Non-vulnerable (0)", "Safe")}
     order = (0, 1) if inverted else (1, 0)
     parts = [F.lit(PAIR_HEAD.format(*(sides[k][2] for k in order)))]
     for place, k in enumerate(order, start=1):
-        parts += [F.lit(f"--- EXAMPLE {place} ({sides[k][0]}) ---\n"), cut(side_of(k)["func"], CAPS["contrastive_demo"], CONTEXT_CUT), F.lit(f"\nLabel: {sides[k][1]}" + ("\n\n" if place == 1 else ""))]
+        parts += [F.lit(f"--- EXAMPLE {place} ({sides[k][0]}) ---\n"), F.col(f"_side{k}"), F.lit(f"\nLabel: {sides[k][1]}" + ("\n\n" if place == 1 else ""))]
     if difference:
         parts.append(F.when(F.coalesce("security_difference", F.lit("")) != "", F.concat(F.lit(PAIR_DIFFERENCE), "security_difference")).otherwise(""))
     return F.concat(*parts, F.lit(RULE))
 
 
+def sections(samples: DataFrame) -> DataFrame:
+    """id, security_difference and what the modes' prompts share, made once for each sample."""
+    count = {f"n_{x}": F.col(f"n_{x}") for x in ("nodes", "edges") if f"n_{x}" in samples.columns}
+    shown, links = graph_parts(F.col("nodes"), F.col("edges"), 25, *(count.get(f"n_{x}") for x in ("nodes", "edges")))
+    first, side_of = F.get("demonstrations", F.lit(0)), lambda k: F.get(F.filter("demonstrations", lambda d: d["target"] == k), F.lit(0))
+    made = {"_nodes": shown, "_edges": links, "_code": F.trim("query_code"), "_func": F.trim(first["func"]), "_target": first["target"]}
+    made |= {f"_side{k}": cut(side_of(k)["func"], CAPS["contrastive_demo"], CONTEXT_CUT) for k in (0, 1)}
+    made["_both"] = F.exists("demonstrations", lambda d: d["target"] == 1) & F.exists("demonstrations", lambda d: d["target"] == 0)
+    return samples.select("id", "security_difference", *[c.alias(k) for k, c in made.items()])
+
+
 def prompt(mode: str) -> Column:
-    """The prompt of one of MODES. A pair that lacks a side falls back to the legacy layout with one demonstration."""
+    """The prompt of one of MODES, of sections. A pair that lacks a side falls back to the legacy layout with one demonstration."""
     layout, with_demo, inverted, difference = MODES[mode]
-    first = F.get("demonstrations", F.lit(0))
-    query = F.concat(F.lit(QUERY_HEAD), cut(F.col("query_code"), CAPS["target"], MEMORY_CUT), F.lit(QUERY_GRAPH), graph_section(F.col("nodes"), F.col("edges")))
-    demo = F.concat(F.lit(DEMO_HEAD), cut(first["func"], CAPS["demo"], CONTEXT_CUT), F.lit(DEMO_LABEL), _words(first["target"], True), F.lit(RULE))
+    none = F.lit(None).cast("string")
+    code, func, target, graph = F.col("_code"), F.col("_func"), F.col("_target"), lambda thing: graph_heads(F.col("_nodes"), F.col("_edges"), thing)
+    query = F.concat(F.lit(QUERY_HEAD), cut(code, CAPS["target"], MEMORY_CUT), F.lit(QUERY_GRAPH), graph("function"))
+    demo = F.concat(F.lit(DEMO_HEAD), cut(func, CAPS["demo"], CONTEXT_CUT), F.lit(DEMO_LABEL), _words(target, True), F.lit(RULE))
     join = lambda *sections: F.concat_ws("\n\n", *sections)  # noqa: E731  (NULL sections are left out)
-    legacy = join(F.lit(TASK), demo if with_demo else F.lit(None).cast("string"), query, F.lit(OUTPUT.format("")))
+    legacy = join(F.lit(TASK), demo if with_demo else none, query, F.lit(OUTPUT.format("")))
     if layout == "legacy":
         return legacy
     if layout == "pair":
-        both = F.exists("demonstrations", lambda d: d["target"] == 1) & F.exists("demonstrations", lambda d: d["target"] == 0)
-        return F.when(both, join(F.lit(TASK), _pair(inverted, difference), query, F.lit(OUTPUT.format(COMPARING)))).otherwise(legacy)
-    shown = F.concat(F.lit("The following is an example, and it is "), _words(first["target"]), F.lit(".\n"), cut(first["func"], CAPS["demo"]))
-    graph = graph_section(F.col("nodes"), F.col("edges"), "code snippet") if layout == "figure" else F.lit(None).cast("string")
-    return join(cut(F.col("query_code"), CAPS["target"]), F.lit(FIGURE_TASK), graph, shown if with_demo else F.lit(None).cast("string"), F.lit(FIGURE_ANSWER))
+        return F.when(F.col("_both"), join(F.lit(TASK), _pair(inverted, difference), query, F.lit(OUTPUT.format(COMPARING)))).otherwise(legacy)
+    shown = F.concat(F.lit("The following is an example, and it is "), _words(target), F.lit(".\n"), cut(func, CAPS["demo"]))
+    return join(cut(code, CAPS["target"]), F.lit(FIGURE_TASK), graph("code snippet") if layout == "figure" else none, shown if with_demo else none, F.lit(FIGURE_ANSWER))
 
 
 def prompts(samples: DataFrame) -> DataFrame:
-    """id, mode, prompt of every sample under every mode."""
+    """id, mode, prompt of every sample under every mode.
+
+    Samples may hold only the first nodes and edges that a layout shows, with n_nodes and n_edges that count all.
+    """
     made = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), prompt(m).alias("prompt")) for m in MODES]))
-    return samples.select("id", made.alias("_p")).select("id", "_p.mode", "_p.prompt")
+    return sections(samples).select("id", made.alias("_p")).select("id", "_p.mode", "_p.prompt")
 
 
 def _problem(version: str) -> Column:

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from gritstone.functions import evidence as E
 from gritstone.functions import text as T
+from gritstone.operators import controls
 from gritstone.queries import analysis, catalog
-from gritstone.queries._code import code_of, codes
+from gritstone.queries._code import _shown, code_of, codes
 
 
 def test_label_free_ids_beyond_five_digits_equal_sql(spark, tmp_path):
@@ -84,6 +85,24 @@ def test_specs_move_a_function_without_joins(spark, tmp_path):
         assert {d.function_uid for d in r.demonstrations_pair} == ({uid(k + 2), uid(k + 3)} if uid(k + 2) and uid(k + 3) else set())
 
 
+def test_prompt_modes_move_only_what_layouts_show(spark, tmp_path):
+    rows = [(k, " ".join(f"w{k}{i % 9}" for i in range(3 * (k % 90)))) for k in range(180)] + [(200, None), (201, " ")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    path = str(tmp_path)
+    few = analysis._samples(spark, path, controls.CAPS)
+    most = few.agg(F.max(F.char_length("query_code")), F.max(F.size("nodes")), F.max("n_nodes")).first()
+    assert most[0] == 3001 and most[1] == 25 < most[2]
+    every = lambda samples: sorted(map(tuple, controls.prompts(samples).collect()))
+    want = every(analysis._samples(spark, path))
+    assert every(few) == want and len(want) == 182 * 8
+    assert {tuple(r) for r in catalog.QUERIES["prompt_modes"](spark, path).select("id", "mode", "chars").collect()} == {(k, mode, len(p)) for k, mode, p in want}
+
+
+def test_cut_texts_stay_longer_than_their_cap():
+    for text, want in (("ab c", "ab c"), ("abc d", "abc ."), (" abcde ", "abcd."), ("abcd   ", "abcd"), ("", "")):
+        assert _shown(text, 4) == want
+
+
 def test_leaks_are_found_where_a_word_of_a_leak_is(spark):
     said = [("a LABEL \n: 1", True), ("labelled", False), ("Ground - Truth", True), ("the target is non-vulnerable", True), ("the target is safe", False), ("none", False), (None, None)]
     assert [r[0] for r in spark.createDataFrame(said, "p string, want boolean").select(T.leaks("p")).collect()] == [w for _, w in said]
