@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._links import classes_of
+from ._links import components
 from ._shared import Scratch, bitmap, in_bitmap, small_batches, table
 
 U = np.uint64
@@ -53,10 +53,14 @@ STEADY_BITS = (0, 4, 22, 23)
 LARGE = 1 << 18
 #: Bits of both integers that may differ where a key is shared: of the 22 that count and aren't in the key, chance leaves 8.
 MARK_ERRORS = 5
-#: Recordings in a block of the last turn, on each side.
+#: Recordings of a bucket that are held against each other at once.
 BLOCK = 1024
-#: A bucket with so many recordings outside its star's component, or fewer, is settled by their stars.
-STARS = 64
+#: Bits of a key by which keys are counted (equal ones by chance do no harm), and keys that a task sorts at once.
+CELL_BITS, KEYS = 42, 1 << 20
+#: Groups of so many rows or fewer are compared all at once, larger ones row by row.
+SMALL = 32
+#: Rows, and bytes, of whole groups worked on at once, and integers compared at once.
+ROWS, BYTES, INTEGERS = 20_000, 16 << 20, 1 << 20
 #: Bits of the bitmap of keys that several recordings have, as a power of two: 16 MB.
 BITMAP = 27
 LEAST_OVERLAP, LEAST_INTEGERS, MOST_ERRORS = 0.5, 24, 0.12
@@ -161,6 +165,19 @@ def prints_of(samples: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return integers(chroma_of(samples, offsets[:-1][of] + place * HOP), np.flatnonzero(place < counts[of])), begin
 
 
+def _largest(x: np.ndarray, w: int, whole: bool) -> np.ndarray:
+    """Index of the largest of each w neighbours, the leftmost of equals; whole numbers carry it in their low bits."""
+    if not whole or len(x) < w:
+        return W.sliding_argmin(-x, w)
+    low, width = (1 << 40) - 1, 1
+    best = (x.astype(np.int64) << 40) + (low - np.arange(len(x)))
+    while width < w:
+        step = min(width, w - width)
+        best = np.maximum(best[: len(best) - step], best[step:])
+        width += step
+    return low - (best & low)
+
+
 def anchors(samples: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Recordings and places of anchors: largest sums of samples in each window of places from which a key's frames fit.
 
@@ -172,7 +189,7 @@ def anchors(samples: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     room = np.diff(offsets) - need + 1
     windows = np.maximum(room - NEIGHBOURHOOD + 1, 0)
     begin = np.repeat(offsets[:-1] + windows - np.cumsum(windows), windows) + np.arange(windows.sum())
-    at = np.unique(W.sliding_argmin(-loud, NEIGHBOURHOOD)[begin]) if len(begin) else np.zeros(0, np.int64)
+    at = np.unique(_largest(loud, NEIGHBOURHOOD, samples.dtype == np.uint8)[begin]) if len(begin) else np.zeros(0, np.int64)
     few = np.flatnonzero((room > 0) & (room < NEIGHBOURHOOD))
     at = np.concatenate([at, np.array([offsets[i] + loud[offsets[i] : offsets[i] + room[i]].argmax() for i in few], np.int64)])
     before, after = loud[np.maximum(at - 1, 0)], loud[np.minimum(at + 1, len(loud) - 1)]
@@ -336,21 +353,274 @@ def keyed(own: DataFrame, several=None) -> DataFrame:
     return own.select("v", "anchors").mapInArrow(keys, f"v {dict(own.dtypes)['v']}, bands array<struct<bucket: long, mark: struct<ints: long, at: int>>>")
 
 
+def shared_keys(own: DataFrame, tasks: int) -> DataFrame:
+    """bucket and n: the low CELL_BITS bits of keys that several rows have, and by how many. Keys move as arrays of 4 bytes each."""
+
+    def deal(batches):
+        held, n = [], 0
+
+        def blobs():
+            cells = np.sort(np.concatenate(held) & U((1 << CELL_BITS) - 1))
+            part, first = np.unique(cells >> U(32), return_index=True)
+            values = [x.astype("<u4").tobytes() for x in np.split(cells, first[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(values, pa.binary())], ["part", "cells"])
+
+        for batch in batches:
+            lists = batch.column(0)
+            flat, sizes = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            held.append(keys_of(flat.field(0).to_numpy().view(U), flat.field(1).to_numpy(), np.repeat(np.arange(len(sizes)), sizes))[0])
+            n += len(held[-1])
+            if n >= KEYS:
+                yield blobs()
+                held, n = [], 0
+        if n:
+            yield blobs()
+
+    def count(batches):
+        for table, first in whole_groups(batches, 1):
+            cells = table.column("cells").to_pylist()
+            for f, e in zip(first.tolist(), [*first[1:].tolist(), len(cells)]):
+                low, n = np.unique(np.frombuffer(b"".join(cells[f:e]), "<u4"), return_counts=True)
+                bucket = (int(table.column("part")[f].as_py()) << 32) + low[n > 1].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n[n > 1].astype(np.int64))], ["bucket", "n"])
+
+    dealt = own.select("anchors").mapInArrow(deal, "part int, cells binary").repartition(tasks, "part")
+    return dealt.sortWithinPartitions("part").mapInArrow(count, "bucket long, n long")
+
+
 def linked_at(a: np.ndarray, b: np.ndarray, shifts) -> bool:
     """Whether a and b align where b's samples lie ``shift`` after a's, for one of the shifts, at the hops around it."""
-    least = max(LEAST_INTEGERS, LEAST_OVERLAP * min(len(a), len(b)))
-    for k in {-(s // -HOP) for s in shifts} | {s // HOP for s in shifts}:
-        lo, hi = max(0, -k), min(len(a), len(b) - k)
-        if hi - lo >= least and int(np.bitwise_count(a[lo:hi] ^ b[lo + k : hi + k]).sum(dtype=np.int64)) <= MOST_ERRORS * 32 * (hi - lo):
-            return True
-    return False
+    shifts = np.array(list(shifts), np.int64)
+    ints, begin = np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])
+    return bool(links_at(ints, begin, np.zeros(len(shifts), np.int64), np.ones(len(shifts), np.int64), shifts).any())
+
+
+def links_at(ints: np.ndarray, begin: np.ndarray, x: np.ndarray, y: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """Whether recordings x[i] and y[i], of ints[begin[k]:begin[k+1]], align at the hops around shift[i], y's samples after x's."""
+    out = np.zeros(len(x), bool)
+    size = np.diff(begin)
+    least = np.maximum(LEAST_INTEGERS, LEAST_OVERLAP * np.minimum(size[x], size[y]))
+    for k, apart in ((shift // HOP, True), (-(shift // -HOP), shift % HOP != 0)):
+        lo, hi = np.maximum(0, -k), np.minimum(size[x], size[y] - k)
+        able = np.flatnonzero((hi - lo >= least) & apart & ~out)
+        n = (hi - lo)[able]
+        p, q = begin[x[able]] + lo[able], begin[y[able]] + (lo + k)[able]
+        total, at = np.cumsum(n), 0
+        while at < len(able):
+            to = max(at + 1, int(np.searchsorted(total, total[at] - n[at] + INTEGERS, side="right")))
+            m = n[at:to]
+            first = np.cumsum(m) - m
+            step = np.arange(int(m.sum()))
+            differ = np.bitwise_count(ints[np.repeat(p[at:to] - first, m) + step] ^ ints[np.repeat(q[at:to] - first, m) + step])
+            out[able[at:to]] = np.add.reduceat(differ, first, dtype=np.int64) <= MOST_ERRORS * 32 * m
+            at = to
+    return out
+
+
+def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the least node of its component; a[i] and b[i] are linked."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (label != label[label]).any():
+            label = label[label]
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    return label
+
 
+def group_labels(first: np.ndarray, ends: np.ndarray, linked) -> np.ndarray:
+    """For each row the least row of its component, links being among the rows first[i]:ends[i] of a group.
+
+    linked(x, y) tells which pairs of rows are links. In a large group a row is compared only with rows that no row
+    before it has reached, so a group of copies takes one comparison a row.
+    """
+    sizes, a, b = ends - first, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]).tolist():
+        i, j = np.triu_indices(n, 1)
+        starts = first[sizes == n]
+        for at in range(0, len(starts), max(1, INTEGERS // len(i))):
+            some = starts[at : at + max(1, INTEGERS // len(i)), None]
+            x, y = (some + i).ravel(), (some + j).ravel()
+            ok = linked(x, y)
+            a.append(x[ok])
+            b.append(y[ok])
+    for f, e in zip(first[sizes > SMALL].tolist(), ends[sizes > SMALL].tolist()):
+        rest = np.arange(f, e)
+        while len(rest):
+            queue, rest = [rest[0]], rest[1:]
+            while queue and len(rest):
+                x = np.full(len(rest), queue.pop())
+                ok = linked(x, rest)
+                a.append(x[ok])
+                b.append(rest[ok])
+                queue += rest[ok].tolist()
+                rest = rest[~ok]
+    return least_labels(int(ends[-1]) if len(ends) else 0, np.concatenate(a), np.concatenate(b))
+
+
+def whole_groups(batches, keys: int):
+    """Tables of whole groups, equal in their first ``keys`` columns, from batches in their order; and where groups begin."""
+    held, rows, size = [], 0, 0
+
+    def cut(table):
+        new = np.ones(len(table), bool)
+        new[1:] = False
+        for c in range(keys):
+            x = table.column(c).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        return np.flatnonzero(new)
 
-def _aligned(batches):
     for batch in batches:
-        rows = zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4))
-        same = [linked_at(*(np.frombuffer(x.as_buffer(), "<u4") for x in pair), shifts) for shifts, *pair in rows]
-        yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(same, pa.bool_()))
+        held.append(batch)
+        rows, size = rows + len(batch), size + batch.nbytes
+        if rows >= ROWS or size >= BYTES:
+            table = pa.Table.from_batches(held).combine_chunks()
+            first = cut(table)
+            if len(first) > 1:
+                yield table.slice(0, first[-1]).combine_chunks(), first[:-1]
+                table = table.take(pa.array(np.arange(first[-1], len(table))))
+            held = table.to_batches()
+            rows, size = (len(table), table.nbytes) if len(first) > 1 else (0, 0)
+    if held and sum(map(len, held)):
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, cut(table)
+
+
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()
+
+
+def _may_align(batches):
+    """hub, v and e of sorted rows bucket, part, h, v, ints, at: those that another's marks allow.
+
+    Ids whose marks, one after the other, allow each other are a group. hub is the hash of its first id, e holds 32 bits of a
+    hash of the ids and their distances, so groups that tell the same are the same, and the distance from the first id.
+    """
+    for table, first in whole_groups(batches, 2):
+        h, ints, at = (_column(table, c) for c in ("h", "ints", "at"))
+        ints, at = ints.view(U), at.astype(np.int64)
+        label = group_labels(first, np.append(first[1:], len(table)), lambda x, y: np.bitwise_count(ints[x] ^ ints[y]) <= MARK_ERRORS)  # noqa: B023
+        at = at - at[label]
+        sums = np.zeros(len(label), U)
+        np.add.at(sums, label, W.mix(W.mix(h.view(U)) + at.view(U)))
+        e = (W.mix(sums)[label] << U(32)) | (at.view(U) & U(0xFFFFFFFF))
+        kept = np.bincount(label, minlength=len(label))[label] > 1
+        out = pa.table([pa.array(h[label]), table.column("v"), pa.array(W.signed(e))], ["hub", "v", "e"]).filter(pa.array(kept))
+        yield from out.combine_chunks().to_batches()
+
+
+def _prints_column(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    values, offsets = W.utf8(table.column("prints"))
+    return values.view("<u4"), offsets // 4
+
+
+def _links(batches):
+    """Links within groups, of sorted rows hub, h, v, es, prints: each with the first of its component among these rows."""
+    for table, first in whole_groups(batches, 1):
+        h, es = _column(table, "h"), table.column("es").combine_chunks()
+        ints, begin = _prints_column(table)
+        e, sizes = es.flatten().to_numpy().view(U), es.value_lengths().to_numpy()
+        row = np.repeat(np.arange(len(table)), sizes)
+        hub = np.searchsorted(first, row, side="right")
+        sig, at = e >> U(32), (e & U(0xFFFFFFFF)).astype(np.uint32).view(np.int32).astype(np.int64)
+        order = np.lexsort((row, sig, hub))
+        row, hub, sig, at = row[order], hub[order], sig[order], at[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (hub[1:] != hub[:-1]) | (sig[1:] != sig[:-1])
+        begins = np.flatnonzero(new)
+
+        def linked(x, y):
+            shift = at[y] - at[x]  # noqa: B023
+            pair = W.mix((row[x] * len(h) + row[y]).view(U)) + shift.view(U)  # noqa: B023
+            _, one, every = np.unique(pair, return_index=True, return_inverse=True)
+            return links_at(ints, begin, row[x[one]], row[y[one]], shift[one])[every]  # noqa: B023
+
+        label = group_labels(begins, np.append(begins[1:], len(row)), linked)
+        # Groups share ids: components of all these rows, with the rows of an id as one.
+        ids, of = np.unique(h, return_index=True)
+        node = np.searchsorted(ids, h)[row]
+        far = np.flatnonzero(label != np.arange(len(label)))
+        root = least_labels(len(ids), node[far], node[label[far]])
+        ends = np.flatnonzero(root != np.arange(len(ids)))
+        v = table.column("v")
+        yield from pa.table([v.take(pa.array(of[root[ends]])), v.take(pa.array(of[ends]))], ["a", "b"]).combine_chunks().to_batches()
+
+
+def _links_across(batches):
+    """Links of sorted rows bucket, i, j, h, outer, root, v, ints, at, prints between outer rows and rows of other roots."""
+    for table, first in whole_groups(batches, 3):
+        ints, at, root = _column(table, "ints").view(U), _column(table, "at").astype(np.int64), _column(table, "root")
+        outer, v = table.column("outer").to_numpy(), table.column("v")
+        prints, begin = _prints_column(table)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for f, e in zip(first.tolist(), [*first[1:].tolist(), len(table)]):
+            inner = f + np.flatnonzero(~outer[f:e])
+            for x in (f + np.flatnonzero(outer[f:e])).tolist():
+                y = inner[(root[inner] != root[x]) & (np.bitwise_count(ints[inner] ^ ints[x]) <= MARK_ERRORS)]
+                y = y[links_at(prints, begin, np.full(len(y), x), y, at[y] - at[x])]
+                _, one = np.unique(root[y], return_index=True)  # a root's other rows are linked to it already
+                a.append(np.full(len(one), x))
+                b.append(y[one])
+        yield from pa.table([v.take(pa.array(np.concatenate(a))), v.take(pa.array(np.concatenate(b)))], ["a", "b"]).combine_chunks().to_batches()
+
+
+def classes_of(scratch: Scratch, own: DataFrame, kind: str, block: int = BLOCK) -> DataFrame:
+    """(v, root) of the ends of links among recordings that share a key; root is the least id of the component.
+
+    The recordings of a bucket meet in one task, as rows of an array, and pairs are never written. A bucket of more than
+    ``block`` is dealt into parts, each with the bucket's least recording. What then is still outside the component of
+    that recording is held against the whole bucket, block by block.
+    """
+    spark = own.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Most keys are one recording's alone; a bitmap of the others lets each task leave them out.
+    buckets = scratch.save(shared_keys(own, tasks), "buckets")
+    several = spark.sparkContext.broadcast(bitmap(buckets, "bucket", BITMAP))
+    scratch.tidy()
+    members = keyed(own, several).select(F.explode("bands").alias("e"), "v").select("e.bucket", "v", "e.mark.ints", "e.mark.at")
+    large = buckets.filter(F.col("n") > block)
+    some = large.limit(1).count() > 0
+    if some:
+        cell = F.col("bucket").bitwiseAND(F.lit((1 << CELL_BITS) - 1))
+        large = members.join(large.select(F.col("bucket").alias("cell")), F.col("cell") == cell, "left_semi").groupBy("bucket").agg(F.min("v").alias("least"), F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts"))
+        large = scratch.save(large.filter("parts > 1"), "large")
+        own_part = F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")
+        part = F.when(F.col("parts").isNull(), F.array(F.lit(0))).when(F.col("v") == F.col("least"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own_part))
+        dealt = members.join(large, "bucket", "left").withColumn("part", F.explode(part))
+    else:
+        dealt = members.withColumn("part", F.lit(0))
+    # The hash orders rows alike in all buckets.
+    rows = dealt.select("bucket", "part", "v", "ints", "at").repartition(tasks, "bucket", "part").select("bucket", "part", F.xxhash64("v").alias("h"), "v", "ints", "at")
+    met = rows.sortWithinPartitions("bucket", "part", "h").mapInArrow(_may_align, f"hub long, v {kind}, e long")
+    # Groups of one hub meet in one task, so each of its recordings goes there once.
+    met = scratch.save(met.repartition(tasks, "v").groupBy("hub", "v").agg(F.collect_set("e").alias("es")), "met")
+    scratch.tidy()
+    prints = own.select("v", "prints")
+    rows = met.join(prints, "v").repartition(tasks, "hub").select("hub", F.xxhash64("v").alias("h"), "v", "es", "prints")
+    links = scratch.save(rows.sortWithinPartitions("hub", "h").mapInArrow(_links, f"a {kind}, b {kind}").filter("a <> b").distinct(), "links")
+    scratch.tidy()
+    roots = components(scratch, links, "roots1")
+    if not some:
+        return roots
+
+    named = members.join(large, "bucket").select("bucket", "v", "ints", "at", "least", "parts")
+    named = named.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    named = named.join(roots.select(F.col("v").alias("least"), F.col("root").alias("main")), "least", "left").withColumn("outer", F.col("root") != F.coalesce("main", "least"))
+    named = scratch.save(named.drop("main", "least"), "named")
+    sizes = named.filter("outer").groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("rows"))
+    placed = named.join(sizes, "bucket").withColumn("h", F.xxhash64("v"))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = placed.filter("outer").withColumn("i", F.pmod("h", F.col("rows")).cast("int")).withColumn("j", all_of("parts"))
+    right = placed.withColumn("outer", F.lit(False)).withColumn("j", F.pmod("h", F.col("parts")).cast("int")).withColumn("i", all_of("rows"))
+    columns = ["bucket", "i", "j", "h", "outer", F.xxhash64("root").alias("root"), "v", "ints", "at"]
+    blocks = left.select(*columns).unionByName(right.select(*columns)).join(prints, "v").repartition(tasks, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "h")
+    more = blocks.select("bucket", "i", "j", "h", "outer", "root", "v", "ints", "at", "prints").mapInArrow(_links_across, f"a {kind}, b {kind}").filter("a <> b").distinct()
+    more = scratch.save(more, "more")
+    scratch.tidy()
+    return components(scratch, links.union(more), "roots2") if more.limit(1).count() else roots
 
 
 def recordings(media: DataFrame, key: str, value: str) -> DataFrame:
@@ -365,38 +635,10 @@ def recordings(media: DataFrame, key: str, value: str) -> DataFrame:
     heads = valued.groupBy("same").agg(F.min("v").alias("head"))
     heads = scratch.save(valued.join(heads, "same").select("v", "head"), "heads")
     own = scratch.save(found.join(heads.filter("v = head").select("v").distinct(), "v", "left_semi").filter(F.size("anchors") > 0).select("v", "prints", "anchors"), "own")
-    # Most keys are one recording's alone; a bitmap of the others lets each task leave them out.
-    buckets = keyed(own).select(F.explode("bands.bucket").alias("bucket"), "v").groupBy("bucket").agg(F.min("v").alias("least"), F.max("v").alias("most")).filter("least < most")
-    several = spark.sparkContext.broadcast(bitmap(buckets, "bucket", BITMAP))
+    found = scratch.save(found.select("v", "n_prints", "prints_crc32"), "rows")
+    scratch.drop("prints")
     scratch.tidy()
-
-    keys = scratch.save(keyed(own, several).filter(F.size("bands") > 0), "keys")
-
-    def verify(pairs: DataFrame, tag: str) -> DataFrame:
-        side = own.select("v", "prints")
-        both = pairs.join(side.select(F.col("v").alias("a"), F.col("prints").alias("prints_a")), "a")
-        both = both.join(side.select(F.col("v").alias("b"), F.col("prints").alias("prints_b")), "b").select("a", "b", "carried", "prints_a", "prints_b")
-        return scratch.save(both.mapInArrow(_aligned, f"a {kind}, b {kind}"), f"links{tag}")
-
-    def compare(blocks: DataFrame) -> DataFrame:
-        rows = blocks.join(own, "v").join(keys, "v").select("family", "i", "j", "outer", "v", "root", "prints", F.col("bands.bucket").alias("keys"), F.col("bands.mark.at").alias("places"))
-
-        def links(group: pa.Table) -> pa.Table:
-            ids, roots, outer = (group[c].to_pylist() for c in ("v", "root", "outer"))
-            prints = [np.frombuffer(x, "<u4") for x in group["prints"].to_pylist()]
-            keys = [np.array(x, np.int64).view(U) for x in group["keys"].to_pylist()]
-            places, found = [np.array(x, np.int64) for x in group["places"].to_pylist()], []
-            for x, y in zip(*sharing(keys, np.array(outer))):
-                if roots[x] != roots[y]:
-                    _, i, j = np.intersect1d(keys[x], keys[y], assume_unique=True, return_indices=True)
-                    if linked_at(prints[x], prints[y], np.unique(places[y][j] - places[x][i]).tolist()):
-                        found.append((ids[x], ids[y]) if ids[x] < ids[y] else (ids[y], ids[x]))
-            kinds = group.schema.field("v").type
-            return pa.table({"a": pa.array([a for a, _ in found], kinds), "b": pa.array([b for _, b in found], kinds)})
-
-        return rows.groupBy("family", "i", "j").applyInArrow(links, f"a {kind}, b {kind}")
-
-    roots = classes_of(scratch, keys, verify, compare, lambda x, y: F.bit_count(x["ints"].bitwiseXOR(y["ints"])) <= MARK_ERRORS, lambda x, y: y["at"] - x["at"], lambda x: x["at"], BLOCK, STARS)
+    roots = classes_of(scratch, own, kind)
     named = heads.distinct().join(roots.withColumnRenamed("v", "head"), "head", "left").select("v", F.coalesce("root", "head").alias("class_id"))
     named = named.groupBy("v").agg(F.min("class_id").alias("class_id"))
     out = found.select("v", "n_prints", "prints_crc32").join(named, "v", "left")

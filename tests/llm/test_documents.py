@@ -530,6 +530,36 @@ def test_audio_classes_equal_all_pairs(spark):
     assert got == dict(enumerate(root)) and len(set(root)) < len(root)
 
 
+def test_audio_groups_are_not_written_as_pairs(spark, monkeypatch):
+    """Recordings that share a segment and don't align, beside noisy copies and chains of cuts, against alignment of all pairs."""
+    rng = np.random.default_rng(11)
+    letters = np.frombuffer(b"etaoin shrdlucmfwypvbgkqjxz", np.uint8)
+    draw = lambda n: rng.choice(letters, n, p=np.arange(27, 0, -1) / 378)
+    shared, whole = draw(3500), draw(9000)
+    clips = [np.concatenate([draw(int(rng.integers(500, 2500))), shared, draw(5000)]) for _ in range(80)]
+    clips += [clip(clips[0] + rng.integers(-1, 2, len(clips[0]))) for _ in range(12)] + [whole[k : k + 4000] for k in range(0, 4500, 700)]
+    prints = [audio.prints_of(x, np.array([0, len(x)]))[0] for x in clips]
+    root = list(range(len(clips)))
+    for a in range(len(clips)):
+        for b in range(a):
+            if root[a] != root[b] and audio.aligned(prints[b], prints[a]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    media = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(clips)], "id long, media binary")
+    rows, save = [], audio.Scratch.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        rows.append((out.count(), name))
+        return out
+
+    monkeypatch.setattr(audio.Scratch, "save", counted)
+    assert {r.id: r.class_id for r in audio.recordings(media, "id", "media").collect()} == dict(enumerate(root))
+    assert max(n for n, name in rows if name != "buckets") <= 10 * len(clips)  # 80 strangers make 3160 pairs
+    monkeypatch.setattr(audio, "classes_of", lambda scratch, own, kind, every=audio.classes_of: every(scratch, own, kind, 8))
+    assert {r.id: r.class_id for r in audio.recordings(media, "id", "media").collect()} == dict(enumerate(root))
+
+
 def test_anchors_stay_where_the_sound_is():
     rng = np.random.default_rng(9)
     x = rng.integers(0, 256, 9000).astype(np.uint8)
