@@ -388,6 +388,18 @@ def shared_keys(own: DataFrame, tasks: int) -> DataFrame:
     return dealt.sortWithinPartitions("part").mapInArrow(count, "bucket long, n long")
 
 
+def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows whose v is in ids, and a few more: told by a bitmap of hashes, so rows aren't moved."""
+    own = rows.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("v").alias("h")), "h", BITMAP))
+
+    def keep(batches):
+        for batch in batches:
+            ok = in_bitmap(own.value, batch.column(0).to_numpy().view(U))
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], batch.schema.names[1:]).filter(pa.array(ok))
+
+    return rows.select(F.xxhash64("v").alias("h"), "*").mapInArrow(keep, rows.schema)
+
+
 def linked_at(a: np.ndarray, b: np.ndarray, shifts) -> bool:
     """Whether a and b align where b's samples lie ``shift`` after a's, for one of the shifts, at the hops around it."""
     shifts = np.array(list(shifts), np.int64)
@@ -598,7 +610,7 @@ def classes_of(scratch: Scratch, own: DataFrame, kind: str, block: int = BLOCK)
     # Groups of one hub meet in one task, so each of its recordings goes there once.
     met = scratch.save(met.repartition(tasks, "v").groupBy("hub", "v").agg(F.collect_set("e").alias("es")), "met")
     scratch.tidy()
-    prints = own.select("v", "prints")
+    prints = among(own.select("v", "prints"), met).hint("merge")
     rows = met.join(prints, "v").repartition(tasks, "hub").select("hub", F.xxhash64("v").alias("h"), "v", "es", "prints")
     links = scratch.save(rows.sortWithinPartitions("hub", "h").mapInArrow(_links, f"a {kind}, b {kind}").filter("a <> b").distinct(), "links")
     scratch.tidy()
@@ -616,7 +628,7 @@ def classes_of(scratch: Scratch, own: DataFrame, kind: str, block: int = BLOCK)
     left = placed.filter("outer").withColumn("i", F.pmod("h", F.col("rows")).cast("int")).withColumn("j", all_of("parts"))
     right = placed.withColumn("outer", F.lit(False)).withColumn("j", F.pmod("h", F.col("parts")).cast("int")).withColumn("i", all_of("rows"))
     columns = ["bucket", "i", "j", "h", "outer", F.xxhash64("root").alias("root"), "v", "ints", "at"]
-    blocks = left.select(*columns).unionByName(right.select(*columns)).join(prints, "v").repartition(tasks, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "h")
+    blocks = left.select(*columns).unionByName(right.select(*columns)).join(own.select("v", "prints"), "v").repartition(tasks, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "h")
     more = blocks.select("bucket", "i", "j", "h", "outer", "root", "v", "ints", "at", "prints").mapInArrow(_links_across, f"a {kind}, b {kind}").filter("a <> b").distinct()
     more = scratch.save(more, "more")
     scratch.tidy()
@@ -634,7 +646,8 @@ def recordings(media: DataFrame, key: str, value: str) -> DataFrame:
     valued = found.filter("v is not null and same is not null").select("v", "same")
     heads = valued.groupBy("same").agg(F.min("v").alias("head"))
     heads = scratch.save(valued.join(heads, "same").select("v", "head"), "heads")
-    own = scratch.save(found.join(heads.filter("v = head").select("v").distinct(), "v", "left_semi").filter(F.size("anchors") > 0).select("v", "prints", "anchors"), "own")
+    # A copy that the bitmap lets through is linked to its head.
+    own = scratch.save(among(found.filter("v is not null and same is not null and size(anchors) > 0").select("v", "prints", "anchors"), heads.filter("v = head")), "own")
     found = scratch.save(found.select("v", "n_prints", "prints_crc32"), "rows")
     scratch.drop("prints")
     scratch.tidy()
