@@ -258,7 +258,7 @@ def fingerprints(column) -> tuple[list[np.ndarray], list[bytes], list[tuple[np.n
         places_of += [x if len(y) >= LEAST_INTEGERS else tuple(part[:0] for part in x) for x, y in zip(anchored(own, places), prints)]
         for x, head, p, q in zip(prints, raw, places, places[1:]):
             whole = b"p" + x.astype("<u4").tobytes() if len(x) else b"s" + (own[p:q].astype("<f4") - (128 if head else 0)).tobytes()
-            same.append(hashlib.sha256(whole).digest())
+            same.append(hashlib.sha256(whole).digest()[:16])
     return out, same, places_of
 
 
@@ -320,15 +320,28 @@ def _lists(parts: list[np.ndarray], kind):
     return np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32), np.concatenate([*parts, np.zeros(0, kind)]).astype(kind)
 
 
+def pack(x: np.ndarray) -> bytes:
+    """Integers, of which neighbours are alike, in some 0.7 of their size: what changes from each to the next, by planes of bytes."""
+    changes = (x ^ np.concatenate([np.zeros(1, np.uint32), x[:-1]])).astype("<u4")
+    return len(x).to_bytes(4, "little") + pa.compress(changes.view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def unpack(value: bytes) -> np.ndarray:
+    n = int.from_bytes(value[:4], "little")
+    planes = np.frombuffer(pa.decompress(value[4:], 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.bitwise_xor.accumulate(np.ascontiguousarray(planes.T).view("<u4").ravel())
+
+
 def _print(batches):
     for batch in batches:
         prints, same, found = fingerprints(batch.column(1))
         same = [x if valid else None for x, valid in zip(same, batch.column(1).is_valid().to_pylist())]
-        whole = [x.astype("<u4").tobytes() for x in prints]
+        crcs = [zlib.crc32(x.astype("<u4").tobytes()) for x in prints]
+        packed = [pack(x) if len(y[0]) else None for x, y in zip(prints, found)]
         (ends, ints), (_, at) = _lists([x[0] for x in found], U), _lists([x[1] for x in found], np.int32)
         anchors_ = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(W.signed(ints)), pa.array(at)], ["ints", "at"]))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(x) for x in prints], pa.int64()), pa.array([zlib.crc32(x) for x in whole], pa.int64()), pa.array(whole, pa.binary()), pa.array(same, pa.binary()), anchors_],
+            [batch.column(0), pa.array([len(x) for x in prints], pa.int64()), pa.array(crcs, pa.int64()), pa.array(packed, pa.binary()), pa.array(same, pa.binary()), anchors_],
             ["v", "n_prints", "prints_crc32", "prints", "same", "anchors"],
         )
 
@@ -354,7 +367,7 @@ def keyed(own: DataFrame, several=None) -> DataFrame:
 
 
 def shared_keys(own: DataFrame, tasks: int) -> DataFrame:
-    """bucket and n: the low CELL_BITS bits of keys that several rows have, and by how many. Keys move as arrays of 4 bytes each."""
+    """bucket and n: the low CELL_BITS bits of keys that several rows have, and by how many. Keys move as sorted arrays of steps, in planes of bytes, which shuffles compress."""
 
     def deal(batches):
         held, n = [], 0
@@ -362,7 +375,7 @@ def shared_keys(own: DataFrame, tasks: int) -> DataFrame:
         def blobs():
             cells = np.sort(np.concatenate(held) & U((1 << CELL_BITS) - 1))
             part, first = np.unique(cells >> U(32), return_index=True)
-            values = [x.astype("<u4").tobytes() for x in np.split(cells, first[1:])]
+            values = [np.diff(x & U(0xFFFFFFFF), prepend=U(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in np.split(cells, first[1:])]
             return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(values, pa.binary())], ["part", "cells"])
 
         for batch in batches:
@@ -380,7 +393,8 @@ def shared_keys(own: DataFrame, tasks: int) -> DataFrame:
         for table, first in whole_groups(batches, 1):
             cells = table.column("cells").to_pylist()
             for f, e in zip(first.tolist(), [*first[1:].tolist(), len(cells)]):
-                low, n = np.unique(np.frombuffer(b"".join(cells[f:e]), "<u4"), return_counts=True)
+                steps = [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").ravel() for x in cells[f:e]]
+                low, n = np.unique(np.concatenate([np.cumsum(x, dtype=np.uint32) for x in steps]), return_counts=True)
                 bucket = (int(table.column("part")[f].as_py()) << 32) + low[n > 1].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n[n > 1].astype(np.int64))], ["bucket", "n"])
 
@@ -508,7 +522,7 @@ def _column(table: pa.Table, name: str) -> np.ndarray:
 def _may_align(batches):
     """hub, v and e of sorted rows bucket, part, h, v, ints, at: those that another's marks allow.
 
-    Ids whose marks, one after the other, allow each other are a group. hub is the hash of its first id, e holds 32 bits of a
+    Ids whose marks, one after the other, allow each other are a group. hub is part of the hash of its first id, e holds 32 bits of a
     hash of the ids and their distances, so groups that tell the same are the same, and the distance from the first id.
     """
     for table, first in whole_groups(batches, 2):
@@ -520,13 +534,13 @@ def _may_align(batches):
         np.add.at(sums, label, W.mix(W.mix(h.view(U)) + at.view(U)))
         e = (W.mix(sums)[label] << U(32)) | (at.view(U) & U(0xFFFFFFFF))
         kept = np.bincount(label, minlength=len(label))[label] > 1
-        out = pa.table([pa.array(h[label]), table.column("v"), pa.array(W.signed(e))], ["hub", "v", "e"]).filter(pa.array(kept))
+        out = pa.table([pa.array((h[label] >> 32).astype(np.int32)), table.column("v"), pa.array(W.signed(e))], ["hub", "v", "e"]).filter(pa.array(kept))
         yield from out.combine_chunks().to_batches()
 
 
 def _prints_column(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    values, offsets = W.utf8(table.column("prints"))
-    return values.view("<u4"), offsets // 4
+    parts = [unpack(x) for x in table.column("prints").to_pylist()]
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
 
 
 def _links(batches):
@@ -592,12 +606,11 @@ def classes_of(scratch: Scratch, own: DataFrame, kind: str, block: int = BLOCK)
     buckets = scratch.save(shared_keys(own, tasks), "buckets")
     several = spark.sparkContext.broadcast(bitmap(buckets, "bucket", BITMAP))
     scratch.tidy()
-    members = keyed(own, several).select(F.explode("bands").alias("e"), "v").select("e.bucket", "v", "e.mark.ints", "e.mark.at")
+    members = keyed(own, several).select(F.explode("bands").alias("e"), "v").select(F.col("e.bucket").bitwiseAND(F.lit((1 << CELL_BITS) - 1)).alias("bucket"), "v", "e.mark.ints", "e.mark.at")
     large = buckets.filter(F.col("n") > block)
     some = large.limit(1).count() > 0
     if some:
-        cell = F.col("bucket").bitwiseAND(F.lit((1 << CELL_BITS) - 1))
-        large = members.join(large.select(F.col("bucket").alias("cell")), F.col("cell") == cell, "left_semi").groupBy("bucket").agg(F.min("v").alias("least"), F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts"))
+        large = members.join(large.select("bucket"), "bucket", "left_semi").groupBy("bucket").agg(F.min("v").alias("least"), F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts"))
         large = scratch.save(large.filter("parts > 1"), "large")
         own_part = F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")
         part = F.when(F.col("parts").isNull(), F.array(F.lit(0))).when(F.col("v") == F.col("least"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own_part))
@@ -606,7 +619,7 @@ def classes_of(scratch: Scratch, own: DataFrame, kind: str, block: int = BLOCK)
         dealt = members.withColumn("part", F.lit(0))
     # The hash orders rows alike in all buckets.
     rows = dealt.select("bucket", "part", "v", "ints", "at").repartition(tasks, "bucket", "part").select("bucket", "part", F.xxhash64("v").alias("h"), "v", "ints", "at")
-    met = rows.sortWithinPartitions("bucket", "part", "h").mapInArrow(_may_align, f"hub long, v {kind}, e long")
+    met = rows.sortWithinPartitions("bucket", "part", "h").mapInArrow(_may_align, f"hub int, v {kind}, e long")
     # Groups of one hub meet in one task, so each of its recordings goes there once.
     met = scratch.save(met.repartition(tasks, "v").groupBy("hub", "v").agg(F.collect_set("e").alias("es")), "met")
     scratch.tidy()
