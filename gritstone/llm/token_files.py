@@ -34,7 +34,9 @@ SEQUENCE = 2048
 BATCH = 64
 END_ID = 2
 #: Words, and units of words, that a worker keeps: two generations of this many.
-CACHED_WORDS = 200_000
+CACHED_WORDS, CACHED_UNITS = 400_000, 200_000
+#: The pattern by which a word of ASCII letters alone is one unit.
+LETTERS_WHOLE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class _Cache(dict):
@@ -76,11 +78,12 @@ class WordEncoder:
         self.by_word = steps == ["NFC", "Replace", "Lowercase"] and cut.get("type") == "Split" and cut["behavior"] == "Removed" and cut["invert"] and not any(a["lstrip"] or a["rstrip"] for a in spec["added_tokens"])
         if self.by_word:
             self.units_of = regex.compile(cut["pattern"]["Regex"]).findall
+            self.letters_whole = cut["pattern"]["Regex"] == LETTERS_WHOLE
             self.by_word = all(a["content"].startswith("<|") for a in spec["added_tokens"])
             plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
             rest = [b for b in range(256) if b not in set(plain)]
             self.letters = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}  # the byte-level alphabet
-            self.units = _Cache(self._unit, CACHED_WORDS)
+            self.units = _Cache(self._unit, CACHED_UNITS)
             self.words = _Cache(self._word, CACHED_WORDS)
 
     def _ids(self, ids) -> bytes:
@@ -91,6 +94,8 @@ class WordEncoder:
         return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _word(self, word: bytes) -> bytes:
+        if self.letters_whole and word.isalpha():  # of bytes: ASCII letters only
+            return self.units[word.lower().decode()]
         text = word.decode("utf-8")
         if b"<|" not in word and (len(text) == len(word) or (max(text) < "\u0180" and "\u0130" not in text)):
             units = self.units_of(text.lower())

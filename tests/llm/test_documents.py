@@ -594,6 +594,20 @@ def test_errors_at_every_offset(n, m):
     assert audio.errors_by_shift(a, b).tolist() == want
 
 
+def test_words_of_letters_are_not_cut():
+    """Words of ASCII letters go to the model as one unit, without the pattern, and have the ids of whole texts."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = token_files.WordEncoder(path, "<u2")
+    cut, units_of = [], encoder.units_of
+    encoder.units_of = lambda text: cut.append(text) or units_of(text)
+    text = "Internationalization s ve LL re don't I'm ab12 Zürich ﬁn K naïve*** the THE\u00a0the <|x|> a\x00b"
+    want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder(text.encode()), "<u2").tolist() == want
+    assert cut and not any(x.isascii() and x.isalpha() for x in cut)
+
+
 def test_pipeline(spark, docs, rows, hard, empty, tmp_path):
     """Every stage against brute force on what the stage before kept, with null and repeated ids and clashing columns."""
     import corpus_pipeline
